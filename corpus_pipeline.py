@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinegrain.llm import mixing, quality
-from kinegrain.llm.common import stored
+from kinegrain.llm import decontaminate, jaccard_join, mixing, quality, token_output
+from kinegrain.llm.common import stored, table
+from kinegrain.llm.queries import TOKENIZER_FILE
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,32 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("mixing", mixing_stage)]
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.one_of_each(docs, size=5, num=80, den=100)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard files of token ids, and what is read back from them: doc_id, start, n_tokens, ids_crc32, folder."""
+    import public_tokenizers
+
+    folder, manifest = token_output.write_token_shards(docs, public_tokenizers.path(TOKENIZER_FILE))
+    read = token_output.read_token_shards(spark, folder, manifest)
+    return token_output.token_digest(read).withColumn("folder", F.lit(folder))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("jaccard_join", jaccard_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_output", token_stage),
+]
 
 ORACLE_SQL = None
 

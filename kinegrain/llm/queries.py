@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, quality, token_output
+from . import decontaminate, jaccard_join, language_id, mixing, quality, token_output
 from .common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -50,6 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
