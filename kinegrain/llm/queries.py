@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, mixing, quality, token_output
+from . import decontaminate, jaccard_join, language_id, mixing, quality, token_output, toxicity
 from .common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -26,6 +26,14 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(token_output.read_token_shards(spark, folder, manifest))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = fold(F.col("doc_id"), 3) != 1
+    model = toxicity.fit(toxicity.labelled_texts(docs.where(learn), labels.where(learn)))
+    held = F.coalesce(~learn, F.lit(False))
+    return toxicity.score_toxicity(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -53,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
+    "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
