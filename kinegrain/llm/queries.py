@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, mixing, quality, token_output, toxicity
+from . import decontaminate, html_extract, jaccard_join, language_id, mixing, quality, token_output, toxicity
 from .common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op4_token_output": op4_token_output,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
