@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, language_id, mixing, quality, token_output, toxicity
+from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, quality, token_output, toxicity, url_filter
 from .common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -22,6 +22,19 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+#: Host, path prefix, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.link_tool_calls(table(spark, sf_dir, "conversations"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +78,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_url_filter": op2_url_filter,
+    "op3_chat_format": op3_chat_format,
     "op4_token_output": op4_token_output,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
@@ -75,6 +90,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_url_filter": url_filter.verdict_sql(URL_RULES),
+    # the SQL has the form of plain messages and counts calls; linking is tested against a brute-force version
+    "op3_chat_format": """
+with m as (
+    select conv_id, turn, role, text, role = 'assistant' and json_valid(text) as may_call from conversations)
+select conv_id, turn, role, turn as order_turn, 0::int as order_level,
+       case when may_call then coalesce(json_array_length(text, '$.tool_calls'), 0) else 0 end::bigint as n_calls,
+       0::bigint as n_results, 0::bigint as n_errors, json_object('content', text, 'role', role)::varchar as message
+from m""",
     "op9_mixing": r"""
 with sized as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
