@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_eval, q_geometry, q_graph, q_relational, q_state, q_text
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "eval_kinematic_report"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "q_eval", "q_geometry", "q_graph", "q_relational", "q_state", "q_text"]
