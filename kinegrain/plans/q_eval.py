@@ -219,9 +219,9 @@ def value_range_check(spark, sf_dir):
     return v.select("id", F.array_contains("v", "friction").alias("friction"), F.array_contains("v", "poisson").alias("poisson"))
 
 
-@query("select id, round(hardness * 9.807e6 / (young / 1e9 * 1e9), 7) as ratio from {phys}")
+@query("select id, round(ln(hardness * 9.807e6 / young), 6) as log_ratio from {phys}")
 def hardness_ratio_check(spark, sf_dir):
-    return view(spark, sf_dir, "phys").select("id", F.round(R.hardness_ratio(c("hardness"), c("young") / 1e9), 7).alias("ratio"))
+    return view(spark, sf_dir, "phys").select("id", F.round(F.ln(R.hardness_ratio(c("hardness"), c("young") / 1e9)), 6).alias("log_ratio"))
 
 
 @query("""with p as (select entity, sum(density * volume) as pm from {phys} group by 1), o as (select o_orderkey as entity, o_totalprice / 10e0 as om from orders)

@@ -1 +1,72 @@
-"""Queries."""
+"""Queries of graphs, itemsets and dependencies."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from .registry import query
+from .views import table, view
+
+c = F.col
+
+
+@query("""with recursive e as (select entity, src as u, dst as v from {edges} union select entity, dst, src from {edges}), r as (select entity, u as node, u as far from e union select r.entity, node, v from r join e on r.entity = e.entity and far = u)
+select entity, node, min(far) as component from r group by 1, 2""")
+def union_find_components(spark, sf_dir):
+    return G.components(view(spark, sf_dir, "edges").select("entity", c("src").alias("a"), c("dst").alias("b")), ["entity"])
+
+
+@query("""with recursive e as (select distinct entity, src, dst, kind from {edges}), s as (select distinct entity, dst as node from e where kind in ('B', 'C')),
+    r as (select entity, node as start, node, 0 as hop from s union select r.entity, start, dst, 1 from r join e on r.entity = e.entity and r.node = src and (hop = 0 or kind in ('B', 'C', 'D')))
+select distinct entity, start, node from r""")
+def motion_reachability(spark, sf_dir):
+    e = view(spark, sf_dir, "edges")
+    return G.reachable(e, G.motion_nodes(e))
+
+
+@query("""with l as (select entity, src, dst, kind, arg_max(lo, seq) as lo, arg_max(hi, seq) as hi from {edges} group by all), a as (select * from l union all select entity, dst, src, kind, lo, hi from l where kind in ('A', 'D')),
+    m as (select entity, src, dst, kind, min({'a': lo, 'b': hi}) as r from a group by all),
+    o as (select *, max((kind <> 'D')::int) over (partition by entity, least(src, dst), greatest(src, dst)) as other from m)
+select entity, src, dst, kind, r.a as lo, r.b as hi from o where kind <> 'D' or other = 0""")
+def motion_graph(spark, sf_dir):
+    return G.motion_graph(view(spark, sf_dir, "edges"))
+
+
+@query("with n as (select entity, src as node, kind from {edges} union all select entity, dst, kind from {edges}) select entity, node from n group by 1, 2 having bool_and(kind = 'A')")
+def contact_only_nodes(spark, sf_dir):
+    return G.contact_only(view(spark, sf_dir, "edges"))
+
+
+@query("""with f as (select item, count(*) as n from {baskets} group by 1), a as (select [item] as items, n from f where n >= 1200),
+    b as (select [x.item, y.item] as items, count(*) as n from {baskets} x join {baskets} y on x.basket = y.basket and x.item < y.item group by all having count(*) >= 1200)
+select * from a union all select * from b""")
+def itemset_support(spark, sf_dir):
+    return G.itemsets(view(spark, sf_dir, "baskets"), 1200, 2)
+
+
+@query("""with f as (select item, count(*) as n from {baskets} group by 1), a as (select [item] as items, n from f where n >= 1200),
+    b as (select [x.item, y.item] as items, count(*) as n from {baskets} x join {baskets} y on x.basket = y.basket and x.item < y.item group by all having count(*) >= 1200)
+select * from b union all select * from a where not exists (select 1 from b where list_contains(b.items, a.items[1]))""")
+def maximal_itemsets(spark, sf_dir):
+    return G.maximal(G.itemsets(view(spark, sf_dir, "baskets"), 1200, 2))
+
+
+@query("""with recursive d as (select n_nationkey as name, (n_nationkey // 2) as needs from nation where n_nationkey > 0), r as (select * from d union select r.name, d.needs from r join d on r.needs = d.name) select name, needs from r""")
+def dependency_closure(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").where("n_nationkey > 0").select(c("n_nationkey").alias("name"), F.floor(c("n_nationkey") / 2).cast("int").alias("needs"))
+    return G.closure(n)
+
+
+@query("select entity, string_agg(src || '>' || dst || ':' || kind, ',' order by src, dst, kind, seq) as graph, count(*) as edges from {edges} group by 1")
+def graph_export(spark, sf_dir):
+    e = view(spark, sf_dir, "edges")
+    items = F.array_sort(F.collect_list(F.struct("src", "dst", "kind", "seq")))
+    text = F.transform(items, lambda x: F.concat(x["src"].cast("string"), F.lit(">"), x["dst"].cast("string"), F.lit(":"), x["kind"]))
+    return e.groupBy("entity").agg(F.array_join(text, ",").alias("graph"), F.count(F.lit(1)).alias("edges"))
+
+
+@query("select c_custkey as name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def missing_entities(spark, sf_dir):
+    have = table(spark, sf_dir, "orders").select(c("o_custkey").alias("name"))
+    return table(spark, sf_dir, "customer").select(c("c_custkey").alias("name")).join(have, "name", "left_anti")

@@ -1 +1,64 @@
-"""Queries."""
+"""Queries of stage state and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import state as T
+from .registry import query
+from .views import table, view
+
+c = F.col
+LATEST = "l as (select entity, stage, arg_max(status, epoch_us(ts)::hugeint * 10000000 + event_id) as status, max(ts) as updated_at, count(*) as records from {stage_log} group by 1, 2)"
+GRID = f"{LATEST}, e as (select distinct entity from {{stage_log}}), s as (select distinct event_type as stage from events), g as (select entity, stage, coalesce(status, 'pending') as status from e cross join s left join l using (entity, stage))"
+
+
+def latest(spark, sf_dir):
+    return T.latest(view(spark, sf_dir, "stage_log"), ["entity", "stage"], ["ts", "event_id"])
+
+
+def grid(spark, sf_dir):
+    log = view(spark, sf_dir, "stage_log")
+    return T.status_grid(latest(spark, sf_dir), log.select("stage").distinct(), log.select("entity").distinct())
+
+
+@query(f"with {LATEST} select entity, stage, status, records from l")
+def stage_latest(spark, sf_dir):
+    return latest(spark, sf_dir).select("entity", "stage", "status", "records")
+
+
+@query(f"with {GRID} select * from g")
+def stage_status(spark, sf_dir):
+    return grid(spark, sf_dir).select("entity", "stage", "status")
+
+
+@query(f"with {GRID} select entity, bool_and(status in ('succeeded', 'skipped', 'adopted')) as ok, count(*) filter (status in ('succeeded', 'skipped', 'adopted')) as done, count(*) filter (status = 'failed') as failed from g group by 1")
+def run_summary(spark, sf_dir):
+    return T.run_summary(grid(spark, sf_dir))
+
+
+@query(f"""with {GRID}, n(stage, needs) as (values ('view', 'click'), ('purchase', 'view'), ('purchase', 'signup')), w as (select entity, stage as needs from g where status not in ('succeeded', 'skipped', 'adopted'))
+select entity, g.stage, string_agg(distinct needs, ',' order by needs) as missing from g join n on g.stage = n.stage join w using (entity, needs) group by 1, 2""")
+def dependency_readiness(spark, sf_dir):
+    needs = spark.createDataFrame([("view", "click"), ("purchase", "view"), ("purchase", "signup")], "stage string, needs string")
+    return T.blocked(grid(spark, sf_dir), needs).withColumn("missing", F.array_join("missing", ","))
+
+
+@query(f"with {LATEST} select entity, stage, 'f' || (entity % 3) as fingerprint from l where not (status = 'succeeded' and entity % 3 <> 1)")
+def resume_antijoin(spark, sf_dir):
+    s = latest(spark, sf_dir)
+    own = F.concat(F.lit("f"), (c("entity") % 3).cast("string"))
+    state = s.withColumn("fingerprint", F.when(c("entity") % 3 == 1, F.lit("old")).otherwise(own))
+    return T.to_run(s.select("entity", "stage", own.alias("fingerprint")), state)
+
+
+@query(f"""with {LATEST} select entity, stage, case when entity % 11 = 0 then 'run' when status = 'succeeded' and entity % 3 <> 1 and records % 2 = 0 then 'skipped' else 'run' end as action from l""")
+def stage_gate(spark, sf_dir):
+    g = T.gate(c("status"), c("entity") % 3 != 1, c("records") % 2 == 0, c("entity") % 11 == 0)
+    return latest(spark, sf_dir).select("entity", "stage", g.alias("action"))
+
+
+@query("with m as (select max(ts) as now from events) select event_id, user_id from events, m where epoch(now) - epoch(ts) > 86400")
+def stale_locks(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return T.stale(e.withColumn("now", e.agg(F.max("ts").alias("m")).scalar()), c("now")).select("event_id", "user_id")
