@@ -3,7 +3,8 @@
 Lexicon. Words, and stems of 4 to 6 letters, are learned from labelled texts. Every
 neighbourhood (word before, word after) in toxic texts is credited to one text that
 has it, and a term's support is the number of texts credited, so a text that was
-copied a thousand times supports a term no more than once; against it stands the number of clean texts that hold it. A term stays if its
+copied a thousand times supports a term no more than once; a stem also needs FORMS
+different words. Against it stands the number of clean texts that hold it. A term stays if its
 likelihood ratio is beyond what chance gives among all terms tested; at most
 ``max_terms`` are kept.
 
@@ -15,8 +16,8 @@ in clean training texts as often as in toxic ones. Stems need their letters exac
 and match any ending.
 
 Context. Each match is scored in its window: in quotation marks, or shortly after a
-verb of speech, it counts ``QUOTED`` of a match. A logistic curve over the sums of
-exact, misspelled and stem matches is fitted to the counts of feature bins of all
+verb of speech, it counts ``QUOTED`` of a match; a misspelled word or a stem counts
+``NEAR`` of one. A logistic curve over the sum is fitted to the counts of sums of all
 training texts; bins are few whatever the corpus holds.
 
 Defined cases: null and empty text has no match and gets the curve's base score;
@@ -40,7 +41,8 @@ from .common import checked_broadcast, stored
 
 LETTERS = re.compile(r"[^\W_]+(?:['’*@$][^\W_]+)*")
 QUOTED = 0.3
-MISSPELLED = 0.7
+NEAR = 0.7
+FORMS = 4
 WINDOW = 3
 #: Fixed words: verbs of speech that make a following term a quotation.
 SPEECH = frozenset("said says called calls wrote writes quoted quotes quote word term sagte nannte schrieb wort dit disait mot dijo dice llamó palabra".split())
@@ -139,7 +141,7 @@ class LexiconAutomaton:
         if state >= 0:
             near = [(e, self.word[n]) for n, e in self.states[state] if self.word[n] and e <= self.allowed[self.word[n]]]
             found = min(near, default=None)
-        if stem and (found is None or found[0] > 0):
+        if stem and found is None:
             found = (-1, stem)
         self.memo[word] = found
         return found
@@ -171,12 +173,10 @@ def spans(text: str | None, automaton: LexiconAutomaton) -> list[tuple[int, int,
     return out
 
 
-def features(found: list[tuple[int, int, str, int, bool]]) -> tuple[float, float]:
-    """Sums of word matches and of stem matches, in halves up to TOP."""
-    sums = [0.0, 0.0]
-    for _, _, _, edits, quoted in found:
-        sums[edits < 0] += (QUOTED if quoted else 1.0) * (MISSPELLED if edits > 0 else 1.0)
-    return tuple(min(TOP, np.ceil(2 * x) / 2) for x in sums)
+def feature(found: list[tuple[int, int, str, int, bool]]) -> float:
+    """Sum of matches, in halves up to TOP."""
+    total = sum((QUOTED if quoted else 1.0) * (NEAR if edits else 1.0) for _, _, _, edits, quoted in found)
+    return float(min(TOP, np.ceil(2 * total) / 2))
 
 
 def _terms(words: list[str]) -> set[str]:
@@ -196,9 +196,9 @@ def learn_lexicon(labelled: DataFrame, *, max_terms: int = MAX_TERMS) -> list[st
                 rows = set()
                 for i, w in enumerate(words):
                     around = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
-                    rows.update((t, around) for t in _terms([w]))
+                    rows.update((t, around, w) for t in _terms([w]))
                 if rows:
-                    yield pd.DataFrame([(doc, *x) for x in rows], columns=["doc", "term", "around"])
+                    yield pd.DataFrame([(doc, *x) for x in rows], columns=["doc", "term", "around", "word"])
 
     def clean(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count: Counter[str] = Counter()
@@ -216,9 +216,10 @@ def learn_lexicon(labelled: DataFrame, *, max_terms: int = MAX_TERMS) -> list[st
     if not n1 or not n0:
         return []
     support = (
-        labelled.where("toxic = 1").select("doc_id", "text").mapInPandas(toxic, "doc long, term string, around string")
-        .groupBy("term", F.xxhash64("around").alias("around")).agg(F.min("doc").alias("doc"))
-        .select("term", "doc").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("pos")).where("pos >= 3")
+        labelled.where("toxic = 1").select("doc_id", "text").mapInPandas(toxic, "doc long, term string, around string, word string")
+        .groupBy("term", F.xxhash64("around").alias("around")).agg(F.min("doc").alias("doc"), F.min("word").alias("word"))
+        .groupBy("term").agg(F.count_distinct("doc").alias("pos"), F.count_distinct("word").alias("forms"))
+        .where((F.col("pos") >= 3) & (~F.col("term").endswith("*") | (F.col("forms") >= FORMS)))
     )
     support = stored(support, "support")
     tested = support.count()
@@ -257,19 +258,19 @@ def _counts(terms: list[str], allowed: dict[str, int]):
         count: Counter = Counter()
         for pdf in parts:
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                count[(*features(spans(text, automaton)), int(toxic == 1))] += 1
-        yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["x0", "x1", "toxic", "n"])
+                count[feature(spans(text, automaton)), int(toxic == 1)] += 1
+        yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["x", "toxic", "n"])
 
     return rows
 
 
-def fit_curve(bins: list[tuple[float, float, int, int]]) -> list[float]:
-    """Base and weights of the logistic curve over bins (x0, x1, toxic, n), by Newton steps with a small ridge."""
+def fit_curve(bins: list[tuple[float, int, int]]) -> list[float]:
+    """Base and weight of the logistic curve over bins (x, toxic, n), by Newton steps with a small ridge."""
     if not bins:
-        return [float(np.log(0.1 / 0.9)), 0.0, 0.0]
+        return [float(np.log(0.1 / 0.9)), 0.0]
     b = np.array(sorted(bins), float)
-    x, y, n = np.c_[np.ones(len(b)), np.sqrt(b[:, :2])], b[:, 2], b[:, 3]
-    w, ridge = np.zeros(3), np.diag([1e-3, 0.05, 0.05])
+    x, y, n = np.c_[np.ones(len(b)), np.sqrt(b[:, 0])], b[:, 1], b[:, 2]
+    w, ridge = np.zeros(2), np.diag([1e-3, 0.05])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (n * (y - p)) - ridge @ w
@@ -297,8 +298,8 @@ def fit(labelled: DataFrame, *, max_terms: int = MAX_TERMS) -> Model:
         if 2 * r["pos"] <= r["all"]:
             allowed[r["term"]] = min(allowed[r["term"]], r["edits"] - 1)
     bins = (
-        labelled.select("text", "toxic").mapInPandas(_counts(terms, allowed), "x0 double, x1 double, toxic int, n long")
-        .groupBy("x0", "x1", "toxic").agg(F.sum("n").alias("n")).collect()
+        labelled.select("text", "toxic").mapInPandas(_counts(terms, allowed), "x double, toxic int, n long")
+        .groupBy("x", "toxic").agg(F.sum("n").alias("n")).collect()
     )
     return terms, allowed, fit_curve([tuple(r) for r in bins])
 
@@ -313,8 +314,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = 0.7) ->
         automaton = LexiconAutomaton(terms, allowed)
         for pdf in parts:
             found = [spans(t, automaton) for t in pdf["text"]]
-            x = np.sqrt(np.array([features(f) for f in found], float).reshape(-1, 2))
-            z = curve[0] + x @ np.array(curve[1:])
+            z = curve[0] + curve[1] * np.sqrt(np.array([feature(f) for f in found], float))
             out = pdf.drop(columns=["text"])
             out["score"] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             out["predicted"] = (out["score"] >= threshold).astype("int32")
