@@ -104,7 +104,7 @@ def truth(text: Column) -> Column:
 
 
 def csv_items(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def version(text: Column, name: str = "Blender") -> Column:

@@ -95,7 +95,9 @@ def small_parts(parts: DataFrame, contacts: DataFrame, entity: str, least: float
         out = K.merge_small_parts(sizes, touching, {p for p, s in sizes.items() if s < least})
         return pd.DataFrame({entity: key[0], "part": list(out), "into": list(out.values())})
 
-    return parts.groupBy(entity).cogroup(contacts.groupBy(entity)).applyInPandas(run, f"{entity} long, part long, into long")
+    # both sides may come from one table: another name keeps their keys apart
+    contacts = contacts.select(F.col(entity).alias("_entity"), "a", "b", "w")
+    return parts.groupBy(entity).cogroup(contacts.groupBy("_entity")).applyInPandas(run, f"{entity} long, part long, into long")
 
 
 def coseg(points: DataFrame, group: str, source: int) -> DataFrame:

@@ -33,7 +33,7 @@ def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 # SQL pieces that the oracles share
 DOT = "(px*gx+py*gy+pz*gz)"
 NP, NG = "sqrt(px*px+py*py+pz*pz)", "sqrt(gx*gx+gy*gy+gz*gz)"
-UNIT = f"(case when {NP} > 1e-12 and {NG} > 1e-12 then least(1e0, abs((px/{NP})*(gx/{NG})+(py/{NP})*(gy/{NG})+(pz/{NP})*(gz/{NG}))) end)"
+UNIT = f"(case when {NP} > 1e-12 and {NG} > 1e-12 then least(1e0, abs({DOT}/({NP}*{NG}))) end)"
 ANGLE = f"degrees(acos({UNIT}))"
 PIVOT = f"""(case when {NG} > 1e-12 then sqrt(power((px-gz)*(gz/{NG})-(py-gx)*(gy/{NG}),2)+power((py-gx)*(gx/{NG})-(pz-gy)*(gz/{NG}),2)
     +power((pz-gy)*(gy/{NG})-(px-gz)*(gx/{NG}),2)) end)"""
@@ -122,9 +122,9 @@ def finite_mean(spark, sf_dir):
     return rounded(p.groupBy("grp").agg(M.finite_mean(c("x")).alias("mean"), M.finite_count(c("x")).alias("n")))
 
 
-@query(f"select id, round({ANGLE}, 6) as axis_error from {{motion}}")
+@query(f"select id, round({ANGLE}, 4) as axis_error from {{motion}}")
 def axis_angle_error(spark, sf_dir):
-    return motion(spark, sf_dir).select("id", F.round(V.axis_angle(c("pred_axis"), c("gold_axis")), 6).alias("axis_error"))
+    return motion(spark, sf_dir).select("id", F.round(V.axis_angle(c("pred_axis"), c("gold_axis")), 4).alias("axis_error"))
 
 
 @query(f"select id, round({IOU}, 6) as iou from {{motion}}")
