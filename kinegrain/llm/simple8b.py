@@ -23,12 +23,16 @@ BLOCK = 1 << 15
 def _choices(v: np.ndarray) -> np.ndarray:
     """For each place, the selector that packs most values from there on; what lies behind the end fits anything."""
     n = len(v)
+    # bits of each value; beyond 2^53 perhaps one more, which only makes the choice wider
+    width = np.frexp(v.astype(np.float64))[1].astype(np.uint8)
     best = np.full(n, 15, np.int8)
-    places = np.arange(n)
+    places = np.arange(n, dtype=np.int32)
+    left = n - places
+    end = np.int32(n + 240)
     for s in [*range(14, 1, -1), 0]:
-        far = np.where(v >> np.uint64(BITS[s]) != 0, places, n + 240)
+        far = np.where(width > BITS[s], places, end)
         reach = np.minimum.accumulate(far[::-1])[::-1] - places
-        best[reach >= np.minimum(COUNTS[s], n - places)] = s
+        best[reach >= np.minimum(COUNTS[s].astype(np.int32), left)] = s
     best[v >> np.uint64(60) != 0] = ESCAPE
     return best
 

@@ -19,6 +19,7 @@ an empty result.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -57,6 +58,10 @@ def tokenizer(path: str):
 
 #: The split of byte-level BPE before merges: no merge crosses a piece, so equal pieces have equal ids.
 PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: The same split for texts of ASCII and the Latin letters up to U+024F, all of whose classes are ranges; the standard module is faster.
+_L, _S = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", " \t\n\x0b\x0c\r"
+PLAIN = re.compile(rf"[\x00-\x1b\x20-\x7f{_L}]*")
+PLAIN_PIECES = re.compile(rf" ?[{_L}]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Pieces whose ids a worker remembers.
 MEMO = 1 << 20
 
@@ -69,7 +74,7 @@ def token_ids(texts: list[str], path: str, end_id: int = END_ID) -> list[np.ndar
     The tokenizers library encodes each distinct piece once; texts are joined from their pieces' ids.
     """
     memo = _MEMO.setdefault(path, {})
-    cut = [PIECES.findall(x) for x in texts]
+    cut = [(PLAIN_PIECES if PLAIN.fullmatch(x) else PIECES).findall(x) for x in texts]
     new = list(set().union(*cut).difference(memo)) if cut else []
     if len(memo) + len(new) > MEMO:
         memo.clear()
