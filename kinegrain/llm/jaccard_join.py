@@ -349,7 +349,10 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     of equal rows one stays.
     """
     found = stored(jaccard_components(docs, **how), "components")
-    keep = stored(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    with_id = docs.where("doc_id is not null").join(checked_broadcast(keep), F.col("doc_id") == F.col("_id"), "left_semi")
-    first = with_id.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return first.where("_r = 1").drop("_r").unionByName(docs.where("doc_id is null"))
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    keep = stored(keep, "kept")
+    near = docs.join(checked_broadcast(keep), F.col("doc_id") == F.col("_id"))
+    # only rows of repeated ids are dealt by id; the others stay where they are
+    first = near.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    once = near.where("_n = 1").select(*docs.columns)
+    return once.unionByName(first.where("_r = 1").select(*docs.columns)).unionByName(docs.where("doc_id is null"))
