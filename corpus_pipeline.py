@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinegrain.llm import decontaminate, jaccard_join, mixing, quality, token_output
 from kinegrain.llm.common import stored, table
@@ -33,12 +32,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard files of token ids, and what is read back from them: doc_id, start, n_tokens, ids_crc32, folder."""
+    """Shard files of token ids, and what is read back from them: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
     folder, manifest = token_output.write_token_shards(docs, public_tokenizers.path(TOKENIZER_FILE))
-    read = token_output.read_token_shards(spark, folder, manifest)
-    return token_output.token_digest(read).withColumn("folder", F.lit(folder))
+    return token_output.token_digest(token_output.read_token_shards(spark, folder, manifest))
 
 
 STAGES = [

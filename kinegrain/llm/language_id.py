@@ -74,7 +74,7 @@ class Encoder:
         keys, owner = [], []
         for k, text in enumerate(texts):
             letters = " ".join(RUNS.findall(text.lower()))
-            if not letters:
+            if not any(map(str.isalpha, letters)):  # runs may hold numbers that are no digits
                 continue
             a = np.frombuffer(f" {letters} ".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
             key, count = np.unique((a[:-2] << 42) | (a[1:-1] << 21) | a[2:], return_counts=True)

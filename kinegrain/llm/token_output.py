@@ -68,6 +68,29 @@ MEMO = 1 << 20
 _MEMO: dict[str, dict[str, bytes]] = {}
 
 
+def _piece_ids(pieces: list[str], path: str, together: int = 512) -> dict[str, bytes]:
+    """Ids of each piece, as bytes.
+
+    Pieces of a space and a run of one class end where the next one's space is, so many of
+    them are encoded as one text, whose tokens the library numbers by piece.
+    """
+    t, out = tokenizer(path), {}
+    runs, alone = [], []
+    for p in pieces:
+        (runs if len(p) > 1 and p[0] == " " and not p[1].isspace() else alone).append(p)
+    chunks = [runs[k : k + together] for k in range(0, len(runs), together)]
+    for chunk, e in zip(chunks, t.encode_batch(["".join(c) for c in chunks], add_special_tokens=False)):
+        counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(chunk))
+        if len(counts) != len(chunk) or not counts.all():
+            alone += chunk
+            continue
+        raw, ends = np.array(e.ids, "<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        out.update(zip(chunk, (raw[a:b] for a, b in zip([0, *ends], ends))))
+    for p, e in zip(alone, t.encode_batch_fast(alone, add_special_tokens=False)):
+        out[p] = struct.pack(f"<{len(e)}I", *e.ids)
+    return out
+
+
 def token_ids(texts: list[str], path: str, end_id: int = END_ID) -> list[np.ndarray]:
     """Ids of each text with the end id, as unsigned 32-bit.
 
@@ -79,8 +102,7 @@ def token_ids(texts: list[str], path: str, end_id: int = END_ID) -> list[np.ndar
     if len(memo) + len(new) > MEMO:
         memo.clear()
         new = list(set().union(*cut))
-    for piece, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-        memo[piece] = struct.pack(f"<{len(e)}I", *e.ids)
+    memo.update(_piece_ids(new, path))
     end = struct.pack("<I", end_id)
     return [np.frombuffer(b"".join(map(memo.__getitem__, x)) + end, np.uint32) for x in cut]
 

@@ -165,7 +165,7 @@ def test_language_id(spark):
     words = {"aa": ("ban", "doro", "ali", "mano"), "bb": ("kri", "zst", "prk", "vlt"), "cc": ("ühe", "öäl", "üss", "äm")}
     text = lambda lang: " ".join(rng.choice(words[lang]) + rng.choice(words[lang]) for _ in range(30))
     rows = [(i, text(k), k) for i, k in enumerate("aa bb cc".split() * 30)]
-    docs = spark.createDataFrame([*rows, (500, None, "aa"), (501, "12 _ 3!", "aa"), (502, "", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*rows, (500, None, "aa"), (501, "12 _ 3! \u00b2", "aa"), (502, "", None)], "doc_id long, text string, lang string")
     protos = language_id.prototypes(docs.where("doc_id % 4 <> 2"))
     assert list(protos) == ["aa", "bb", "cc"]
     got = {r.doc_id: r for r in language_id.detect_language(docs, protos).collect()}
