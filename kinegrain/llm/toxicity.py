@@ -4,7 +4,7 @@ Lexicon. Words, and stems of 4 to 6 letters, are learned from labelled texts. Ev
 neighbourhood (word before, word after) in toxic texts is credited to one text that
 has it, and a term's support is the number of texts credited, so a text that was
 copied a thousand times supports a term no more than once; a stem also needs FORMS
-different words. Against it stands the number of clean texts that hold it. A term stays if its
+different words, none of which gives over half of its support. Against it stands the number of clean texts that hold it. A term stays if its
 likelihood ratio is beyond what chance gives among all terms tested; at most
 ``max_terms`` are kept.
 
@@ -215,12 +215,16 @@ def learn_lexicon(labelled: DataFrame, *, max_terms: int = MAX_TERMS) -> list[st
     n1, n0 = size.get(True, 0), size.get(False, 0)
     if not n1 or not n0:
         return []
-    support = (
+    credit = stored(
         labelled.where("toxic = 1").select("doc_id", "text").mapInPandas(toxic, "doc long, term string, around string, word string")
         .groupBy("term", F.xxhash64("around").alias("around")).agg(F.min("doc").alias("doc"), F.min("word").alias("word"))
-        .groupBy("term").agg(F.count_distinct("doc").alias("pos"), F.count_distinct("word").alias("forms"))
-        .where((F.col("pos") >= 3) & (~F.col("term").endswith("*") | (F.col("forms") >= FORMS)))
+        .groupBy("term", "doc", "word").agg(F.count(F.lit(1)).alias("n")),
+        "credit",
     )
+    support = credit.groupBy("term").agg(F.count_distinct("doc").alias("pos"), F.count_distinct("word").alias("forms")).where("pos >= 3")
+    stem = F.col("term").endswith("*")
+    top = credit.where(stem).groupBy("term", "word").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.max("n").alias("top"))
+    support = support.join(top, "term", "left").where(~stem | ((F.col("forms") >= FORMS) & (2 * F.col("top") <= F.col("pos"))))
     support = stored(support, "support")
     tested = support.count()
     against = labelled.where("toxic <> 1").select("text").mapInPandas(clean, "term string, n long").groupBy("term").agg(F.sum("n").alias("neg"))
