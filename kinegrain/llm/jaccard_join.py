@@ -214,6 +214,11 @@ def _compared(places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 def jaccard_components(docs: DataFrame, *, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); sets link at num/den Jaccard similarity."""
+    return _classed(docs, size, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _classed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The rows of jaccard_components with cls and root, the classes of a row's set and of its component; nulls for the empty set."""
     kind = dict(docs.dtypes)["doc_id"]
     index = stored(
         docs.select("doc_id", "text").mapInPandas(
@@ -332,27 +337,37 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, num: int = 90, den: in
     label = joined.select(F.col("node").alias("cls"), F.col("component").alias("root"))
     named = classes.select("cls", "rep").join(label, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(named.join(least, "root").select("cls", "component_id"), "named")
+    named = stored(named.join(least, "root").select("cls", "root", "component_id"), "named")
     discard(sets)
     every = index.select("doc_id", F.col("n").alias("n_shingles"), "cls")
     return (
         every.join(named, "cls", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", "cls", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     )
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
+def one_of_each(docs: DataFrame, *, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """docs with one row of each component, that of the least doc_id; rows with a null doc_id stay.
 
     Rows that repeat a doc_id with another text stay if their text's component has that doc_id;
     of equal rows one stays.
     """
-    found = stored(jaccard_components(docs, **how), "components")
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    keep = stored(keep, "kept")
-    near = docs.join(checked_broadcast(keep), F.col("doc_id") == F.col("_id"))
-    # only rows of repeated ids are dealt by id; the others stay where they are
-    first = near.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    once = near.where("_n = 1").select(*docs.columns)
-    return once.unionByName(first.where("_r = 1").select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+    found = stored(_classed(docs, size, num, den), "components")
+    own = F.col("doc_id") == F.col("component_id")
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(own).alias("_own"))
+    keep = stored(ids.where("_own").select("_id", "_n"), "kept")
+    near = docs.select(F.struct(*docs.columns).alias("_row")).join(checked_broadcast(keep), F.col("_row.doc_id") == F.col("_id"))
+    once = near.where("_n = 1").select("_row.*")
+    # only rows of repeated ids are told apart by class, one for each component; the others stay where they are
+    repeated = found.where(own).join(checked_broadcast(keep).where("_n > 1"), F.col("doc_id") == F.col("_id"))
+    chosen = repeated.groupBy("_id", "root").agg(F.min("cls").alias("_cls")).select(F.col("_id").alias("_of"), "_cls")
+
+    @F.pandas_udf("long")
+    def class_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_key(h) if (h := shingle_set(t, size)).size else None for t in texts], dtype="Int64")
+
+    many = near.where("_n > 1").withColumn("_key", class_of("_row.text"))
+    many = many.join(checked_broadcast(stored(chosen, "chosen")), (F.col("_id") == F.col("_of")) & F.col("_key").eqNullSafe(F.col("_cls")))
+    many = many.groupBy("_id", "_key").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row"))
+    return once.unionByName(many.select("_row.*")).unionByName(docs.where("doc_id is null"))
