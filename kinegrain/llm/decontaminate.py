@@ -14,6 +14,11 @@
 5. Exact weighted similarity of the shingle sets, sum of weights in both over sum of
    weights in either, decides: ``threshold`` or more is a leak.
 
+A shingle weighs 1 over the number of distinct item texts that hold it, so an item
+under several ids weighs as under one. Shingles that no item holds weigh as the mean
+of the window's others in fingerprints; in the exact similarity, those that the item
+does not hold weigh no more than the item's mean.
+
 The benchmark is bounded by MAX_ITEMS and MAX_SHINGLES (an error beyond), so its
 tables may be broadcast; documents are never shuffled whole, only the few that hold
 an item's shingle.
@@ -27,7 +32,7 @@ finds no leak.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, stored
@@ -136,8 +141,8 @@ def find_leaks(
         raise ValueError("blocks within 2 bits guarantee a radius of 23 at most")
     bench = item_shingles(items, size)
     listed = bench.select("item_id", "n", F.posexplode("sh").alias("q", "h"))
-    df = listed.groupBy("h").agg(F.count_distinct("item_id").alias("df"))
-    # weight of a shingle: its rarity among the items; one that no item holds weighs as the rarest
+    df = bench.select("sh").distinct().select(F.explode(F.array_distinct("sh")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    # weight of a shingle: its rarity among the items' distinct texts
     weights = stored(df.select("h", (1.0 / F.col("df")).alias("w")), "weights")
     bloom, words = _bloom(bench)
 
@@ -159,8 +164,10 @@ def find_leaks(
     windows = starts.join(near.select("doc_id", "row", "sh"), ["doc_id", "row"]).select(
         "doc_id", "row", "s", "n", F.explode(F.array_distinct(F.slice("sh", F.col("s") + 1, F.col("n")))).alias("h")
     )
-    weighed = stored(windows.join(checked_broadcast(weights), "h", "left").withColumn("w", F.coalesce("w", F.lit(1.0))), "windows")
     keys = ["doc_id", "row", "s", "n"]
+    # what no item holds weighs as the window's other shingles do, so that it counts on the scale of the item
+    held = F.avg("w").over(Window.partitionBy(*keys))
+    weighed = stored(windows.join(checked_broadcast(weights), "h", "left").withColumn("w", F.coalesce("w", held, F.lit(1.0))), "windows")
     of_windows = fingerprint(weighed, keys)
     own = listed.select("item_id", "n", "h").distinct().join(checked_broadcast(weights), "h")
     of_items = stored(fingerprint(own, ["item_id", "n"]), "item_fp")
@@ -181,13 +188,13 @@ def find_leaks(
     found = stored(found, "found")
 
     both = found.join(weighed, keys).join(checked_broadcast(stored(own.select("item_id", "h", F.lit(1).alias("own")), "own")), ["item_id", "h"], "left")
-    window = both.groupBy("doc_id", "row", "s", "item_id", "distance").agg(
-        F.sum("w").alias("all"), F.coalesce(F.sum(F.when(F.col("own") == 1, F.col("w"))), F.lit(0.0)).alias("shared")
-    )
-    item_weight = own.groupBy("item_id").agg(F.sum("w").alias("item"))
-    scored = window.join(checked_broadcast(stored(item_weight, "item_weight")), "item_id").withColumn(
-        "similarity", F.col("shared") / (F.col("all") + F.col("item") - F.col("shared"))
+    item_weight = stored(own.groupBy("item_id").agg(F.sum("w").alias("item"), F.avg("w").alias("mean")), "item_weight")
+    both = both.join(checked_broadcast(item_weight), "item_id")
+    window = both.groupBy("doc_id", "row", "s", "item_id", "distance", "item").agg(
+        F.sum(F.when(F.col("own").isNull(), F.least("w", "mean")).otherwise(0.0)).alias("strange"),
+        F.coalesce(F.sum(F.when(F.col("own") == 1, F.col("w"))), F.lit(0.0)).alias("shared"),
     )
+    scored = window.withColumn("similarity", F.col("shared") / (F.col("strange") + F.col("item")))
     best = F.max(F.struct(F.col("similarity"), (-F.col("s")).alias("s"), (-F.col("distance")).alias("d")))
     return (
         scored.where(F.col("similarity") >= threshold - 1e-9)
