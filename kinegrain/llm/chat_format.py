@@ -57,17 +57,15 @@ def argument_errors(arguments: Column, known: Column, required: Column, types: C
     )
 
 
-def call_levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(conv_id, id, level) from (conv_id, id, needs): rounds add the calls whose needs are all placed."""
+def call_levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, id, level) from (conv_id, id, needs): rounds add the calls whose needs are all placed, until none is added."""
     known = calls.select("conv_id", "id")
     edges = calls.select("conv_id", "id", F.explode(F.array_distinct("needs")).alias("need"))
     edges = stored(edges.join(known.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"]), "needs")
     waits = edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("waits"))
     placed = stored(known.join(waits, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
     total = placed.count()
-    for _ in range(max_rounds):
-        if not edges.take(1):
-            break
+    while edges.take(1):
         met = edges.join(placed.select("conv_id", F.col("id").alias("need"), "level"), ["conv_id", "need"])
         ready = met.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("met"), (F.max("level") + 1).alias("level"))
         ready = ready.join(waits, ["conv_id", "id"]).where("met = waits").select("conv_id", "id", "level")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from ..sources.store import stored
 
 
-def components(edges: DataFrame, keys: list[str] | None = None, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, node, component (the least node) of undirected edges (keys, a, b): least labels pass along edges and jump to their label's label.
 
-    Each round is cut by a stored table; rounds end when no label changes.
+    Each round is cut by a stored table; rounds end when no label changes, which they do, as labels only become less.
     """
     keys = keys or []
     both = edges.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(*keys, F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     both = stored(both, "edges")
     labels = stored(both.groupBy(*keys, "u").agg(F.least(F.first("u"), F.min("v")).alias("l")), "labels")
-    for _ in range(max_rounds):
+    while True:
         pushed = both.join(labels.select(*keys, F.col("u").alias("v"), "l"), [*keys, "v"]).groupBy(*keys, "u").agg(F.min("l").alias("n"))
         new = labels.join(pushed, [*keys, "u"]).select(*keys, "u", F.least("l", "n").alias("l"))
         jump = new.select(*keys, F.col("u").alias("l"), F.col("l").alias("j"))
@@ -31,15 +31,15 @@ def components(edges: DataFrame, keys: list[str] | None = None, max_rounds: int
     return labels.select(*keys, F.col("u").alias("node"), F.col("l").alias("component"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_hops: int = 32) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """entity, start, node: what a start reaches when its first hop may be of any kind and later hops are B, C or D; itself included.
 
-    Each round extends the frontier only, by nodes not seen yet.
+    Each round extends the frontier only, by nodes not seen yet, until there are none.
     """
     e = stored(edges.select("entity", "src", "dst", "kind").distinct(), "edges")
     seen = stored(starts.select("entity", F.col("node").alias("start"), "node").distinct(), "reach")
     front = seen
-    for hop in range(max_hops):
+    for hop in count():
         usable = e if hop == 0 else e.where("kind in ('B', 'C', 'D')")
         step = front.join(usable, (front["entity"] == usable["entity"]) & (front["node"] == usable["src"])).select(front["entity"], "start", F.col("dst").alias("node")).distinct()
         front = stored(step.join(seen, ["entity", "start", "node"], "left_anti"), "reach")
@@ -69,11 +69,11 @@ def motion_nodes(edges: DataFrame) -> DataFrame:
     return edges.where("kind in ('B', 'C')").select("entity", F.col("dst").alias("node")).distinct()
 
 
-def closure(edges: DataFrame, max_hops: int = 32) -> DataFrame:
-    """name, needs: all that a name depends on, however far."""
+def closure(edges: DataFrame) -> DataFrame:
+    """name, needs: all that a name depends on, however far; rounds end when they bring no new pair."""
     seen = stored(edges.select("name", "needs").distinct(), "closure")
     front = seen
-    for _ in range(max_hops):
+    while True:
         step = front.join(edges.select(F.col("name").alias("needs"), F.col("needs").alias("far")), "needs").select("name", F.col("far").alias("needs")).distinct()
         front = stored(step.join(seen, ["name", "needs"], "left_anti"), "closure")
         if not front.take(1):
