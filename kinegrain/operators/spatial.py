@@ -65,16 +65,23 @@ def mutual_nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     return ab.join(ba, ["a", "b"])
 
 
-def closest_frames(frames: DataFrame, targets: DataFrame, k: int, reach: int) -> DataFrame:
+def closest_frames(frames: DataFrame, targets: DataFrame, k: int, reach: int | None = None) -> DataFrame:
     """object, target, frame, rank: the nearest frame before, the nearest at or after, then the next nearest, up to k.
 
-    Frames up to ``reach`` away are candidates; they meet targets in an equi-join of buckets of that width.
+    Frames are numbered by object; a target meets the k before it and the k at or after it by number,
+    however far they are. A ``reach`` leaves those farther away out.
     """
-    f = frames.select("object", "frame", F.floor(F.col("frame") / reach).alias("_b"))
-    t = targets.select("object", "target").withColumn("_b", F.explode(F.array(*[F.floor(F.col("target") / reach) + d for d in (-1, 0, 1)])))
-    near = t.join(f, ["object", "_b"]).where(F.abs(F.col("frame") - F.col("target")) <= reach)
+    order = Window.partitionBy("object").orderBy("frame")
+    f = frames.select("object", "frame").withColumn("_p", F.row_number().over(order))
+    both = frames.select("object", "frame", F.lit(1).alias("_f")).unionByName(targets.select("object", F.col("target").alias("frame"), F.lit(0).alias("_f")))
+    # frames at the target's own place are not before it
+    before = F.coalesce(F.sum("_f").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("_f").over(Window.partitionBy("object", "frame")), F.lit(0))
+    t = both.withColumn("_n", before).where("_f = 0").select("object", F.col("frame").alias("target"), F.explode(F.sequence(F.col("_n") - (k - 1), F.col("_n") + k)).alias("_p"))
+    near = t.join(f, ["object", "_p"])
     side = F.when(F.col("frame") < F.col("target"), 0).otherwise(1)
     gap = F.abs(F.col("frame") - F.col("target"))
+    if reach is not None:
+        near = near.where(gap <= reach)
     w = Window.partitionBy("object", "target")
     near = near.withColumn("_first", F.row_number().over(Window.partitionBy("object", "target", side).orderBy(gap)))
     rank = F.row_number().over(w.orderBy(F.when(F.col("_first") == 1, side).otherwise(2), gap, "frame"))

@@ -57,7 +57,7 @@ def small_region_removal(spark, sf_dir):
 
 @query()
 def small_part_merge(spark, sf_dir):
-    a = view(spark, sf_dir, "annotations").where("part % 3 = 0").select("entity", "part", c("price").alias("size"))
+    a = view(spark, sf_dir, "annotations").select("entity", "part", c("price").alias("size"))
     pairs = a.select("entity", c("part").alias("a"), "size").join(a.select("entity", c("part").alias("b")), "entity").where("a < b").select("entity", "a", "b", c("size").alias("w"))
     return P.small_parts(a, pairs, "entity", 100_000.0)
 
