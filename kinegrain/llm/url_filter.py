@@ -28,7 +28,9 @@ from .common import checked_broadcast, stored
 
 #: (host, path prefix, verdict): a rule fits its host and all subdomains.
 Rule = tuple[str, str, str]
+#: Segments that are levels of their own; the rest of a longer path is one more.
 DEPTH = 3
+LEVELS = DEPTH + 1
 VARIED = 0.5
 LEAST = 20
 PRIOR, STRENGTH, REJECT = 0.2, 4.0, 0.5
@@ -57,24 +59,24 @@ def rule_fields(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 def segments(path: Column) -> list[Column]:
     """The first DEPTH segments with variable parts as '#', then the rest as one; absent ones are null."""
     shaped = F.regexp_replace(path, r"[0-9]+", "#")
-    parts = F.split(F.regexp_replace(shaped, r"^/", ""), "/", DEPTH + 1)
-    return [F.get(parts, k) for k in range(DEPTH)]
+    parts = F.split(F.regexp_replace(shaped, r"^/", ""), "/", LEVELS)
+    return [F.get(parts, k) for k in range(LEVELS)]
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """host, t0..t2 (segments), n, labelled, blocked, and the template's s0..s2 after generalising and merging, from (host, path, label)."""
-    cols = [f"t{k}" for k in range(DEPTH)]
+    """host, t0..t3 (segments), n, labelled, blocked, and the template's s0..s3 after generalising and merging, from (host, path, label)."""
+    cols = [f"t{k}" for k in range(LEVELS)]
     base = urls.select("host", *[c.alias(n) for c, n in zip(segments(F.col("path")), cols)], "label")
     base = base.groupBy("host", *cols).agg(
         F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum(F.when(F.col("label") == "block", 1).otherwise(0)), F.lit(0)).alias("blocked")
     )
     base = stored(base, "templates")
     tree = base
-    for k in range(DEPTH):
+    for k in range(LEVELS):
         above = ["host", *[f"s{i}" for i in range(k)]]
         seg = F.coalesce(F.col(f"t{k}"), F.lit("\x01"))
         tree = tree.withColumn("seg", seg)
-        branch = tree.groupBy(*above, "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")], F.sum(F.when(F.col(f"t{k + 1}").isNull() if k + 1 < DEPTH else F.lit(True), F.col("n")).otherwise(0)).alias("ends"))
+        branch = tree.groupBy(*above, "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")], F.sum(F.when(F.col(f"t{k + 1}").isNull() if k + 1 < LEVELS else F.lit(True), F.col("n")).otherwise(0)).alias("ends"))
         # branches with the same parent, the same rounded profile and no differing labels are alike
         profile = F.struct(
             F.round(F.col("ends") / F.col("n") / ALIKE).cast("int").alias("e"),
@@ -92,31 +94,33 @@ def templates(urls: DataFrame) -> DataFrame:
 
 
 def template_verdicts(tree: DataFrame, *, prior: float = PRIOR, strength: float = STRENGTH, reject: float = REJECT) -> DataFrame:
-    """tree's host and t0..t2 with template, purity and method verdict."""
-    levels = [["host", *[f"s{i}" for i in range(k)]] for k in range(DEPTH + 1)]
+    """tree's host and t0..t3 with template, purity and method verdict."""
+    levels = [["host", *[f"s{i}" for i in range(k)]] for k in range(LEVELS + 1)]
     purity, out = F.lit(prior), tree
     for k, keys in enumerate(levels):
-        seen = "labelled" if k == DEPTH else "n"
+        seen = "labelled" if k == LEVELS else "n"
         own = tree.groupBy(*keys).agg(F.sum(seen).alias(f"l{k}"), F.sum("blocked").alias(f"b{k}"))
         out = out.join(own, keys)
-    for k in range(DEPTH + 1):
-        purity = (F.col(f"b{k}") + F.lit(strength) * purity) / (F.col(f"l{k}") + F.lit(strength))
-    names = F.transform(F.filter(F.array(*[f"s{k}" for k in range(DEPTH)]), lambda s: s != "\x01"), lambda s: F.when(s.startswith("*"), F.lit("*")).otherwise(s))
+    for k in range(LEVELS + 1):
+        own = (F.col(f"b{k}") + F.lit(strength) * purity) / (F.col(f"l{k}") + F.lit(strength))
+        # a path without a rest ends one level above: its template is the next step
+        purity = F.when(F.col(f"s{DEPTH}") == "\x01", purity).otherwise(own) if k == DEPTH else own
+    names = F.transform(F.filter(F.array(*[f"s{k}" for k in range(LEVELS)]), lambda s: s != "\x01"), lambda s: F.when(s.startswith("*"), F.lit("*")).otherwise(s))
     out = out.withColumn("purity", purity)
     return out.select(
-        "host", *[f"t{k}" for k in range(DEPTH)], F.concat(F.lit("/"), F.array_join(names, "/")).alias("template"), "purity",
+        "host", *[f"t{k}" for k in range(LEVELS)], F.concat(F.lit("/"), F.array_join(names, "/")).alias("template"), "purity",
         F.when(F.col("purity") >= reject, "block").otherwise("allow").alias("method"),
     )
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], **how) -> DataFrame:
     """pages with host, path, rule, verdict, template and purity; the rule's verdict, else the method's."""
-    taken = {"host", "path", "rule", "verdict", "template", "purity", "method", "label", *[f"t{k}" for k in range(DEPTH)]}
+    taken = {"host", "path", "rule", "verdict", "template", "purity", "method", "label", *[f"t{k}" for k in range(LEVELS)]}
     kept = [c for c in pages.columns if c not in taken]
     split = pages.select(*kept, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_fields(F.col("host"), F.col("path"), rules)
     split = split.withColumns({"rule": name, "label": verdict})
-    cols = [f"t{k}" for k in range(DEPTH)]
+    cols = [f"t{k}" for k in range(LEVELS)]
     judged = stored(template_verdicts(templates(split), **how), "judged")
     for k, c in enumerate(segments(F.col("path"))):
         split = split.withColumn(cols[k], c)
@@ -128,7 +132,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], **how) -> DataFrame:
 
 
 def verdict_sql(rules: list[Rule], prior: float = PRIOR, strength: float = STRENGTH, reject: float = REJECT) -> str:
-    """The same judgement of ``pages`` as DuckDB SQL: page_id, host, path, rule, verdict."""
+    """The same judgement of ``pages`` as DuckDB SQL, for paths of at most DEPTH segments: page_id, host, path, rule, verdict."""
     name, verdict = "null", "null"
     for h, p, v in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), len(r[1]), r)):
         fits = f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
