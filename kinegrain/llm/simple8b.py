@@ -8,6 +8,8 @@ every word be decoded without looking at its neighbours.
 
 A stream is cut into blocks of a fixed number of values; blocks start at a word,
 and the offsets of blocks in words are stored, so any block can be decoded alone.
+Both directions work on many blocks at once: each step of the encoder places one
+word in every block that is not full yet.
 """
 
 from __future__ import annotations
@@ -17,87 +19,120 @@ import numpy as np
 ESCAPE = 1
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNTS = np.array([240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
-BLOCK = 1 << 15
+#: Values in a block, values that are coded together, and room behind a block for what its last word doesn't use.
+BLOCK, TOGETHER, ROOM = 1 << 10, 1 << 18, 240
+
+_U = np.uint64
+_WIDTH = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def _widths(v: np.ndarray) -> np.ndarray:
+    """Bits of each value; beyond 2^53 perhaps one more, which only makes the choice wider."""
+    if not len(v) or int(v.max()) < 1 << 16:
+        return _WIDTH[v.astype(np.int64)]
+    return np.frexp(v.astype(np.float64))[1].astype(np.uint8)
 
 
 def _choices(v: np.ndarray) -> np.ndarray:
-    """For each place, the selector that packs most values from there on; what lies behind the end fits anything."""
-    n = len(v)
-    # bits of each value; beyond 2^53 perhaps one more, which only makes the choice wider
-    width = np.frexp(v.astype(np.float64))[1].astype(np.uint8)
-    best = np.full(n, 15, np.int8)
-    places = np.arange(n, dtype=np.int32)
-    left = n - places
-    end = np.int32(n + 240)
+    """For each place, the selector that packs most values from there on; zeros behind a block's end fit anything."""
+    widest = _widths(v)
+    best = np.full(len(v), 15, np.uint8)
+    span = 1
     for s in [*range(14, 1, -1), 0]:
-        far = np.where(width > BITS[s], places, end)
-        reach = np.minimum.accumulate(far[::-1])[::-1] - places
-        best[reach >= np.minimum(COUNTS[s].astype(np.int32), left)] = s
-    best[v >> np.uint64(60) != 0] = ESCAPE
+        # the widest of the next COUNTS[s] values, from that of fewer
+        while span < COUNTS[s]:
+            step = min(span, int(COUNTS[s]) - span)
+            widest = np.maximum(widest, np.concatenate([widest[step:], np.zeros(step, np.uint8)]))
+            span += step
+        best[widest <= BITS[s]] = s
+    best[v >> _U(60) != 0] = ESCAPE
     return best
 
 
-def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, escaped values) of one block of unsigned 64-bit values."""
-    v = np.ascontiguousarray(values, np.uint64)
-    n = len(v)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def _encode_blocks(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, words by block, escaped, escaped by block) of whole blocks, of which the last may be short."""
+    n = len(values)
+    blocks = -(-n // block)
+    stride = block + ROOM
+    wide = np.zeros((blocks, stride), _U)
+    full = n // block
+    wide[:full, :block] = values[: full * block].reshape(full, block)
+    if full < blocks:
+        wide[full, : n - full * block] = values[full * block :]
+    v = wide.ravel()
     choice = _choices(v)
     step = COUNTS[choice]
-    # a run of zeros and a full word of ones look alike behind the end; steps past it just end the block
-    starts, at, steps = [], 0, step.tolist()
-    while at < n:
-        starts.append(at)
-        at += steps[at]
-    first = np.array(starts, np.int64)
-    picked = choice[first].astype(np.int64)
-    words = picked.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([v, np.zeros(240, np.uint64)])
+    at = np.arange(blocks, dtype=np.int64) * stride
+    end = at + np.minimum(block, n - np.arange(blocks, dtype=np.int64) * block)
+    starts = np.zeros(len(v), bool)
+    while len(at):
+        starts[at] = True
+        at = at + step[at]
+        going = at < end
+        if not going.all():
+            at, end = at[going], end[going]
+    first = np.flatnonzero(starts)
+    picked = choice[first]
+    words = picked.astype(_U) << _U(60)
     for s in range(2, 16):
         mine = np.flatnonzero(picked == s)
-        for k in range(COUNTS[s]):
-            words[mine] |= padded[first[mine] + k] << np.uint64(BITS[s] * k)
+        if len(mine):
+            place, word = first[mine], words[mine]
+            for k in range(COUNTS[s]):
+                word |= v[place + k] << _U(BITS[s] * k)
+            words[mine] = word
+    owner = first // stride
     gone = np.flatnonzero(picked == ESCAPE)
-    words[gone] |= np.arange(len(gone), dtype=np.uint64)
-    return words, v[first[gone]]
+    escapes = np.bincount(owner[gone], minlength=blocks)
+    before = np.cumsum(escapes) - escapes
+    words[gone] |= (np.arange(len(gone)) - before[owner[gone]]).astype(_U)
+    return words, np.bincount(owner, minlength=blocks), v[first[gone]], escapes
 
 
-def decode_block(words: np.ndarray, escaped: np.ndarray, n: int) -> np.ndarray:
-    """The n values of a block."""
-    picked = (words >> np.uint64(60)).astype(np.int64)
+def _decode_blocks(words: np.ndarray, offsets: np.ndarray, escaped: np.ndarray, escape_offsets: np.ndarray, n: int, block: int) -> np.ndarray:
+    """The n values of whole blocks; offsets are those of the blocks and the end."""
+    picked = (words >> _U(60)).astype(np.int64)
     count = COUNTS[picked]
+    blocks, stride = len(offsets) - 1, block + ROOM
+    owner = np.repeat(np.arange(blocks), np.diff(offsets))
     start = np.cumsum(count) - count
-    out = np.zeros(int(count.sum()) if len(count) else 0, np.uint64)
+    place = start - start[offsets[:-1]][owner] + owner * stride
+    out = np.zeros(blocks * stride, _U)
     for s in range(2, 16):
         mine = np.flatnonzero(picked == s)
         if len(mine):
-            w, mask = words[mine], np.uint64((1 << int(BITS[s])) - 1)
+            w, at, mask = words[mine], place[mine], _U((1 << int(BITS[s])) - 1)
             for k in range(COUNTS[s]):
-                out[start[mine] + k] = (w >> np.uint64(BITS[s] * k)) & mask
+                out[at + k] = (w >> _U(BITS[s] * k)) & mask
     gone = np.flatnonzero(picked == ESCAPE)
     if len(gone):
-        out[start[gone]] = escaped[(words[gone] & np.uint64((1 << 60) - 1)).astype(np.int64)]
-    return out[:n]
+        rank = (words[gone] & _U((1 << 60) - 1)).astype(np.int64)
+        out[place[gone]] = escaped[rank + escape_offsets[:-1][owner[gone]]]
+    return out.reshape(blocks, stride)[:, :block].ravel()[:n]
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> dict[str, np.ndarray]:
     """words, offsets (of each block's words, and the end), escaped, escape_offsets of a whole stream."""
-    parts = [encode_block(values[k : k + block]) for k in range(0, len(values), block)]
-    ends = lambda i: np.concatenate([[0], np.cumsum([len(p[i]) for p in parts])]).astype(np.uint64)
-    join = lambda i: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64)
-    return {"words": join(0), "offsets": ends(0), "escaped": join(1), "escape_offsets": ends(1)}
+    v = np.ascontiguousarray(values, _U)
+    step = max(1, TOGETHER // block) * block
+    parts = [_encode_blocks(v[k : k + step], block) for k in range(0, len(v), step)]
+    join = lambda i, kind: np.concatenate([np.zeros(0, kind), *[p[i] for p in parts]]).astype(kind)
+    ends = lambda i: np.concatenate([np.zeros(1, _U), np.cumsum(join(i, np.int64)).astype(_U)])
+    return {"words": join(0, _U), "offsets": ends(1), "escaped": join(2, _U), "escape_offsets": ends(3)}
 
 
 def decode(stream: dict[str, np.ndarray], n: int, first: int = 0, last: int | None = None, block: int = BLOCK) -> np.ndarray:
     """Values first to last (exclusive) of a stream of n, decoding only the blocks that hold them."""
     last = n if last is None else last
     if first >= last:
-        return np.zeros(0, np.uint64)
-    out = []
-    for b in range(first // block, -(-last // block)):
-        w = stream["words"][int(stream["offsets"][b]) : int(stream["offsets"][b + 1])]
-        e = stream["escaped"][int(stream["escape_offsets"][b]) : int(stream["escape_offsets"][b + 1])]
-        out.append(decode_block(w, e, min(block, n - b * block)))
+        return np.zeros(0, _U)
+    out, step = [], max(1, TOGETHER // block)
+    ends, escape_ends = stream["offsets"].astype(np.int64), stream["escape_offsets"].astype(np.int64)
+    stop = -(-last // block)
+    for b in range(first // block, stop, step):
+        c = min(b + step, stop)
+        o, e = ends[b : c + 1], escape_ends[b : c + 1]
+        part = _decode_blocks(stream["words"][o[0] : o[-1]], o - o[0], stream["escaped"][e[0] : e[-1]], e - e[0], min(c * block, n) - b * block, block)
+        out.append(part)
     base = first // block * block
     return np.concatenate(out)[first - base : last - base]

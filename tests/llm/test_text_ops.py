@@ -136,15 +136,44 @@ def test_simple8b_packs():
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
-def test_token_ids_are_the_librarys(text):
-    text = text.encode("utf-8", "replace").decode()
-    want = token_output.tokenizer(TOKENIZER).encode(text, add_special_tokens=False).ids + [0]
-    assert token_output.token_ids([text], TOKENIZER)[0].tolist() == want
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizers library's own object for the file, untouched."""
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(TOKENIZER)
 
-def test_token_output(spark):
+
+ODD = st.text(alphabet=" \n\t'sléa1,.\u3000\x1c\x85中²", max_size=20)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=60), ODD, st.sampled_from(["", " ", "a ", " a", "x <|endoftext|> y", "end.\n\n", "\n\na  b"])), max_size=6))
+def test_token_ids_are_the_librarys(library, texts):
+    texts = [t.encode("utf-8", "replace").decode() for t in texts]
+    want = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert [x.tolist() for x in token_output.token_ids(texts, TOKENIZER)] == want
+
+
+def test_token_ids_after_forgetting(library, monkeypatch):
+    monkeypatch.setattr(token_output, "MEMO", 40)
+    monkeypatch.setattr(token_output, "_CODERS", {})
+    rng = random.Random(4)
+    for _ in range(12):
+        texts = [prose(rng, rng.randint(0, 30)) for _ in range(5)]
+        assert [x.tolist() for x in token_output.token_ids(texts, TOKENIZER)] == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    texts = ["Hello  World", "", "two words.\n"]
+    other = Tokenizer.from_file(path)
+    assert [x.tolist() for x in token_output.token_ids(texts, path)] == [other.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_token_output(spark, library):
     docs = odd_docs(spark, [(i, f"text {i} it's  two\n\n lines", "en", "s", 0, None, 0) for i in range(50, 20, -1)])
     folder, manifest = token_output.write_token_shards(docs, TOKENIZER, shard_ids=500)
     got = token_output.token_digest(token_output.read_token_shards(spark, folder, manifest)).collect()
@@ -153,7 +182,7 @@ def test_token_output(spark):
     assert len(got) == len(rows)
     at = 0
     for r, g in zip(rows, got):
-        ids = np.array(token_output.tokenizer(TOKENIZER).encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
+        ids = np.array(library.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
         assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     folder, manifest = token_output.write_token_shards(docs.limit(0), TOKENIZER)
