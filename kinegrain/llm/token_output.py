@@ -131,25 +131,23 @@ class _Coder:
         self.held += len(ids)
 
     def _learn(self, together: int = 512) -> None:
-        """Ids of fresh pieces. A space and a run of letters end where the next one's space is, so many are encoded as one text, whose tokens the library numbers by word."""
+        """Ids of fresh pieces. One that begins with a space ends where the next one's space is, so many are encoded as one text, whose tokens the library numbers by piece."""
         at, fresh = self.places.base, self.places.fresh
         for k in range(0, len(fresh), together):
             some = fresh[k : k + together]
-            got: list[list[int] | None] = [None] * len(some)
-            runs = [i for i, p in enumerate(some) if p[0] == " " and p[1:].isalpha()]
-            if runs:
-                e = self.library.encode("".join([some[i] for i in runs]), add_special_tokens=False)
-                counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(runs))
-                if len(counts) == len(runs) and counts.all():
-                    ids, lo = e.ids, 0
-                    for i, c in zip(runs, counts.tolist()):
-                        got[i] = ids[lo : lo + c]
-                        lo += c
-            rest = [i for i, x in enumerate(got) if x is None]
-            for i, e in zip(rest, self.library.encode_batch_fast([some[i] for i in rest], add_special_tokens=False)):
-                got[i] = e.ids
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            self._add(at + k, counts, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(counts.sum())))
+            runs = [i for i, p in enumerate(some) if p[0] == " " < p[1:2]]
+            e = self.library.encode("".join([some[i] for i in runs]), add_special_tokens=False)
+            size, ids = np.bincount(np.array(e.word_ids, np.int64), minlength=len(runs)), np.array(e.ids, np.uint32)
+            if len(size) != len(runs) or not size.all():
+                runs, size, ids = [], size[:0], ids[:0]
+            taken = set(runs)
+            rest = [i for i in range(len(some)) if i not in taken]
+            own = [e.ids for e in self.library.encode_batch_fast([some[i] for i in rest], add_special_tokens=False)]
+            size = np.concatenate([size, np.fromiter(map(len, own), np.int64, len(own))])
+            ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(own), np.uint32)])
+            row = np.empty(len(some), np.int64)
+            row[runs + rest] = np.arange(len(some))
+            self._add(at + k, size[row], _gather(ids, size, row))
         self.places.base, self.places.fresh = at + len(fresh), []
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
