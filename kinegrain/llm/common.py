@@ -37,11 +37,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch that a stored table's Python functions get, so that batches of long texts stay small.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back with the same schema."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinegrain_path = path
     return out
@@ -90,7 +100,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds: each node is linked to the
     least neighbour, so chains shorten exponentially and a hot node only ever
     passes on one edge for each neighbour. Every round is cut by a stored
-    table. Nodes without edges don't appear. Raises if not done by max_rounds.
+    table, and rounds end when the edges, told by their number and two hashes of them
+    all, stay as they are. Nodes without edges don't appear. Raises if not done by max_rounds.
     """
     cur = stored(
         edges.where("a is not null and b is not null and a <> b")
@@ -98,28 +109,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "cc",
     )
+    mark = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(7), "u"))).first()
+    last = mark(cur)
     for _ in range(max_rounds):
-        if not cur.take(1):
+        if not last[0]:
             break
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # stored, so that the adaptive join can split a hot node's rows
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc")
         # large star: strictly larger neighbours go to the least of the neighbourhood
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(checked_broadcast(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.where("u <> v").distinct(), "cc")
         # small star: the smaller neighbours and the node itself go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        near = large.join(checked_broadcast(least), "u")
         small = (
             near.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
+            .union(least.select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
         )
         new = stored(small, "cc")
-        same = new.join(cur, ["u", "v"], "left_anti").take(1) == [] and new.count() == cur.count()
-        discard(cur)
-        cur = new
-        if same:
+        discard(cur, low, large, least)
+        cur, before, last = new, last, mark(new)
+        if last == before:
             break
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")

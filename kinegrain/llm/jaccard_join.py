@@ -8,12 +8,14 @@
    single class cannot bring a candidate, so only their number is kept for each
    class, and lists hold frequent tokens only where a class has no rarer ones.
 3. Lists give each class the leaders it meets most often; pairs that also agree by
-   MinHash make families of highly similar sets. This only decides where pairs are
-   compared, not whether.
+   MinHash make families of highly similar sets, and so do all classes that meet in a
+   long list. This only decides where pairs are compared, not whether: no list that is
+   joined with itself has more than LONG entries, however many copies there are.
 4. Inside a family, answers are derived from those of a leader: with D(x) the
    difference of x to the leader l, |x & y| = |l| - |l \\ x| - |l \\ y| + |D(x) & D(y)|.
-   Families are compared in blocks of bounded size, first each block with a few
-   hubs, then pairs of blocks; blocks that lie in one component already are skipped.
+   Families are compared in blocks of bounded numbers of sets and tokens, first each
+   block with a few hubs, then pairs of blocks of like set sizes; pairs of blocks that
+   lie in the family's main component already are skipped.
 5. Across families, list entries are joined by token and size block, and skipped by
    size and by position: entries at places i and j can share at most
    min(n_x - i, n_y - j) tokens.
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, connected_components, discard, stored
@@ -43,9 +45,11 @@ _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111
 #: One of so many hashes is an indexed token.
 INDEXED = 3
 #: Sets in a block of a family, hubs that every block is compared with, and tokens that a block may hold.
-BLOCK, HUBS = 256, 8
+BLOCK, HUBS, TOKENS = 256, 8, 1 << 18
+#: Classes that meet in a list of more entries are of one family; so pairs across families come from shorter lists only.
+LONG = 32
 #: Words whose hashes a worker remembers.
-MEMO = 1 << 20
+MEMO = 1 << 17
 
 _WORDS: dict[bytes, int] = {}
 
@@ -217,8 +221,8 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, num: int = 90, den: in
     return _classed(docs, size, num, den).select("doc_id", "n_shingles", "component_id")
 
 
-def _classed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The rows of jaccard_components with cls and root, the classes of a row's set and of its component; nulls for the empty set."""
+def _classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls) of each row, and the classes: rep, n, k (indexed tokens), short, sketch and tokens of one row of each."""
     kind = dict(docs.dtypes)["doc_id"]
     index = stored(
         docs.select("doc_id", "text").mapInPandas(
@@ -227,54 +231,61 @@ def _classed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         ),
         "index",
     )
+    # copies meet before the shuffle: of a class with a third of all rows each task passes on one
+    one = [F.first(c).alias(c) for c in ("n", "short", "sketch", "tokens")]
     usable = index.where("cls is not null and doc_id is not null")
-    classes = stored(
-        usable.groupBy("cls").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("short").alias("short"),
-            F.first(F.size("tokens")).alias("k"), F.first("sketch").alias("sketch"),
-        ),
-        "classes",
-    )
-
-    # the index: tokens of more than one class, with their frequency
-    entries = usable.select("cls", F.explode("tokens").alias("h")).repartition("h")
-    common = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    shared = stored(
-        entries.join(common.select("h", "df").hint("shuffle_hash"), "h").dropDuplicates(["h", "cls"]), "shared"
-    )
-    ranked = shared.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("df", "h"))).join(
-        shared.groupBy("cls").agg(F.count(F.lit(1)).alias("v")), "cls"
-    )
-    alone = F.col("k") - F.col("v")
+    classes = usable.groupBy("cls").agg(F.min("doc_id").alias("rep"), *one).withColumn("k", F.size("tokens"))
+    classes = stored(classes, "classes")
+    every = stored(index.select("doc_id", "n", "cls"), "rows")
+    discard(index)
+    return every, classes
+
+
+def _postings(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """h, cls, n, place: the prefix index over tokens of several classes."""
+    entries = classes.select("cls", F.explode("tokens").alias("h"))
+    common = stored(entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
+    shared = entries.join(common.hint("shuffle_hash"), "h")
+    own = Window.partitionBy("cls")
+    ranked = shared.withColumns({"r": F.row_number().over(own.orderBy("df", "h")), "v": F.count(F.lit(1)).over(own)})
+    found = ranked.join(classes.select("cls", "n", "k", "short"), "cls").withColumn("rank", F.col("k") - F.col("v") + F.col("r"))
     length = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1
-    place = (alone + F.col("r") - 1).alias("place")
-    prefix = ranked.join(classes.select("cls", "n", "k", "short"), "cls").where(F.col("short") | (alone + F.col("r") <= length))
     # short classes hold tokens beyond the indexed third: their places are not in the global order, so position can't skip them
-    postings = stored(
-        prefix.select("h", "cls", "n", F.when(F.col("short"), F.lit(0)).otherwise(place).alias("place")), "postings"
-    )
-    discard(shared)
-
-    # families
-    heads = postings.groupBy("h").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = postings.join(heads, "h").where("cls <> head").groupBy("cls", "head").agg(F.count(F.lit(1)).alias("times"))
-    top = met.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("times"), "head"))).where("r <= 2")
+    place = F.when(F.col("short"), F.lit(0)).otherwise(F.col("rank") - 1).alias("place")
+    postings = stored(found.where(F.col("short") | (F.col("rank") <= length)).select("h", "cls", "n", place), "postings")
+    discard(common)
+    return postings
+
+
+def _families(postings: DataFrame, heads: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, fam: classes that meet in one long list, or meet often and agree by MinHash."""
+    met = postings.join(heads, "h").where("cls <> head").groupBy("cls", "head")
+    met = met.agg(F.count(F.lit(1)).alias("times"), F.max(F.col("m") > LONG).alias("long"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("times"), "head"))
+    top = stored(met.withColumn("r", rank).where("r <= 2 or long").select("cls", "head", "long"), "met")
     sk = classes.select("cls", "sketch")
     alike = (
-        top.join(sk, "cls")
+        top.where("not long")
+        .join(sk, "cls")
         .join(sk.select(F.col("cls").alias("head"), F.col("sketch").alias("other")), "head")
         .where(F.size(F.array_intersect("sketch", "other")) >= 0.4 * F.greatest(F.size("sketch"), F.size("other")))
     )
-    family = connected_components(alike.select(F.col("cls").alias("a"), F.col("head").alias("b")))
-    family = stored(family.select(F.col("node").alias("cls"), F.col("component").alias("fam")), "family")
-    sizes = family.groupBy("fam").agg(F.count(F.lit(1)).alias("m"))
+    edges = alike.select("cls", "head").union(top.where("long").select("cls", "head"))
+    found = connected_components(edges.select(F.col("cls").alias("a"), F.col("head").alias("b")))
+    family = stored(found.select(F.col("node").alias("cls"), F.col("component").alias("fam")), "family")
+    discard(top)
+    return family
+
 
-    # pairs across families
-    placed = postings.join(family, "cls", "left").withColumn("fam", F.coalesce("fam", "cls"))
+def _pairs_across(postings: DataFrame, heads: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame:
+    """cls, cls2: candidates of different families, which only meet in lists of at most LONG entries."""
     step = F.lit(float(np.log(den / num)) if num < den else 1e-9)
+    short_lists = heads.where(F.col("m") <= LONG).select("h")
+    placed = postings.join(short_lists, "h").join(family, "cls", "left").withColumn("fam", F.coalesce("fam", "cls"))
     placed = placed.withColumn("sb", F.floor(F.log(F.col("n").cast("double")) / step).cast("long"))
-    mixed = placed.groupBy("h").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo <> hi").select("h")
-    placed = stored(placed.join(mixed, "h"), "placed")
+    whole_list = Window.partitionBy("h")
+    mixed = placed.withColumns({"lo": F.min("fam").over(whole_list), "hi": F.max("fam").over(whole_list)}).where("lo <> hi")
+    placed = stored(mixed.drop("lo", "hi"), "placed")
     other = placed.select(
         "h", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("fam").alias("fam2"),
         F.explode(F.array(F.col("sb") - 1, F.col("sb"), F.col("sb") + 1)).alias("sb"),
@@ -289,7 +300,28 @@ def _classed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         .distinct(),
         "pairs",
     )
-    discard(placed, postings)
+    discard(placed)
+    return pairs
+
+
+def _name(*cols) -> Column:
+    return F.xxhash64(*cols)
+
+
+def _blocks(members: DataFrame, by: list[str]) -> DataFrame:
+    """by, nb: blocks of at most about BLOCK sets and TOKENS tokens for each group of members."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(TOKENS))).cast("long")
+    return stored(members.groupBy(*by).agg(parts.alias("nb"), F.count(F.lit(1)).alias("m")), "blocks")
+
+
+def _classed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The rows of jaccard_components with cls and root, the classes of a row's set and of its component; nulls for the empty set."""
+    every, classes = _classes(docs, size, num, den)
+    postings = _postings(classes, num, den)
+    heads = stored(postings.groupBy("h").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"), "heads")
+    family = _families(postings, heads, classes)
+    pairs = _pairs_across(postings, heads, family, num, den)
+    discard(postings, heads)
 
     # whole sets of the classes that are compared, from the texts
     wanted = family.select("cls").union(pairs.select("cls")).union(pairs.select(F.col("cls2").alias("cls"))).distinct()
@@ -305,46 +337,58 @@ def _classed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(checked_broadcast(wanted), "rep")
     sets = stored(texts.select("cls", "text").mapInPandas(whole, "cls long, tokens binary"), "sets")
 
-    # inside families: each block with the hubs, and the pairs across families as groups of two
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
+    # small families are one block; in large ones a block holds sets of one size step, and some hubs of that step
+    step = F.lit(float(np.log(den / num)) if num < den else 1e-9)
     spread = F.xxhash64("cls", F.lit(1))
-    members = family.join(sizes, "fam").withColumns({"nb": blocks, "b": F.pmod(spread, blocks)})
-    hub = members.where(F.pmod(spread, F.greatest(F.lit(1), F.floor(F.col("m") / F.lit(HUBS)).cast("long"))) == 0)
-    hub = hub.where("nb > 1").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    name = lambda *cols: F.xxhash64(*cols)
-    inner = members.unionByName(hub).select(name("fam", "b").alias("grp"), "cls", F.col("cls").alias("comp")).distinct()
-    apart = pairs.withColumn("grp", name("cls", "cls2", F.lit("pair")))
+    members = family.join(classes.select("cls", "n"), "cls")
+    members = stored(members.withColumn("sb", F.floor(F.log(F.col("n").cast("double")) / step).cast("long")), "members")
+    sizes = _blocks(members, ["fam"])
+    big = sizes.where("nb > 1").select("fam")
+    small = members.join(checked_broadcast(stored(big, "big")), "fam", "left_anti").select(_name("fam").alias("grp"), "cls", F.col("cls").alias("comp"))
+    apart = pairs.withColumn("grp", _name("cls", "cls2", F.lit("pair")))
     apart = apart.select("grp", F.explode(F.array("cls", "cls2")).alias("cls")).withColumn("comp", F.col("cls"))
-    links = _compared(inner.unionByName(apart), sets, num, den)
-
-    # large families: pairs of blocks, of which those within one component are skipped
-    large = stored(members.where("nb > 1").select("fam", "cls"), "large")
-    if large.take(1):
+    groups = small.unionByName(apart)
+    large = stored(members.join(checked_broadcast(stored(big, "big")), "fam"), "large")
+    spacious = large.take(1) != []
+    if spacious:
+        cut = _blocks(large, ["fam", "sb"])
+        own = large.join(checked_broadcast(cut), ["fam", "sb"]).withColumn("b", F.pmod(spread, "nb"))
+        hub = own.where(F.pmod(spread, F.greatest(F.lit(1), F.floor(F.col("m") / F.lit(HUBS)).cast("long"))) == 0).where("nb > 1")
+        hub = hub.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+        inner = own.unionByName(hub).select(_name("fam", "sb", "b").alias("grp"), "cls", F.col("cls").alias("comp")).distinct()
+        groups = groups.unionByName(inner)
+    links = _compared(groups, sets, num, den)
+
+    # large families: pairs of blocks of like sizes, of which those within the main component are skipped
+    if spacious:
         comp = stored(connected_components(links).select(F.col("node").alias("cls"), "component"), "comp")
-        state = stored(large.join(comp, "cls", "left").select("fam", "cls", F.coalesce("component", "cls").alias("comp")), "state")
-        counts = state.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("c"))
-        main = counts.groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("m"))
-        main = main.select("fam", F.col("x.comp").alias("main"), F.ceil(F.col("x.c") / BLOCK).cast("long").alias("na"), F.ceil((F.col("m") - F.col("x.c")) / BLOCK).cast("long").alias("nz"))
-        # blocks 0..na-1 are of the main component, na..na+nz-1 of all others
-        put = state.join(main, "fam").where("nz > 0").withColumn("b", F.when(F.col("comp") == F.col("main"), F.pmod(spread, F.col("na"))).otherwise(F.col("na") + F.pmod(spread, F.col("nz"))))
-        own = F.col("b") < F.col("na")
-        partners = F.when(own, F.sequence(F.col("na"), F.col("na") + F.col("nz") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("na") + F.col("nz") - 1))
-        put = put.withColumn("o", F.explode(partners))
-        put = put.select(name("fam", F.least("b", "o"), F.greatest("b", "o"), F.lit("two")).alias("grp"), "cls", "comp")
+        state = stored(large.join(comp, "cls", "left").select("fam", "sb", "n", "cls", F.coalesce("component", "cls").alias("comp")), "state")
+        main = state.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("fam").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        state = stored(state.join(checked_broadcast(stored(main, "main")), "fam").withColumn("z", F.col("comp") != F.col("main")), "state")
+        cut = _blocks(state, ["fam", "sb", "z"])
+        placed = state.join(checked_broadcast(cut), ["fam", "sb", "z"]).withColumn("b", F.pmod(spread, "nb"))
+        near = placed.withColumn("sb2", F.explode(F.array(F.col("sb") - 1, F.col("sb"), F.col("sb") + 1)))
+        other = cut.select("fam", F.col("sb").alias("sb2"), F.col("z").alias("z2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("b2"))
+        met = near.join(checked_broadcast(stored(other, "other")), ["fam", "sb2"]).where("z or z2")
+        mine, theirs = F.struct("sb", "z", "b"), F.struct(F.col("sb2").alias("sb"), F.col("z2").alias("z"), F.col("b2").alias("b"))
+        put = met.select(_name("fam", F.least(mine, theirs), F.greatest(mine, theirs), F.lit("two")).alias("grp"), "cls", "comp")
         links = links.union(_compared(put, sets, num, den))
 
     joined = connected_components(links)
     label = joined.select(F.col("node").alias("cls"), F.col("component").alias("root"))
-    named = classes.select("cls", "rep").join(label, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(named.join(least, "root").select("cls", "root", "component_id"), "named")
-    discard(sets)
-    every = index.select("doc_id", F.col("n").alias("n_shingles"), "cls")
-    return (
-        every.join(named, "cls", "left")
-        .select("doc_id", "n_shingles", "cls", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    named = stored(classes.select("cls", "rep").join(label, "cls").select("cls", "rep", "root"), "named")
+    least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    # only classes with links: the others are their own component
+    named = stored(named.join(checked_broadcast(least), "root").select("cls", "root", "component_id"), "named")
+    single = classes.select("cls", "rep")
+    named = stored(
+        single.join(checked_broadcast(named), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("component_id", "rep").alias("component_id")),
+        "named",
     )
+    discard(sets, pairs, family)
+    out = every.withColumnRenamed("n", "n_shingles").join(named, "cls", "left")
+    own_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", "cls", "root", F.when(F.col("doc_id").isNotNull(), own_id).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
