@@ -82,14 +82,14 @@ def closure(edges: DataFrame) -> DataFrame:
     return seen
 
 
-def itemsets(baskets: DataFrame, min_count: int, max_size: int = 3) -> DataFrame:
-    """items (sorted array), n: item sets in at least min_count baskets, level by level from the frequent ones below."""
+def itemsets(baskets: DataFrame, min_count: int) -> DataFrame:
+    """items (sorted array), n: item sets of any size in at least min_count baskets, level by level from the frequent ones below."""
     basket = stored(baskets.select("basket", "item").distinct(), "baskets")
     single = basket.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     level = stored(basket.join(single.select("item"), "item").select("basket", F.array("item").alias("items")), "level")
     frequent = [level.groupBy("items").agg(F.count(F.lit(1)).alias("n"))]
     keep = single.select("item")
-    for _ in range(max_size - 1):
+    while True:
         one = basket.join(keep, "item")
         bigger = level.join(one, "basket").where(F.col("item") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("item")).alias("items"))
         counts = bigger.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,23 +52,28 @@ def structure_report(rows: DataFrame, pred: str = "pred", gold: str = "gold") ->
     )
 
 
-def mean_of_three(f, pred: list[Column], gold: list[Column]) -> Column:
-    """Mean of f over the sorted dimensions; null unless all six are positive."""
-    p, g = F.array_sort(F.array(*pred)), F.array_sort(F.array(*gold))
-    ok = F.forall(p, lambda x: x > 0) & F.forall(g, lambda x: x > 0)
-    return F.when(ok, (f(p[0], g[0]) + f(p[1], g[1]) + f(p[2], g[2])) / 3)
+def in_order(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
+    """Three numbers in ascending order."""
+    return F.least(a, b, c), F.greatest(F.least(a, b), F.least(F.greatest(a, b), c)), F.greatest(a, b, c)
 
 
 def object_report(rows: DataFrame) -> DataFrame:
-    """Scale, mass and category metrics of (p0..p2, g0..g2, pmass, gmass, pcat, gcat)."""
+    """Scale, mass and category metrics of (p0..p2, g0..g2, pmass, gmass, pcat, gcat); scales count only where all six dimensions are positive."""
     p, g = [F.col(f"p{k}") for k in range(3)], [F.col(f"g{k}") for k in range(3)]
+    positive = reduce(Column.__and__, [x > 0 for x in (*p, *g)])
     same = F.when(F.col("pcat").isNotNull() & F.col("gcat").isNotNull(), F.lower(F.trim("pcat")) == F.lower(F.trim("gcat")))
-    m, gm = F.col("pmass"), F.col("gmass")
-    return rows.agg(
-        F.count(F.lit(1)).alias("records"),
-        *[finite_mean(mean_of_three(f, p, g)).alias(n) for n, f in (("scale_alde", N.positive_alde), ("scale_mnre", N.positive_min_ratio), ("scale_mae", N.absolute_error))],
-        *[finite_mean(f(m, gm)).alias(n) for n, f in (("mass_alde", N.positive_alde), ("mass_mnre", N.positive_min_ratio), ("mass_mae", N.absolute_error))],
-        ratio(same).alias("category_accuracy"), F.count(same).alias("category_count"),
+    # sorted once below the aggregation, not in each of its expressions
+    low = rows.select(
+        "pmass", "gmass", same.alias("same"),
+        *[F.when(positive, x).alias(f"{n}{k}") for n, v in (("p", p), ("g", g)) for k, x in enumerate(in_order(*v))],
+    )
+    kinds = (("alde", N.positive_alde), ("mnre", N.positive_min_ratio), ("mae", N.absolute_error))
+    scale = lambda f: (f(F.col("p0"), F.col("g0")) + f(F.col("p1"), F.col("g1")) + f(F.col("p2"), F.col("g2"))) / 3
+    low = low.select("pmass", "gmass", "same", *[scale(f).alias(f"scale_{n}") for n, f in kinds])
+    return low.agg(
+        F.count(F.lit(1)).alias("records"), *[finite_mean(F.col(f"scale_{n}")).alias(f"scale_{n}") for n, _ in kinds],
+        *[finite_mean(f(F.col("pmass"), F.col("gmass"))).alias(f"mass_{n}") for n, f in kinds],
+        ratio(F.col("same")).alias("category_accuracy"), F.count("same").alias("category_count"),
     )
 
 
@@ -109,8 +116,7 @@ def best_iou(pairs: DataFrame, shape: str, gold: str, pred: str, ignore: int = -
     return iou.groupBy(shape, gold).agg(F.max("iou").alias("best")).groupBy(shape).agg(F.avg("best").alias("miou"))
 
 
-def verdict(thickness_p95: Column, overlap_p10: Column, share_over: Column) -> Column:
-    """Level of a simulated joint: -2 to 1 from its trajectory's summary."""
-    return (
-        F.when(thickness_p95.isNull(), -2).when(share_over > 0.5, -1).when((thickness_p95 > 0.75) | (overlap_p10 < 0.1), 0).otherwise(1)
-    )
+def verdict(hinge: Column, no_contact: Column, bad_share: Column, overlap_p10: Column, thickness_p95: Column, angles: Column) -> Column:
+    """Level of a simulated joint: -2 without angles, 0 if a hinge lost contact or its overlap, or the thickness grew over three times, else 1."""
+    lost = hinge & (no_contact | ((bad_share > 0.1) & (overlap_p10 < 0.4)))
+    return F.when(F.coalesce(angles, F.lit(0)) == 0, -2).when(lost | (thickness_p95 > 3), 0).otherwise(1)

@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import gpa_to_pa, hv_to_pa
 
-# Ranges of the prior for each material (density kg/m3, Young's modulus Pa, Poisson's ratio, friction).
+# Ranges of the prior for each material (density kg/m3, Young's modulus Pa, Poisson's ratio, hardness Pa, friction).
 PRIORS = [
-    ("metal", 1700.0, 20000.0, 1e10, 4.2e11, 0.2, 0.45, 0.1, 1.2),
-    ("plastic", 850.0, 2200.0, 1e8, 1e10, 0.3, 0.48, 0.1, 0.8),
-    ("wood", 120.0, 1300.0, 1e9, 2.5e10, 0.2, 0.5, 0.2, 0.8),
-    ("glass", 2200.0, 6000.0, 4.5e10, 1e11, 0.15, 0.3, 0.1, 1.0),
-    ("rubber", 800.0, 2000.0, 1e5, 1e8, 0.45, 0.5, 0.5, 2.0),
-    ("ceramic", 1800.0, 6500.0, 2e10, 4.5e11, 0.15, 0.35, 0.2, 1.0),
-    ("fabric", 100.0, 1800.0, 1e6, 1e10, 0.1, 0.5, 0.2, 1.0),
-    ("leather", 600.0, 1300.0, 1e6, 1e9, 0.3, 0.5, 0.3, 1.0),
-    ("paper", 200.0, 1500.0, 5e8, 1e10, 0.1, 0.4, 0.2, 0.8),
-    ("stone", 1500.0, 3500.0, 5e9, 1e11, 0.1, 0.35, 0.3, 1.0),
+    ("metal", 2700.0, 8900.0, 5e10, 2.5e11, 0.25, 0.35, 1e9, 1e10, 0.2, 0.8),
+    ("plastic", 850.0, 1500.0, 5e8, 8e9, 0.30, 0.45, 5e7, 5e8, 0.2, 0.6),
+    ("fabric", 300.0, 1500.0, 1e6, 1e9, 0.30, 0.49, 1e5, 1e7, 0.4, 1.2),
+    ("leather", 600.0, 1000.0, 5e7, 5e8, 0.35, 0.49, 1e6, 5e7, 0.5, 1.0),
+    ("foam", 20.0, 300.0, 1e5, 5e8, 0.20, 0.45, 1e4, 1e6, 0.4, 1.0),
+    ("rubber", 900.0, 1400.0, 1e6, 1e7, 0.45, 0.49, 5e5, 5e7, 0.6, 1.5),
+    ("glass", 2200.0, 2600.0, 5e10, 9e10, 0.20, 0.25, 5e9, 1e10, 0.3, 0.9),
+    ("stone", 2200.0, 3000.0, 2e10, 7e10, 0.15, 0.30, 3e9, 1e10, 0.6, 1.2),
+    ("ceramics", 2000.0, 6000.0, 1e11, 4e11, 0.20, 0.30, 1e10, 3e10, 0.4, 1.0),
+    ("wood", 300.0, 900.0, 5e8, 2e10, 0.25, 0.40, 5e7, 5e8, 0.4, 0.9),
+    ("concrete", 1800.0, 2600.0, 2e10, 4e10, 0.15, 0.25, 1e9, 5e9, 0.6, 1.0),
 ]
-PRIOR_COLUMNS = "material string, density_lo double, density_hi double, young_lo double, young_hi double, poisson_lo double, poisson_hi double, friction_lo double, friction_hi double"
-SOFT = ("rubber", "fabric", "leather", "paper")
+PRIOR_COLUMNS = "material string, " + ", ".join(f"{n}_{end} double" for n in ("density", "young", "poisson", "hardness", "friction") for end in ("lo", "hi"))
+#: Materials whose hardness says nothing about their stiffness.
+SOFT = ("rubber", "foam", "fabric", "leather", "other")
 
 
 def priors(spark: SparkSession) -> DataFrame:
@@ -70,10 +72,19 @@ def check_parts(parts: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def mass_consistency(parts: DataFrame, objects: DataFrame, key: str = "entity") -> DataFrame:
-    """key, parts_mass, object_mass, rel_err and warning: summed density times volume against the object's mass."""
-    total = parts.groupBy(key).agg(F.sum(F.col("density") * F.col("volume")).alias("parts_mass"))
-    rel = F.try_divide(F.abs(F.col("parts_mass") - F.col("object_mass")), F.col("object_mass"))
-    return total.join(objects, key).select(key, "parts_mass", "object_mass", rel.alias("rel_err"), (rel > 0.3).alias("warning"))
+    """key, parts_mass, object_mass, rel_err, warning, non_positive, missing_volume: density times volume summed against the object's mass.
+
+    Parts without a volume have no mass; they and parts of no positive mass are counted. An object
+    without a mass has no rel_err and no warning; the least divisor is 1e-6.
+    """
+    mass = F.col("density") * F.col("volume")
+    total = parts.groupBy(key).agg(
+        F.coalesce(F.sum(mass), F.lit(0.0)).alias("parts_mass"), F.count_if(mass <= 0).alias("non_positive"), F.count_if(F.col("volume").isNull()).alias("missing_volume")
+    )
+    rel = F.abs(F.col("parts_mass") - F.col("object_mass")) / F.greatest(F.col("object_mass"), F.when(F.col("object_mass").isNotNull(), 1e-6))
+    return total.join(objects, key).select(
+        key, "parts_mass", "object_mass", rel.alias("rel_err"), F.coalesce(rel > 0.5, F.lit(False)).alias("warning"), "non_positive", "missing_volume"
+    )
 
 
 def slender(dx: Column, dy: Column, dz: Column, eps: float = 1e-6) -> Column:
@@ -92,15 +103,36 @@ def box_gap(a: list[tuple[Column, Column]], b: list[tuple[Column, Column]]) -> C
     return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
 
 
-#: Credential patterns of the repository scan.
+#: Credential patterns of the repository scan, and what must not be in a release.
 SECRETS = [
-    ("assignment", r"(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*[\"'][A-Za-z0-9_\-]{12,}[\"']"),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("access_key", r"AKIA[0-9A-Z]{16}"),
+    ("key", r"\bsk-[A-Za-z0-9_-]{16,}\b"),
+    ("assignment", r"(?i)(?:api[_-]?key|access[_-]?token)\s*[=:]\s*['\"][^'\"]{12,}['\"]"),
 ]
+PLACEHOLDERS = ("your_api_key", "sk-xxx")
+FORBIDDEN_NAMES = (".DS_Store", "__pycache__")
+FORBIDDEN_PREFIXES = (".idea/", "outputs/", "exp_results/")
+FORBIDDEN_SUFFIXES = (".ckpt", ".pth", ".pt", ".pyc", ".so")
+MOST_BYTES = 50 * 1024 * 1024
 
 
 def secret_hits(lines: DataFrame, key: str, text: str) -> DataFrame:
-    """key, rule: a row for every rule that a row's text meets."""
-    found = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in SECRETS]))
-    return lines.select(key, F.explode(found).alias("rule")).distinct()
+    """key, rule: a row for every rule that one of a row's text lines meets; lines with a placeholder are passed over."""
+    each = lines.select(key, F.explode(F.split(text, "\\R")).alias("_line"))
+    real = ~F.greatest(*[F.contains("_line", F.lit(x)) for x in PLACEHOLDERS])
+    found = F.array_compact(F.array(*[F.when(F.col("_line").rlike(p), F.lit(n)) for n, p in SECRETS]))
+    return each.where(real).select(key, F.explode(found).alias("rule")).distinct()
+
+
+def release_issues(path: Column, size: Column) -> Column:
+    """What speaks against a file's release: a forbidden name or suffix, a forbidden folder, or over MOST_BYTES bytes."""
+    name = F.element_at(F.split(path, "/"), -1)
+    suffix = F.regexp_extract(name, r".(\.[^.]*)$", 1)
+    return issues(
+        ("path", ~(name.isin(*FORBIDDEN_NAMES) | F.lower(suffix).isin(*FORBIDDEN_SUFFIXES))),
+        ("prefix", ~F.greatest(*[path.startswith(p) for p in FORBIDDEN_PREFIXES])), ("size", size <= MOST_BYTES),
+    )
+
+
+def missing_files(files: DataFrame, path: str, required: DataFrame) -> DataFrame:
+    """path of required files that are not there."""
+    return required.join(files.select(path), path, "left_anti")

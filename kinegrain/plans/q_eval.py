@@ -200,13 +200,21 @@ def plane_offset_and_units(spark, sf_dir):
     return motion(spark, sf_dir).select("id", F.round(d, 6).alias("dist"), F.round(N.hv_to_pa(c("px")), 2).alias("pa"))
 
 
-# the SQL lists the fixed prior ranges as the operator's table does
-PRIOR_SQL = "(values " + ", ".join("('" + p[0] + "', " + ", ".join(f"{x!r}::double" for x in p[1:]) + ")" for p in R.PRIORS) + ") as q(material, dl, dh, yl, yh, pl, ph, fl, fh)"
-
-
-@query(f"""select id, (not friction between 0 and 3)::int + (not (young > 0 and young <= 1e12))::int + (not (poisson > -1 and poisson < 0.5))::int + (not (density > 0 and density <= 30000))::int as n_value,
-    coalesce((not density between dl and dh)::int + (not young between yl and yh)::int + (not poisson between pl and ph)::int + (not friction between fl and fh)::int, 0) as n_prior,
-    case when material in ('rubber', 'fabric', 'leather', 'paper') or young <= 0 or hardness <= 0 or hardness * 9.807e6 / young between 1e-3 and 1e-1 then 0 else 1 end as n_hardness,
+PRIOR_SQL = """(values ('metal', 2700, 8900, 5e10, 2.5e11, 0.25, 0.35, 0.2, 0.8), ('plastic', 850, 1500, 5e8, 8e9, 0.30, 0.45, 0.2, 0.6),
+    ('fabric', 300, 1500, 1e6, 1e9, 0.30, 0.49, 0.4, 1.2), ('leather', 600, 1000, 5e7, 5e8, 0.35, 0.49, 0.5, 1.0),
+    ('foam', 20, 300, 1e5, 5e8, 0.20, 0.45, 0.4, 1.0), ('rubber', 900, 1400, 1e6, 1e7, 0.45, 0.49, 0.6, 1.5),
+    ('glass', 2200, 2600, 5e10, 9e10, 0.20, 0.25, 0.3, 0.9), ('stone', 2200, 3000, 2e10, 7e10, 0.15, 0.30, 0.6, 1.2),
+    ('ceramics', 2000, 6000, 1e11, 4e11, 0.20, 0.30, 0.4, 1.0), ('wood', 300, 900, 5e8, 2e10, 0.25, 0.40, 0.4, 0.9),
+    ('concrete', 1800, 2600, 2e10, 4e10, 0.15, 0.25, 0.6, 1.0)) as q(material, dl, dh, yl, yh, pl, ph, fl, fh)"""
+
+
+@query(f"""select id,
+    (not friction between 0 and 3)::int + (not (young > 0 and young <= 1e12))::int + (not (poisson > -1 and poisson < 0.5))::int
+        + (not (density > 0 and density <= 30000))::int as n_value,
+    coalesce((not density between dl and dh)::int + (not young between yl and yh)::int + (not poisson between pl::double and ph::double)::int
+        + (not friction between fl::double and fh::double)::int, 0) as n_prior,
+    case when material in ('rubber', 'foam', 'fabric', 'leather', 'other') or young <= 0 or hardness <= 0
+        or hardness * 9.807e6 / young between 1e-3 and 1e-1 then 0 else 1 end as n_hardness,
     case when (affordance <= 2 or graspable) and friction < 0.2 then 1 else 0 end as n_friction from {{phys}} left join {PRIOR_SQL} using (material)""")
 def physics_rule_set(spark, sf_dir):
     out = R.check_parts(view(spark, sf_dir, "phys"), R.priors(spark))
@@ -224,12 +232,17 @@ def hardness_ratio_check(spark, sf_dir):
     return view(spark, sf_dir, "phys").select("id", F.round(F.ln(R.hardness_ratio(c("hardness"), c("young") / 1e9)), 6).alias("log_ratio"))
 
 
-@query("""with p as (select entity, sum(density * volume) as pm from {phys} group by 1), o as (select o_orderkey as entity, o_totalprice / 10e0 as om from orders)
-select entity, round(pm, 4) as parts_mass, round(om, 4) as object_mass, round(abs(pm - om) / om, 6) as rel_err, abs(pm - om) / om > 0.3 as warning from p join o using (entity)""")
+@query("""with p as (select entity, coalesce(sum(density * volume), 0) as pm, count(*) filter (density * volume <= 0) as bad, count(*) filter (volume is null) as gone
+    from (select * replace (case when affordance = 7 then null when affordance = 6 then 0 else volume end as volume) from {phys}) group by 1), o as (select o_orderkey as entity, o_totalprice / 10e0 as om from orders)
+select entity, round(pm, 4) as parts_mass, round(om, 4) as object_mass, round(abs(pm - om) / greatest(om, 1e-6), 6) as rel_err,
+    abs(pm - om) / greatest(om, 1e-6) > 0.5 as warning, bad as non_positive, gone as missing_volume from p join o using (entity)""")
 def mass_consistency(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("entity"), (c("o_totalprice") / 10.0).alias("object_mass"))
-    m = R.mass_consistency(view(spark, sf_dir, "phys"), o)
-    return m.select("entity", *[F.round(n, 4).alias(n) for n in ("parts_mass", "object_mass")], F.round("rel_err", 6).alias("rel_err"), "warning")
+    volume = F.when(c("affordance") == 7, None).when(c("affordance") == 6, 0.0).otherwise(c("volume"))
+    m = R.mass_consistency(view(spark, sf_dir, "phys").withColumn("volume", volume), o)
+    return m.select(
+        "entity", *[F.round(n, 4).alias(n) for n in ("parts_mass", "object_mass")], F.round("rel_err", 6).alias("rel_err"), "warning", "non_positive", "missing_volume"
+    )
 
 
 @query("""select id, (list_sort([p0,p1,p2])[1] < 1e-6) or (list_sort([p0,p1,p2])[2]/list_sort([p0,p1,p2])[1] > 100 and list_sort([p0,p1,p2])[3]/list_sort([p0,p1,p2])[1] > 100) as slender,
@@ -263,13 +276,17 @@ def best_iou_miou(spark, sf_dir):
     return rounded(M.best_iou(x, "shape", "gold", "pred"))
 
 
-@query("""with s as (select object, quantile_cont(value, 0.95) as p95, quantile_cont(value, 0.1) as p10, avg((value > 60)::int) as share from {frames} group by 1)
-select object, round(p95, 6) as p95, round(p10, 6) as p10, round(share, 6) as share, case when p95 is null then -2 when share > 0.5 then -1 when p95 / 100 > 0.75 or p10 / 100 < 0.1 then 0 else 1 end as level from s""")
+@query("""with s as (select object, quantile_cont(value / 25, 0.95) as p95, quantile_cont(value / 100, 0.1) as p10, avg((value < 40)::int) as share,
+        count(*) filter (event_type <> 'error') as angles, max(value) < 90 as lost from {frames} group by 1)
+    select object, round(p95, 6) as p95, round(p10, 6) as p10, round(share, 6) as share, case when angles = 0 then -2
+        when object % 2 = 0 and (lost or (share > 0.1 and p10 < 0.4)) or p95 > 3 then 0 else 1 end as level from s""")
 def percentile_verdict(spark, sf_dir):
     s = view(spark, sf_dir, "frames").groupBy("object").agg(
-        F.percentile("value", 0.95).alias("p95"), F.percentile("value", 0.1).alias("p10"), F.avg((c("value") > 60).cast("int")).alias("share")
+        F.percentile(c("value") / 25, 0.95).alias("p95"), F.percentile(c("value") / 100, 0.1).alias("p10"), F.avg((c("value") < 40).cast("int")).alias("share"),
+        F.count_if(c("event_type") != "error").alias("angles"), (F.max("value") < 90).alias("lost"),
     )
-    return rounded(s.withColumn("level", M.verdict(c("p95") / 100, c("p10") / 100, c("share"))))
+    level = M.verdict(c("object") % 2 == 0, c("lost"), c("share"), c("p10"), c("p95"), c("angles"))
+    return rounded(s.withColumn("level", level).drop("angles", "lost"))
 
 
 @query("select round(sum(10e0 * n_out / 1e6 + 1.25e0 * n_in / 1e6), 6) as cost, count(*) as calls from (select length(text) as n_in, turn * 10 as n_out from conversations)")

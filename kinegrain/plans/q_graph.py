@@ -38,18 +38,20 @@ def contact_only_nodes(spark, sf_dir):
     return G.contact_only(view(spark, sf_dir, "edges"))
 
 
-@query("""with f as (select item, count(*) as n from {baskets} group by 1), a as (select [item] as items, n from f where n >= 1200),
-    b as (select [x.item, y.item] as items, count(*) as n from {baskets} x join {baskets} y on x.basket = y.basket and x.item < y.item group by all having count(*) >= 1200)
-select * from a union all select * from b""")
+SETS = """with recursive b as (select basket, item from {baskets}), r as (
+        select basket, [item] as items from b union all
+        select r.basket, list_append(r.items, b.item) from r join b on r.basket = b.basket and b.item > r.items[-1]),
+    f as (select items, count(*) as n from r group by 1 having count(*) >= 60)"""
+
+
+@query(f"{SETS} select * from f")
 def itemset_support(spark, sf_dir):
-    return G.itemsets(view(spark, sf_dir, "baskets"), 1200, 2)
+    return G.itemsets(view(spark, sf_dir, "baskets"), 60)
 
 
-@query("""with f as (select item, count(*) as n from {baskets} group by 1), a as (select [item] as items, n from f where n >= 1200),
-    b as (select [x.item, y.item] as items, count(*) as n from {baskets} x join {baskets} y on x.basket = y.basket and x.item < y.item group by all having count(*) >= 1200)
-select * from b union all select * from a where not exists (select 1 from b where list_contains(b.items, a.items[1]))""")
+@query(f"{SETS} select * from f where not exists (select 1 from f as g where len(g.items) > len(f.items) and list_has_all(g.items, f.items))")
 def maximal_itemsets(spark, sf_dir):
-    return G.maximal(G.itemsets(view(spark, sf_dir, "baskets"), 1200, 2))
+    return G.maximal(G.itemsets(view(spark, sf_dir, "baskets"), 60))
 
 
 @query("""with recursive d as (select n_nationkey as name, (n_nationkey // 2) as needs from nation where n_nationkey > 0), r as (select * from d union select r.name, d.needs from r join d on r.needs = d.name) select name, needs from r""")

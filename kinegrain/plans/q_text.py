@@ -210,14 +210,30 @@ def chat_encode(spark, sf_dir):
     return D.conversation(m, "piece").select("conv_id", "chat", "n")
 
 
-@query(r"""select doc_id, 'assignment' as rule from documents where regexp_matches(text, '(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*["''][A-Za-z0-9_\-]{12,}["'']')
-union all select doc_id, 'private_key' from documents where regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') union all select doc_id, 'access_key' from documents where regexp_matches(text, 'AKIA[0-9A-Z]{16}')""")
+@query(r"""with l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r|\x0B|\f|\x{85}|\x{2028}|\x{2029}')) as line from documents),
+    x as (select * from l where not contains(line, 'your_api_key') and not contains(line, 'sk-xxx'))
+select distinct doc_id, 'key' as rule from x where regexp_matches(line, '\bsk-[A-Za-z0-9_-]{16,}\b')
+union all select distinct doc_id, 'assignment' from x where regexp_matches(line, '(?i)(?:api[_-]?key|access[_-]?token)\s*[=:]\s*["''][^"'']{12,}["'']')""")
 def secret_scan(spark, sf_dir):
     from ..operators.rules import secret_hits
 
     return secret_hits(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+RELEASE = "concat(case p_partkey % 6 when 0 then 'outputs/' when 1 then '.idea/' else 'src/' end, if(p_partkey % 9 = 2, '.DS_Store', replace(p_name, ' ', '_')), case p_partkey % 5 when 0 then '.pyc' when 1 then '.PT' when 2 then '.py' when 3 then '' else '.tar.so' end)"
+
+
+@query(f"""with f as (select p_partkey, {RELEASE} as path, p_partkey * 30000 as size from part),
+    x as (select *, string_split(path, '/')[-1] as name from f)
+select p_partkey, list_filter([case when name in ('.DS_Store', '__pycache__') or lower(regexp_extract(name, '.([.][^.]*)$', 1)) in ('.ckpt', '.pth', '.pt', '.pyc', '.so') then 'path' end,
+    case when path like '.idea/%' or path like 'outputs/%' or starts_with(path, 'exp_results/') then 'prefix' end, case when size > 52428800 then 'size' end], lambda x: x is not null) as issues from x""")
+def release_audit(spark, sf_dir):
+    from ..operators.rules import release_issues
+
+    f = table(spark, sf_dir, "part").select("p_partkey", F.expr(RELEASE).alias("path"), (c("p_partkey") * 30000).alias("size"))
+    return f.select("p_partkey", release_issues(c("path"), c("size")).alias("issues"))
+
+
 @query("""select c_custkey, c_mktsegment as category, c_mktsegment in ('AUTOMOBILE', 'BUILDING') as known from customer""")
 def taxonomy_check(spark, sf_dir):
     known = spark.createDataFrame([("AUTOMOBILE",), ("BUILDING",)], "category string")

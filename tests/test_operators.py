@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinegrain.functions import curves, jsonv, numeric, text, vec3
-from kinegrain.operators import augment, datasets, graph, kernels, mesh, raster, rules, sampling, spatial
+from kinegrain.operators import augment, datasets, graph, kernels, mesh, metrics, raster, rules, sampling, spatial
 from kinegrain.plans.registry import TRANSFORMS
 from kinegrain.streaming import state
 
@@ -243,3 +243,35 @@ def test_streams(spark, tmp_path):
 def test_gate(spark):
     g = lambda s, same, out, force=False: one(spark, g=state.gate(F.lit(s).cast("string"), lit(same), lit(out), lit(force))).g
     assert (g("succeeded", True, True), g("succeeded", False, True), g(None, False, True), g("failed", True, True), g("succeeded", True, True, True)) == ("skipped", "run", "adopted", "run", "run")
+
+
+def test_rules_by_hand(spark):
+    """Hand-computed rows: priors, soft materials, mass, the joint verdict, credentials."""
+    part = "name string, material string, density double, young double, hardness double, poisson double, friction double, affordance int, graspable boolean"
+    parts = spark.createDataFrame(
+        [
+            ("ok", "metal", 7800.0, 2.1e11, 250.0, 0.3, 0.5, 1, False), ("light", "metal", 2600.0, 2.1e11, 250.0, 0.3, 0.9, 1, False),
+            ("foam", "foam", 300.0, 1e5, 1.0, 0.2, 0.1, 3, True), ("paper", "paper", 1.0, 1e9, 1.0, 0.4, 0.5, 5, False), ("other", "other", 1.0, 1e9, 1.0, 0.4, 3.1, 5, False),
+        ],
+        part,
+    )
+    got = {r.name: r for r in rules.check_parts(parts, rules.priors(spark)).collect()}
+    assert {n: r.prior_issues for n, r in got.items()} == {"ok": [], "light": ["density", "friction"], "foam": ["friction"], "paper": [], "other": []}
+    assert {n: len(r.hardness_issues) for n, r in got.items()} == {"ok": 0, "light": 0, "foam": 0, "paper": 0, "other": 0}
+    assert got["foam"].friction_issues == ["interaction_friction"] and got["other"].value_issues == ["friction"]
+    m = spark.createDataFrame([(1, 1.0, 1.0), (1, 2.0, 1.0), (2, 1.0, None), (2, 1.4, 1.0), (3, 0.0, 1.0)], "entity int, density double, volume double")
+    o = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, None)], "entity int, object_mass double")
+    rows = {r.entity: (r.rel_err and round(r.rel_err, 6), r.warning, r.non_positive, r.missing_volume) for r in rules.mass_consistency(m, o).collect()}
+    assert rows == {1: (2.0, True, 0, 0), 2: (0.4, False, 0, 1), 3: (None, False, 1, 0)}
+    v = lambda *a: one(spark, v=metrics.verdict(*map(lit, a))).v
+    assert (v(True, True, 0.0, 1.0, 1.0, 5), v(True, False, 0.2, 0.3, 1.0, 5), v(True, False, 0.05, 0.3, 1.0, 5)) == (0, 0, 1)
+    assert (v(False, True, 0.9, 0.1, 3.0, 5), v(False, False, 0.0, 1.0, 3.1, 5), v(True, True, 0.9, 0.1, 9.0, 0)) == (1, 0, -2)
+    t = spark.createDataFrame([(1, 'api_key = "abcdefghij-kl!"'), (2, "sk-abcdefghijklmnop"), (3, "sk-xxx sk-abcdefghijklmnop"), (4, "password = 'abcdefghijklmn'")], "id int, t string")
+    assert sorted((r.id, r.rule) for r in rules.secret_hits(t, "id", "t").collect()) == [(1, "assignment"), (2, "key")]
+
+
+def test_itemsets_of_any_size(spark):
+    b = spark.createDataFrame([(k, i) for k in range(3) for i in range(6)] + [(9, 1)], "basket int, item int")
+    sets = graph.itemsets(b, 3)
+    assert sets.count() == 2**6 - 1
+    assert [(r["items"], r.n) for r in graph.maximal(sets).collect()] == [([0, 1, 2, 3, 4, 5], 3)]
