@@ -1,17 +1,20 @@
 """URL filters by a path-template tree, in DataFrame functions only.
 
-A url's path is a branch: its segments, in which runs of digits and long mixed
-tokens become ``#``. Below every prefix of a host, segments that vary too much for
-their number of urls become the wildcard ``*``; sibling branches that are alike in
-where their urls end and in how they are labelled are merged into ``*`` too. Labelled
-urls are those that a rule decides. A template's purity is the share of blocked among
-its labelled urls, smoothed by its parent's, and so on up to the host, and the host's
-by ``prior``. Above the template itself all urls count, labelled or not: a rule for
-one branch says little about its siblings. Urls of templates with purity of ``reject`` or more are blocked.
+A url's path is a branch: all its segments, in which runs of digits become ``#``. Below
+every prefix of a host, sibling branches that a test of proportions can't tell from
+all their siblings together, in where their urls end and in how many are labelled and
+blocked, are merged into the wildcard ``*`` if there are MANY of them. Labelled urls
+are those that a rule decides. A template's purity is the share of blocked among its
+labelled urls, smoothed by its parent's purity, and so on up to the host, whose purity is
+smoothed by ``prior``. A branch without any label takes its parent's purity. Rules pick
+whole branches, so what they leave out isn't a random sample: above a template itself,
+an unlabelled url counts as ``unlabelled`` clean ones. Urls of templates with a
+purity of ``reject`` or more are blocked.
 
 All counting is done on (host, template) groups, so a hot host is summed in map
 tasks; urls are joined once with their group's verdict, and a hot group's urls are
-split by the adaptive skew join or not shuffled at all.
+split by the adaptive skew join or not shuffled at all. The tree has as many levels as
+the longest path has segments.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; an
 empty path is the root template; where several rules fit, the longest host and path
@@ -24,18 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, stored
+from .common import checked_broadcast, discard, stored
 
 #: (host, path prefix, verdict): a rule fits its host and all subdomains.
 Rule = tuple[str, str, str]
-#: Segments that are levels of their own; the rest of a longer path is one more.
-DEPTH = 3
-LEVELS = DEPTH + 1
-VARIED = 0.5
-LEAST = 20
-PRIOR, STRENGTH, REJECT = 0.2, 4.0, 0.5
-#: Greatest difference of two branches' shares, of label purity and of ending, for them to be merged.
-ALIKE = 0.1
+#: Similar siblings that make a wildcard, and the squared deviation up to which one counts as similar (95 %).
+MANY, DEVIATION = 3, 3.84
+PRIOR, STRENGTH, REJECT, UNLABELLED = 0.2, 4.0, 0.5, 1.0
 
 
 def host_of(url: Column) -> Column:
@@ -56,117 +54,117 @@ def rule_fields(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def segments(path: Column) -> list[Column]:
-    """The first DEPTH segments with variable parts as '#', then the rest as one; absent ones are null."""
-    shaped = F.regexp_replace(path, r"[0-9]+", "#")
-    parts = F.split(F.regexp_replace(shaped, r"^/", ""), "/", LEVELS)
-    return [F.get(parts, k) for k in range(LEVELS)]
+def segments(path: Column) -> Column:
+    """All segments with runs of digits as '#'."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, r"[0-9]+", "#"), r"^/", ""), "/")
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """host, t0..t3 (segments), n, labelled, blocked, and the template's s0..s3 after generalising and merging, from (host, path, label)."""
-    cols = [f"t{k}" for k in range(LEVELS)]
-    base = urls.select("host", *[c.alias(n) for c, n in zip(segments(F.col("path")), cols)], "label")
-    base = base.groupBy("host", *cols).agg(
-        F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum(F.when(F.col("label") == "block", 1).otherwise(0)), F.lit(0)).alias("blocked")
+def _alike(share: str) -> Column:
+    """Whether a branch's share of its urls is like that of its parent's (``all``, ``all_*``)."""
+    p = F.col(f"all_{share}") / F.col("all")
+    far = F.col(share) / F.col("n") - p
+    return far * far <= F.lit(DEVIATION) * p * (1 - p) * (1 / F.col("n") - 1 / F.col("all"))
+
+
+def templates(urls: DataFrame) -> tuple[DataFrame, int]:
+    """(host, t (segments), n, labelled, blocked, and s0, s1, ... after merging; null past the end) from (host, path, label), and the levels."""
+    base = urls.groupBy("host", segments(F.col("path")).alias("t")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked")
     )
-    base = stored(base, "templates")
-    tree = base
-    for k in range(LEVELS):
+    tree = stored(base, "templates")
+    levels = tree.agg(F.max(F.size("t"))).first()[0] or 1
+    for k in range(levels):
         above = ["host", *[f"s{i}" for i in range(k)]]
-        seg = F.coalesce(F.col(f"t{k}"), F.lit("\x01"))
-        tree = tree.withColumn("seg", seg)
-        branch = tree.groupBy(*above, "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")], F.sum(F.when(F.col(f"t{k + 1}").isNull() if k + 1 < LEVELS else F.lit(True), F.col("n")).otherwise(0)).alias("ends"))
-        # branches with the same parent, the same rounded profile and no differing labels are alike
-        profile = F.struct(
-            F.round(F.col("ends") / F.col("n") / ALIKE).cast("int").alias("e"),
-            F.when(F.col("labelled") > 0, F.round(F.col("blocked") / F.col("labelled") / ALIKE).cast("int")).otherwise(-1).alias("p"),
-        )
-        branch = branch.withColumn("profile", profile)
-        level = branch.groupBy(*above, "profile").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
-        wide = level.where((F.col("all") >= LEAST) & (F.col("kinds") >= F.lit(VARIED) * F.col("all")) | (F.col("kinds") >= 3) & (F.col("all") >= LEAST * F.col("kinds")))
-        named = branch.join(wide.select(*above, "profile", F.lit("*").alias("wild")), [*above, "profile"], "left")
-        # profiles stay apart under the wildcard: branches that are not alike are not merged
-        name = F.when((F.col("wild").isNotNull()) & (F.col("seg") != "\x01"), F.concat(F.lit("*"), F.col("profile.e").cast("string"), F.lit("/"), F.col("profile.p").cast("string"))).otherwise(F.col("seg"))
-        named = named.select(*above, "seg", name.alias(f"s{k}"))
-        tree = stored(tree.join(named, [*above, "seg"]).drop("seg"), "templates")
-    return tree
-
-
-def template_verdicts(tree: DataFrame, *, prior: float = PRIOR, strength: float = STRENGTH, reject: float = REJECT) -> DataFrame:
-    """tree's host and t0..t3 with template, purity and method verdict."""
-    levels = [["host", *[f"s{i}" for i in range(k)]] for k in range(LEVELS + 1)]
+        named = tree.withColumns({"seg": F.get("t", F.lit(k)), "ends": F.when(F.size("t") == k + 1, F.col("n")).otherwise(0)})
+        branch = named.where("seg is not null").groupBy(*above, "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked", "ends")])
+        parent = branch.groupBy(*above).agg(F.sum("n").alias("all"), *[F.sum(c).alias(f"all_{c}") for c in ("labelled", "blocked", "ends")])
+        alike = branch.join(parent, above).where(_alike("ends") & _alike("labelled") & _alike("blocked"))
+        alike = stored(alike.select(*above, "seg"), "alike")
+        wide = alike.groupBy(*above).agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= MANY)
+        wild = alike.join(wide, above).select(*above, "seg", F.lit("*").alias("wild"))
+        on = [F.col(f"x.{c}") == F.col(f"w.{c}") for c in (*above, "seg")]
+        joined = named.alias("x").join(wild.alias("w"), on, "left")
+        new = stored(joined.select("x.host", "x.t", "x.n", "x.labelled", "x.blocked", *[f"x.s{i}" for i in range(k)], F.coalesce("w.wild", "x.seg").alias(f"s{k}")), "templates")
+        discard(tree, alike)
+        tree = new
+    return tree, levels
+
+
+def template_verdicts(
+    tree: DataFrame, levels: int, *, prior: float = PRIOR, strength: float = STRENGTH, reject: float = REJECT, unlabelled: float = UNLABELLED
+) -> DataFrame:
+    """tree's host and t with template, purity and method verdict."""
     purity, out = F.lit(prior), tree
-    for k, keys in enumerate(levels):
-        seen = "labelled" if k == LEVELS else "n"
-        own = tree.groupBy(*keys).agg(F.sum(seen).alias(f"l{k}"), F.sum("blocked").alias(f"b{k}"))
-        out = out.join(own, keys)
-    for k in range(LEVELS + 1):
-        own = (F.col(f"b{k}") + F.lit(strength) * purity) / (F.col(f"l{k}") + F.lit(strength))
-        # a path without a rest ends one level above: its template is the next step
-        purity = F.when(F.col(f"s{DEPTH}") == "\x01", purity).otherwise(own) if k == DEPTH else own
-    names = F.transform(F.filter(F.array(*[f"s{k}" for k in range(LEVELS)]), lambda s: s != "\x01"), lambda s: F.when(s.startswith("*"), F.lit("*")).otherwise(s))
+    for k in range(levels + 1):
+        keys = ["host", *[f"s{i}" for i in range(k)]]
+        own = tree.groupBy(*keys).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.sum("n").alias("a"))
+        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys]
+        out = out.alias("x").join(own.alias("y"), same).select("x.*", F.col("l").alias(f"l{k}"), F.col("b").alias(f"b{k}"), F.col("a").alias(f"a{k}"))
+    for k in range(levels + 1):
+        # a template that ends here has only its labelled urls; above it the others weigh a little
+        others = F.when(F.size("t") <= k, 0.0).otherwise(unlabelled) * (F.col(f"a{k}") - F.col(f"l{k}"))
+        known = (F.col(f"l{k}") > 0) & (F.size("t") >= k)
+        # without labels this is the parent's purity; written so that each level holds the one above only once
+        purity = (F.when(known, F.col(f"b{k}")).otherwise(0) + F.lit(strength) * purity) / (F.when(known, F.col(f"l{k}") + others).otherwise(0.0) + F.lit(strength))
     out = out.withColumn("purity", purity)
+    names = F.array_compact(F.array(*[f"s{k}" for k in range(levels)]))
     return out.select(
-        "host", *[f"t{k}" for k in range(LEVELS)], F.concat(F.lit("/"), F.array_join(names, "/")).alias("template"), "purity",
-        F.when(F.col("purity") >= reject, "block").otherwise("allow").alias("method"),
+        "host", "t", F.concat(F.lit("/"), F.array_join(names, "/")).alias("template"), "purity", F.when(F.col("purity") >= reject, "block").otherwise("allow").alias("method")
     )
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], **how) -> DataFrame:
     """pages with host, path, rule, verdict, template and purity; the rule's verdict, else the method's."""
-    taken = {"host", "path", "rule", "verdict", "template", "purity", "method", "label", *[f"t{k}" for k in range(LEVELS)]}
+    taken = {"host", "path", "rule", "verdict", "template", "purity"}
     kept = [c for c in pages.columns if c not in taken]
-    split = pages.select(*kept, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = pages.select(F.struct(*kept).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_fields(F.col("host"), F.col("path"), rules)
-    split = split.withColumns({"rule": name, "label": verdict})
-    cols = [f"t{k}" for k in range(LEVELS)]
-    judged = stored(template_verdicts(templates(split), **how), "judged")
-    for k, c in enumerate(segments(F.col("path"))):
-        split = split.withColumn(cols[k], c)
-    judged = checked_broadcast(judged).select(F.col("host").alias("_host"), *[F.col(c).alias(f"_{c}") for c in cols], "template", "purity", "method")
-    same = (F.col("host") == F.col("_host"))
-    for c in cols:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return split.join(judged, same, "left").select(*kept, "host", "path", "rule", F.coalesce("label", "method").alias("verdict"), "template", "purity")
-
-
-def verdict_sql(rules: list[Rule], prior: float = PRIOR, strength: float = STRENGTH, reject: float = REJECT) -> str:
-    """The same judgement of ``pages`` as DuckDB SQL, for paths of at most DEPTH segments: page_id, host, path, rule, verdict."""
+    rows = rows.withColumns({"rule": name, "label": verdict})
+    judged = stored(template_verdicts(*templates(rows.select("host", "path", "label")), **how), "judged")
+    rows = rows.withColumn("t", segments(F.col("path")))
+    found = rows.join(checked_broadcast(judged), ["host", "t"], "left")
+    return found.select("row.*", "host", "path", "rule", F.coalesce("label", "method").alias("verdict"), "template", "purity")
+
+
+def verdict_sql(
+    rules: list[Rule], levels: int = 4, prior: float = PRIOR, strength: float = STRENGTH, reject: float = REJECT, unlabelled: float = UNLABELLED
+) -> str:
+    """The same judgement of ``pages`` as DuckDB SQL, for paths of at most ``levels`` segments: page_id, host, path, rule, verdict."""
     name, verdict = "null", "null"
     for h, p, v in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), len(r[1]), r)):
         fits = f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
         name, verdict = f"case when {fits} then '{h + p}' else {name} end", f"case when {fits} then '{v}' else {verdict} end"
     cut = "string_split(regexp_replace(regexp_replace(path, '[0-9]+', '#', 'g'), '^/', ''), '/')"
-    ts = ", ".join(f"{cut}[{k + 1}] as t{k}" for k in range(DEPTH))
-    names = ", ".join(f"t{k}" for k in range(DEPTH))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     parts = [
         f"""split as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') as host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages)""",
-        f"ruled as (select *, {name} as rule, {verdict} as label from split)",
-        f"urls as (select *, {ts} from ruled)",
-        f"tree0 as (select host, {names}, count(*) as n, count(label) as labelled, count(*) filter (label = 'block') as blocked from urls group by all)",
+        f"urls as (select *, {name} as rule, {verdict} as label, {cut} as t from split)",
+        "tree0 as (select host, t, count(*) as n, count(label) as labelled, count(*) filter (label = 'block') as blocked from urls group by all)",
     ]
-    for k in range(DEPTH):
-        above = ", ".join(["host", *[f"s{i}" for i in range(k)]])
-        end = f"t{k + 1} is null" if k + 1 < DEPTH else "true"
+    for k in range(levels):
+        above = ["host", *[f"s{i}" for i in range(k)]]
+        keys = ", ".join(above)
+        alike = " and ".join(
+            f"power({x} / b.n::double - all_{x} / total::double, 2) <= {DEVIATION} * (all_{x} / total::double) * (1 - all_{x} / total::double) * (1 / b.n::double - 1 / total::double)"
+            for x in ("ends", "labelled", "blocked")
+        )
+        on = " and ".join(f"x.{c} = w.{c}" for c in (*above, "seg"))
         parts += [
-            f"seg{k} as (select *, coalesce(t{k}, chr(1)) as seg from tree{k})",
-            f"branch{k} as (select {above}, seg, sum(n) as n, sum(labelled) as labelled, sum(blocked) as blocked, coalesce(sum(n) filter ({end}), 0) as ends from seg{k} group by all)",
-            f"profile{k} as (select *, round(ends::double / n / {ALIKE})::int as e, case when labelled > 0 then round(blocked::double / labelled / {ALIKE})::int else -1 end as p from branch{k})",
-            f"level{k} as (select {above}, e, p, count(*) as kinds, sum(n) as total from profile{k} group by all)",
-            f"wide{k} as (select * from level{k} where (total >= {LEAST} and kinds >= {VARIED} * total) or (kinds >= 3 and total >= {LEAST} * kinds))",
-            f"named{k} as (select {above}, seg, case when w.kinds is not null and seg <> chr(1) then '*' || e || '/' || p else seg end as s{k} from profile{k} left join wide{k} w using ({above}, e, p))",
-            f"tree{k + 1} as (select seg{k}.* exclude (seg), named{k}.s{k} from seg{k} join named{k} using ({above}, seg))",
+            f"seg{k} as (select *, t[{k + 1}] as seg, case when len(t) = {k + 1} then n else 0 end as ends from tree{k})",
+            f"branch{k} as (select {keys}, seg, sum(n) as n, sum(labelled) as labelled, sum(blocked) as blocked, sum(ends) as ends from seg{k} where seg is not null group by all)",
+            f"parent{k} as (select {keys}, sum(n) as total, sum(labelled) as all_labelled, sum(blocked) as all_blocked, sum(ends) as all_ends from branch{k} group by all)",
+            f"alike{k} as (select {keys}, seg from branch{k} b join parent{k} using ({keys}) where {alike})",
+            f"wild{k} as (select {keys}, seg from (select *, count(*) over (partition by {keys}) as kinds from alike{k}) where kinds >= {MANY})",
+            f"tree{k + 1} as (select x.* exclude (seg, ends), case when w.seg is not null then '*' else x.seg end as s{k} from seg{k} x left join wild{k} w on {on})",
         ]
-    joins, purity = "", str(prior)
-    for k in range(DEPTH + 1):
-        keys = ", ".join(["host", *[f"s{i}" for i in range(k)]])
-        seen = "labelled" if k == DEPTH else "n"
-        parts.append(f"sum{k} as (select {keys}, sum({seen}) as l{k}, sum(blocked) as b{k} from tree{DEPTH} group by all)")
-        joins += f" join sum{k} using ({keys})"
-        purity = f"((b{k} + {strength}::double * {purity}) / (l{k} + {strength}::double))"
-    same = " and ".join(f"u.t{k} is not distinct from j.t{k}" for k in range(DEPTH))
-    parts.append(f"judged as (select host, {names}, case when {purity} >= {reject} then 'block' else 'allow' end as method from tree{DEPTH}{joins})")
-    return "with " + ",\n".join(parts) + f"\nselect page_id, u.host, path, rule, coalesce(label, method) as verdict from urls u left join judged j on u.host = j.host and {same}"
+    sums, purity = "", f"{prior}::double"
+    for k in range(levels + 1):
+        keys = ["host", *[f"s{i}" for i in range(k)]]
+        over = f"over (partition by {', '.join(keys)})"
+        sums += f", sum(labelled) {over} as l{k}, sum(blocked) {over} as b{k}, sum(n) {over} as a{k}"
+        others = f"(case when len(t) <= {k} then 0.0 else {unlabelled} end)::double * (a{k} - l{k})"
+        known = f"case when l{k} > 0 and len(t) >= {k} then"
+        purity = f"(({known} b{k} else 0 end + {strength}::double * {purity}) / ({known} l{k} + {others} else 0.0::double end + {strength}::double))"
+    parts.append(f"judged as (select host, t, case when {purity} >= {reject} then 'block' else 'allow' end as method from (select *{sums} from tree{levels}))")
+    return "with " + ",\n".join(parts) + "\nselect page_id, host, path, rule, coalesce(label, method) as verdict from urls left join judged using (host, t)"
