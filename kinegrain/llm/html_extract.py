@@ -8,11 +8,14 @@ follows itself becomes a repeated group. Alignment is done within tasks first, t
 over the distinct partial wrappers of a host, so a host with a third of all pages is
 folded everywhere at once.
 
-With each slot go sums over the host's pages: texts, characters, characters in links,
-and the least and greatest hash of its text. A slot is main text unless its elements
-name page furniture; if the wrapper has an article or main element, only slots in it
-count; otherwise those that aren't mostly links; a slot whose text is the same on
-every page of a host is furniture too, unless all slots are (copies of one page).
+Each page is then matched against its host's wrapper, which tells for every text of the
+page the wrapper's slot that made it; where a part of a page is not generated by the
+wrapper, its texts' slots are told by the elements above them. Slots are summed over
+the host's pages: texts, characters, characters in links, and the least and greatest
+hash of a text. A slot is main text unless its elements name page furniture. If the
+host has slots in an article or main element, only those count; otherwise those that
+aren't mostly links, nor the same text on every page (unless all are: copies of one
+page). A page that none of its host's main slots has text on is judged by itself.
 
 Defined cases: null html and pages without text give an empty text; a null url, or
 one without ``://``, is of the host ''; unclosed and misplaced tags are closed or
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, stored
@@ -39,7 +42,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(id|class|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w:.-])(id|class|role|hidden|style)(?![\w:.-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 # Kinds of elements, and words in ids, classes and roles that name page furniture.
 RAW = frozenset("script style noscript template iframe svg math object embed canvas audio video textarea select".split())
@@ -54,6 +57,8 @@ FURNITURE_WORDS = frozenset(
     "disqus share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar byline meta tags "
     "contentinfo complementary form skip dialog".split()
 )
+#: Those of them that name parts of the article itself where they stand in it.
+ARTICLE_WORDS = frozenset("meta search tags byline results".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("main article articlebody post-content entry-content article-body story-body".split())
 CLOSES = {
@@ -66,12 +71,14 @@ SCOPES = frozenset("ul ol dl table article section main aside nav header footer
 MANY = 2  # most: 1 once, 2 repeated
 
 
-def _key(tag: str, attrs: str) -> tuple[str, bool]:
-    """What an element is aligned by, and whether it is furniture."""
+def _key(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool]:
+    """What an element is aligned by, and whether it is furniture; inside: of an article."""
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attrs)} if attrs.strip(" /\t\n\r") else {}
     names = f"{found.get('id', '')} {found.get('class', '')} {found.get('role', '')}".lower().split()
     words = {w for n in names for w in (n, *re.split(r"[-_\d]+", n))}
-    hidden = "hidden" in found and "aria-hidden" not in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+    if inside:
+        words -= ARTICLE_WORDS
+    hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
     bad = tag in FURNITURE_TAGS or hidden or not words.isdisjoint(FURNITURE_WORDS)
     if tag in MAIN_TAGS and words.isdisjoint(FURNITURE_WORDS):
         bad = hidden
@@ -147,7 +154,7 @@ def parse(html: str | None) -> Node:
                     flush()
                     stack.pop()
                 continue
-            key, bad = _key(tag, attrs)
+            key, bad = _key(tag, attrs, any(x.key[:1] == "*" for x in stack))
             if not bad:
                 continue
             flush()
@@ -171,7 +178,7 @@ def parse(html: str | None) -> Node:
                 continue
             if stack[k].tag in SCOPES and stack[k].tag not in closes:
                 break
-        node = Node(_key(tag, attrs)[0], tag)
+        node = Node(_key(tag, attrs, any(x.key[:1] == "*" for x in stack))[0], tag)
         stack[-1].kids.append(node)
         stack.append(node)
     put(html[at:])
@@ -284,13 +291,99 @@ def matches(body: list[list], kids: list) -> bool:
     return len(kids) in run(body, 0)
 
 
-def slots(node: Node, path: str = "") -> Iterator[tuple[str, str, int]]:
-    """(path, text, characters in links) of every text slot in order; a path is the keys above it."""
-    for kid in node.kids:
+class Slot:
+    """A text slot of a wrapper: its number, and what its elements say: 0 furniture, 1 nothing, 2 in an article or main element."""
+
+    __slots__ = ("number", "kind")
+
+    def __init__(self, number: int, kind: int):
+        self.number, self.kind = number, kind
+
+
+def numbered(body: list[list], path: str = "", first: list[int] | None = None) -> list[tuple]:
+    """(label, least, most, Slot or body) of a wrapper's items, with slots numbered in order."""
+    first = first if first is not None else [0]
+    out = []
+    for item in body:
+        if item[0] == "#":
+            first[0] += 1
+            out.append(("#", item[1], item[2], Slot(first[0] - 1, kind_of(path))))
+        else:
+            out.append((item[0], item[1], item[2], numbered(item[3], path if item[0] == "()" else f"{path}/{item[0]}", first)))
+    return out
+
+
+def kind_of(path: str) -> int:
+    return 0 if "/!" in path else 2 if "/*" in path else 1
+
+
+def _ends(item: tuple, kids: list, k: int, once: bool = False) -> dict[int, int]:
+    """Where occurrences of an item that begin at k may end, with the place of each one's last begin."""
+    if item[0] == "()":
+        step = lambda at: _run(item[3], kids, at)[-1]
+    elif item[0] == "#":
+        step = lambda at: (at + 1,) if at < len(kids) and isinstance(kids[at], tuple) else ()
+    else:
+        step = lambda at: (at + 1,) if at < len(kids) and not isinstance(kids[at], tuple) and kids[at].key == item[0] else ()
+    out: dict[int, int] = {}
+    front = [k]
+    while front:
+        new = []
+        for at in front:
+            for e in step(at):
+                if e > at and e not in out:
+                    out[e] = at
+                    new.append(e)
+        front = new if item[2] == MANY and not once else []
+    return out
+
+
+def _run(items: list[tuple], kids: list, k: int) -> list[dict[int, int]]:
+    """For every prefix of the items, where it may end if it begins at k, with where its last item then begins."""
+    layers: list[dict[int, int]] = [{k: k}]
+    for item in items:
+        new: dict[int, int] = {}
+        for at in layers[-1]:
+            for e in _ends(item, kids, at):
+                new.setdefault(e, at)
+            if not item[1]:
+                new.setdefault(at, at)
+        layers.append(new)
+    return layers
+
+
+def matched(items: list[tuple], kids: list, path: str = "") -> Iterator[tuple[int, int, str, int]]:
+    """(slot, kind, text, characters in links) of a page's texts in order, by the wrapper's items that generate them."""
+    layers = _run(items, kids, 0)
+    if len(kids) not in layers[-1]:
+        yield from loose(kids, path)
+        return
+    spans, e = [], len(kids)
+    for k in range(len(items), 0, -1):
+        spans.append((items[k - 1], layers[k][e], e))
+        e = layers[k][e]
+    for item, lo, hi in reversed(spans):
+        if item[0] == "()":
+            ends, cuts = _ends(item, kids, lo), [hi]
+            while cuts[-1] != lo:
+                cuts.append(ends[cuts[-1]])
+            for a, b in zip(cuts[:0:-1], cuts[-2::-1]):
+                yield from matched(item[3], kids[a:b], path)
+            continue
+        for kid in kids[lo:hi]:
+            if item[0] == "#":
+                yield item[3].number, item[3].kind, kid[0], kid[1]
+            else:
+                yield from matched(item[3], kid.kids, f"{path}/{kid.key}")
+
+
+def loose(kids: list, path: str) -> Iterator[tuple[int, int, str, int]]:
+    """The same for what the wrapper doesn't generate: slots are negative and told by the elements above."""
+    for kid in kids:
         if isinstance(kid, tuple):
-            yield path, kid[0], kid[1]
+            yield -1 - zlib.crc32(path.encode("utf-8", "surrogatepass")) % (1 << 30), kind_of(path), kid[0], kid[1]
         else:
-            yield from slots(kid, f"{path}/{kid.key}")
+            yield from loose(kid.kids, f"{path}/{kid.key}")
 
 
 def _host(url: str | None) -> str:
@@ -302,117 +395,90 @@ _AZ = {i: i + 32 for i in range(65, 91)}
 
 
 def _partials(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Wrappers and slot sums of the hosts in a task."""
+    """Wrappers of the hosts in a task."""
     wrappers: dict[str, list] = {}
-    sums: dict[tuple[str, str], list[int]] = {}
-
-    def rows() -> pd.DataFrame:
-        out = [(h, "w", json.dumps(w, separators=(",", ":")), 0, 0, 0, 0, 0) for h, w in wrappers.items()]
-        out += [(h, "s", p, *v) for (h, p), v in sums.items()]
-        wrappers.clear()
-        sums.clear()
-        return pd.DataFrame(out, columns=["host", "kind", "value", "texts", "chars", "links", "least", "most"])
-
     for pdf in parts:
         for url, html in zip(pdf["url"], pdf["html"]):
-            host, tree = _host(url), parse(html)
-            own = skeleton(tree)
+            host, own = _host(url), skeleton(parse(html))
             wrappers[host] = align(wrappers[host], own) if host in wrappers else own
-            for path, text, links in slots(tree):
-                h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-                s = sums.setdefault((host, path), [0, 0, 0, h, h])
-                s[0] += 1
-                s[1] += len(text)
-                s[2] += links
-                s[3], s[4] = min(s[3], h), max(s[4], h)
-            if len(sums) > 100_000:
-                yield rows()
-    if sums or wrappers:
-        yield rows()
-
-
-def _main_paths(sums: dict[str, tuple[int, int, int, int, int]]) -> list[str]:
-    """Paths of the slots that hold main text."""
-    clean = {p: s for p, s in sums.items() if "/!" not in p}
-    inside = {p: s for p, s in clean.items() if "/*" in p}
-    pool = inside or {p: s for p, s in clean.items() if 2 * s[2] < s[1]}
-    fixed = {p for p, s in pool.items() if s[0] >= 3 and s[3] == s[4]}
-    return sorted(p for p in pool if p not in fixed or len(fixed) == len(pool))
+    yield pd.DataFrame([(h, json.dumps(w, separators=(",", ":"))) for h, w in wrappers.items()], columns=["host", "wrapper"])
 
 
 def _fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each host, from rows sorted by host."""
-    host, wrapper, sums = None, None, {}
-
-    def row() -> pd.DataFrame:
-        return pd.DataFrame({"host": [host], "wrapper": [json.dumps(wrapper or [], separators=(",", ":"))], "main": [_main_paths(sums)]})
-
+    """One wrapper for each host and part, from rows sorted by them."""
+    last, wrapper = None, []
     for pdf in parts:
-        for r in pdf.itertuples(index=False):
-            if r.host != host:
-                if host is not None:
-                    yield row()
-                host, wrapper, sums = r.host, None, {}
-            if r.kind == "w":
-                own = json.loads(r.value)
-                wrapper = own if wrapper is None else align(wrapper, own)
+        for host, part, text in zip(pdf["host"], pdf["part"], pdf["wrapper"]):
+            if (host, part) != last:
+                if last:
+                    yield pd.DataFrame([(last[0], json.dumps(wrapper, separators=(",", ":")))], columns=["host", "wrapper"])
+                last, wrapper = (host, part), json.loads(text)
             else:
-                sums[r.value] = (r.texts, r.chars, r.links, r.least, r.most)
-    if host is not None:
-        yield row()
+                wrapper = align(wrapper, json.loads(text))
+    if last:
+        yield pd.DataFrame([(last[0], json.dumps(wrapper, separators=(",", ":")))], columns=["host", "wrapper"])
+
+
+#: Parts in which a host's partial wrappers are folded before these are folded into one.
+PARTS = 64
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), main (paths of main text): a row for each host of pages (url, html)."""
-    part = pages.select("url", "html").mapInPandas(
-        _partials, "host string, kind string, value string, texts long, chars long, links long, least long, most long"
-    )
-    merged = part.groupBy("host", "kind", "value").agg(
-        *[F.sum(c).alias(c) for c in ("texts", "chars", "links")], F.min("least").alias("least"), F.max("most").alias("most")
-    )
-    return merged.repartition("host").sortWithinPartitions("host", "kind", "value").mapInPandas(
-        _fold, "host string, wrapper string, main array<string>"
-    )
+    """host, wrapper (JSON): a row for each host of pages (url, html)."""
+    found = pages.select("url", "html").mapInPandas(_partials, "host string, wrapper string")
+    for part in (F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)), F.lit(0).cast("long")):
+        split = found.distinct().withColumn("part", part)
+        found = split.repartition("host", "part").sortWithinPartitions("host", "part", "wrapper").mapInPandas(_fold, "host string, wrapper string")
+    return found
 
 
-def page_text(html: str | None, main: set[str]) -> str:
-    """Main text of a page by its host's wrapper; by its own slots where none of the wrapper's main slots is on it."""
-    found = list(slots(parse(html)))
-    texts = [t for p, t, _ in found if p in main]
-    if not texts:
-        sums: dict[str, list[int]] = {}
-        for p, t, links in found:
-            s = sums.setdefault(p, [0, 0, 0, 0, 1])
-            s[0] += 1
-            s[1] += len(t)
-            s[2] += links
-        own = set(_main_paths(sums))
-        texts = [t for p, t, _ in found if p in own]
-    return " ".join(texts)
-
-
-def _extract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, set[str]] = {}
-    for pdf in parts:
-        for lo in range(0, len(pdf), 512):
-            few = pdf.iloc[lo : lo + 512]
-            texts = []
-            for host, html, main in zip(few["_host"], few["html"], few["_main"]):
-                if host not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[host] = set(() if main is None else main)
-                texts.append(page_text(html, known[host]))
-            out = few.drop(columns=["html", "_host", "_main"])
-            out["text"], out["n_chars"] = texts, [len(t) for t in texts]
-            yield out
+_SLOTS = "slot array<int>, kind array<int>, text array<string>, links array<int>"
+
+
+def slots_of(wrapper: pd.Series, html: pd.Series) -> pd.DataFrame:
+    """Slot, kind, text and characters in links of every text of a page, by its host's wrapper."""
+    known: dict[str, list[tuple]] = {}
+    out = []
+    for w, page in zip(wrapper, html):
+        if w not in known:
+            known[w] = numbered(json.loads(w))
+        found = list(matched(known[w], parse(page).kids))
+        out.append(tuple(map(list, zip(*found))) if found else ([], [], [], []))
+    return pd.DataFrame({"slot": [x[0] for x in out], "kind": [x[1] for x in out], "text": [x[2] for x in out], "links": [x[3] for x in out]})
+
+
+def host_column(url: Column) -> Column:
+    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
+    return F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def main_slots(matches: DataFrame) -> DataFrame:
+    """host, main (slots of main text) from the sums of every host's slots."""
+    each = matches.select("host", F.explode("slots").alias("s")).select("host", "s.*", F.xxhash64("s.text").alias("h"), F.length("s.text").alias("size"))
+    sums = each.where("kind > 0").groupBy("host", "slot").agg(
+        F.max("kind").alias("kind"), F.count(F.lit(1)).alias("texts"), F.sum("size").alias("chars"), F.sum("links").alias("links"), (F.min("h") == F.max("h")).alias("same")
+    )
+    own = Window.partitionBy("host")
+    pool = sums.withColumn("most", F.max("kind").over(own)).where((F.col("kind") == 2) | (F.col("most") == 1) & (2 * F.col("links") < F.col("chars")))
+    fixed = (F.col("kind") == 1) & F.col("same") & (F.col("texts") >= 3)
+    return pool.groupBy("host").agg(F.collect_list(F.when(~fixed, F.col("slot"))).alias("free"), F.collect_list("slot").alias("all")).select(
+        "host", F.when(F.size("free") > 0, F.col("free")).otherwise(F.col("all")).alias("main")
+    )
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """pages without their html, with text and n_chars; one row for each row."""
+    """pages (url, html, ...) with text and n_chars instead of html; columns of pages named text or n_chars give way to them."""
     kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in kept)
-    wrappers = checked_broadcast(stored(infer_wrappers(pages), "wrappers")).select(F.col("host").alias("_host"), F.col("main").alias("_main"))
-    host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = pages.select(*kept, "html").withColumn("_host", host)
-    return keyed.join(wrappers, "_host", "left").select(*kept, "html", "_host", "_main").mapInPandas(_extract, f"{fields}, text string, n_chars long")
+    wrappers = stored(infer_wrappers(pages), "wrappers")
+    rows = pages.select(F.struct(*kept).alias("row"), host_column(F.col("url")).alias("host"), F.col("html").alias("page"))
+    placed = rows.join(checked_broadcast(wrappers), "host", "left").withColumn("found", F.pandas_udf(slots_of, _SLOTS)(F.coalesce("wrapper", F.lit("[]")), "page"))
+    slots = F.arrays_zip("found.slot", "found.kind", "found.text", "found.links")
+    matches = stored(placed.select("host", "row", slots.alias("slots")), "matches")
+    main = stored(main_slots(matches.select("host", "slots")), "main")
+    s = matches.join(checked_broadcast(main), "host", "left")
+    by_host = F.filter("slots", lambda x: F.array_contains("main", x["slot"]))
+    inside, plain = F.filter("slots", lambda x: x["kind"] == 2), F.filter("slots", lambda x: (x["kind"] == 1) & (2 * x["links"] < F.length(x["text"])))
+    own = F.when(F.size(inside) > 0, inside).otherwise(plain)
+    chosen = F.when(F.size(F.coalesce(by_host, F.array())) > 0, by_host).otherwise(own)
+    out = s.select("row", F.array_join(F.transform(chosen, lambda x: x["text"]), " ").alias("text"))
+    return out.select("row.*", "text", F.length("text").cast("long").alias("n_chars"))

@@ -140,6 +140,66 @@ def test_html(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_html_probes(spark):
+    """One common title, attributes that only look like class or id, hidden parts, telling words inside an article, and long pages."""
+    page = (
+        "<body><div class=menu><a href=/>Home</a> <a href=/x>More</a></div><article><h1>Common title</h1><p class='meta'>Seen by {0} people</p>"
+        "<div data-id='menu'><p>Kept {0}</p></div><div hidden aria-hidden='true'><p>hidden</p></div><div class='search-results'><p>Found {0}</p></div>"
+        "<div class='comments'><p>first!</p></div></article><div class=footer>fine print</div></body>"
+    )
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in range(5)]
+    blocks = "".join(f"<p>word {k}</p>" for k in range(20_000))
+    rows += [(9, "http://long/1", f"<article>{blocks}</article>"), (10, "http://long/2", "<article>" + "<div>" * 150 + "deep" + "</div>" * 150 + "</article>")]
+    pages = spark.createDataFrame([(*r, "a", 1, "b") for r in rows], "page_id long, url string, html string, row string, host int, slots string")
+    got = {r.page_id: r for r in html_extract.extract_main_text(pages).collect()}
+    for i in range(5):
+        assert got[i].text == f"Common title Seen by {i} people Kept {i} Found {i}"
+        assert (got[i].row, got[i].host, got[i].slots) == ("a", 1, "b")
+    assert got[9].text == " ".join(f"word {k}" for k in range(20_000)) and got[10].text == "deep"
+
+
+def test_text_is_chosen_by_the_wrappers_slots(spark):
+    """Parts of one name at different places are told apart by the wrapper: only the part between the lists differs from page to page."""
+    page = "<section><p>Same opening words</p></section><ul><li>a</li></ul><section><p>Own text {0}</p><p>and more {0}</p></section><ol><li>b</li></ol><section><p>Same closing words</p></section>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", page.format(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()} == {i: f"Own text {i} and more {i}" for i in range(6)}
+
+
+def _texts(kids):
+    for k in kids:
+        if isinstance(k, tuple):
+            yield k[0]
+        else:
+            yield from _texts(k.kids)
+
+
+def test_slots_against_generated_pages():
+    """Pages that a wrapper generates, with each text's slot known, are matched to the same slots."""
+    rng = random.Random(12)
+
+    def generate(items):
+        kids = []
+        for label, least, most, body in items:
+            for _ in range(rng.randint(least, 3 if most == 2 else 1)):
+                if label == "()":
+                    kids += generate(body)
+                elif label == "#":
+                    kids.append((f"{body.number} {rng.random()}", 0))
+                else:
+                    node = html_extract.Node(label, label)
+                    node.kids = generate(body)
+                    kids.append(node)
+        return kids
+
+    body = [["#", 0, 1], ["p", 1, 2, [["#", 0, 1]]], ["()", 0, 2, [["dt", 1, 1, [["#", 1, 1]]], ["dd", 0, 1, [["#", 1, 2]]]]], ["ul", 0, 1, [["li", 1, 2, [["#", 1, 1], ["ol", 0, 1, [["#", 1, 1]]]]]]]]
+    items = html_extract.numbered(body)
+    for _ in range(300):
+        kids = generate(items)
+        got = list(html_extract.matched(items, kids))
+        assert [t for _, _, t, _ in got] == list(_texts(kids))
+        assert all(n == int(t.split()[0]) for n, _, t, _ in got)
+
+
 def test_wrapper_generates_its_pages():
     pages = [
         "<div><h1>a</h1><p>x</p></div>", "<div><h1>a</h1><p>x</p><p>y</p><p>z</p></div>", "<div><p>only</p><img><ul><li>1<li>2</ul></div>",
