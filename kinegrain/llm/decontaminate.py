@@ -211,5 +211,5 @@ def bench_index(listed: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """docs without those that an item leaks into."""
-    bad = stored(find_leaks(docs, items, **how).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(checked_broadcast(bad), F.col("doc_id") == F.col("_id"), "left_anti")
+    bad = stored(find_leaks(docs, items, **how).select("doc_id").distinct(), "leaks")
+    return docs.join(checked_broadcast(bad), "doc_id", "left_anti").select(*docs.columns)

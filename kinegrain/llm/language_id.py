@@ -139,9 +139,9 @@ def prototypes(labelled: DataFrame, *, dim: int = DIM, seed: int = SEED) -> dict
 
 
 def detect_language(docs: DataFrame, protos: dict[str, np.ndarray], *, dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """docs without their text, with lang_pred and score (cosine, moved to 0..1); one row for each row."""
+    """docs without their text, with lang_pred and score (cosine, moved to 0..1); one row for each row; columns of these names give way."""
     langs = sorted(protos)
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     p = np.stack([_unit(protos[x]) for x in langs]) if langs else np.zeros((0, dim))
     if len(langs) > 1:

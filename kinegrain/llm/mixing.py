@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, stored, word_count
+from .common import checked_broadcast, discard, stored, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUCKETS = 4096
@@ -102,28 +102,21 @@ def mixing_plan(
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it whole, and the boundary documents' fraction as a row with their first words."""
+    same = lambda doc_id, source, size: [
+        F.coalesce(doc_id.cast("string"), F.lit("null")).alias("k"), F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")).alias("s"), size.alias("size")
+    ]
+    c = F.col
     plan = stored(mixing_plan(docs, **how), "plan")
-    plan = plan.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_k"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("_s"),
-        F.col("size").alias("_size"),
-        F.col("taken").alias("_taken"),
-    )
     # equal rows share an entry; at most one boundary row differs, so the mean over equal rows is spread by whole words
-    plan = plan.groupBy("_k", "_s", "_size").agg(F.sum("_taken").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    keyed = docs.withColumns(
-        {
-            "_k": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-            "_s": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")),
-            "_size": word_count(F.col("text")),
-        }
-    )
-    both = keyed.join(plan, ["_k", "_s", "_size"])
-    each = F.floor(F.col("_sum") / F.col("_n")).cast("long")
-    both = both.withColumn("_each", each)
-    pieces = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.ceil(F.col("_each") / F.col("_size"))).cast("int")
-    out = both.withColumn("_piece", F.explode(F.when(pieces > 0, F.sequence(F.lit(1), pieces)).otherwise(F.array().cast("array<int>"))))
-    left = F.least(F.col("_size"), F.col("_each") - (F.col("_piece") - 1) * F.col("_size"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), ""))
-    return out.withColumn("text", text).select(*docs.columns)
+    entry = plan.select(*same(c("doc_id"), c("source"), c("size")), "taken").groupBy("k", "s", "size")
+    entry = stored(entry.agg(F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("each")), "taken")
+    discard(plan)
+    # the row's own columns are in one struct, so none of them can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *same(c("doc_id"), c("source"), word_count(c("text"))))
+    both = rows.join(checked_broadcast(entry), ["k", "s", "size"])
+    pieces = F.when(c("size") == 0, F.lit(0)).otherwise(F.ceil(c("each") / c("size"))).cast("int")
+    out = both.withColumn("piece", F.explode(F.when(pieces > 0, F.sequence(F.lit(1), pieces)).otherwise(F.array().cast("array<int>"))))
+    left = F.least(c("size"), c("each") - (c("piece") - 1) * c("size"))
+    words = F.regexp_extract_all(c("row.text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    text = F.when(left >= c("size"), c("row.text")).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), ""))
+    return out.select(*[text.alias(n) if n == "text" else c("row").getField(n).alias(n) for n in docs.columns])

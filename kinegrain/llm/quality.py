@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, checked_broadcast, discard, stored
@@ -90,14 +90,21 @@ def _stats(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def row_key() -> Column:
+    """A hash of all that is judged of a row; equal rows have equal keys."""
+    mark = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
+    return F.xxhash64(F.coalesce("text", F.lit("")), mark("lang"), mark("source"))
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, row_key, the five counts, base_failed, and the transformed statistics x0 to x4."""
-    cols = docs.select("doc_id", "text", "lang", "source")
+    lang, source = F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")
+    cols = docs.select("doc_id", "text", lang, source, row_key().alias("row_key"))
     kinds = dict(docs.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, lang string, source string, {BASE}, base_failed boolean, " + ", ".join(
+    schema = f"doc_id {kinds['doc_id']}, lang string, source string, row_key long, {BASE}, base_failed boolean, " + ", ".join(
         f"x{k} double" for k in range(N_STATS)
     )
-    return cols.withColumn("lang", F.col("lang").cast("string")).withColumn("source", F.col("source").cast("string")).mapInPandas(_stats, schema)
+    return cols.mapInPandas(_stats, schema)
 
 
 _X = [f"x{k}" for k in range(N_STATS)]
@@ -211,6 +218,7 @@ def quality_verdicts(
         "doc_id",
         "lang",
         "source",
+        "row_key",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -225,31 +233,12 @@ def quality_verdicts(
 def quality_filter(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that quality_verdicts keeps, with all their columns.
 
-    Equal (doc_id, text, lang, source) rows get equal verdicts, so rows are matched
-    by doc_id and, where ids repeat, by all that was judged: a doc_id is dropped only
-    in the rows whose own counts were rejected.
+    Rows are matched by doc_id and a hash of their text, lang and source, so a doc_id
+    is dropped only in the rows that were rejected, and equal rows fare alike.
     """
     v = stored(quality_verdicts(docs, **how), "verdicts")
-    bad = (
-        v.where("not kept")
-        .select(
-            F.col("doc_id").alias("_id"),
-            F.col("lang").alias("_lang"),
-            F.col("source").alias("_source"),
-            F.col("n_words").alias("_n"),
-            F.col("word_chars").alias("_chars"),
-        )
-        .distinct()
-    )
-    text = F.coalesce("text", F.lit(""))
-    n = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    chars = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long")
-    bad = stored(bad, "rejected")
-    on = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("lang").eqNullSafe(F.col("_lang"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (n == F.col("_n"))
-        & (chars == F.col("_chars"))
-    )
-    return docs.join(checked_broadcast(bad), on, "left_anti")
+    bad = stored(v.where("not kept").select("doc_id", "row_key").distinct(), "rejected")
+    discard(v)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", row_key().alias("row_key")).alias("r")
+    on = F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.row_key") == F.col("b.row_key"))
+    return rows.join(checked_broadcast(bad).alias("b"), on, "left_anti").select("row.*")

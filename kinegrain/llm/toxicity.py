@@ -309,9 +309,9 @@ def fit(labelled: DataFrame, *, max_terms: int = MAX_TERMS) -> Model:
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFrame:
-    """docs without their text, with score, predicted and spans; one row for each row."""
+    """docs without their text, with score, predicted and spans; one row for each row; columns of these names give way."""
     terms, allowed, curve = model
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c not in ("text", "score", "predicted", "spans")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
