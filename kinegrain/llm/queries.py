@@ -31,8 +31,30 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+#: The tools of the derived calls: name, required properties, types of properties.
+TOOLS = [
+    ("lookup", ["n"], {"n": "integer", "of": "string"}), ("count", ["n"], {"n": "string", "of": "string"}), ("join", ["n", "of"], {"n": "integer", "of": "string"}),
+]
+#: ``conversations`` hold no calls, so each assistant's turn is made to call a tool, which needs the result of the
+#: assistant's turn before (or, in turns of a length divisible by 13, that of the next, which needs it in turn) and two of
+#: three calls get a result; the texts run on both engines.
+DERIVED = """with a as (select conv_id, turn, role, text, coalesce(length(text), 0) as n from <conversations>),
+c as (select *, concat('c', cast(turn as string)) as id,
+    case n % 4 when 0 then 'lookup' when 1 then 'count' when 2 then 'join' else 'other' end as name,
+    case when n % 13 = 0 then concat('c', cast(turn + 2 as string)) when turn >= 3 and n % 5 <> 0 then concat('c', cast(turn - 2 as string)) end as need
+    from a where role = 'assistant'),
+j as (select *, concat('{', case when n % 7 = 0 then '"m":true' else concat('"n":', cast(n as string)) end,
+    case when need is null then '' else concat(',"of":"$', need, '"') end, '}') as arguments from c)"""
+MESSAGES = """select conv_id, turn, role, text from a where role is null or role <> 'assistant' union all
+select conv_id, turn, role, to_json(named_struct('content', text, 'tool_calls', array(named_struct('id', id, 'name', name, 'arguments', arguments))), map('ignoreNullFields', 'false')) as text from j union all
+select conv_id, turn, 'tool' as role, concat('{"tool_call_id":"', id, '","content":"', cast(n as string), '"}') as text from j where n % 3 <> 0 union all
+select conv_id, turn, 'tool' as role, '{"tool_call_id":"gone","content":"?"}' as text from j where n % 17 = 0"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.link_tool_calls(table(spark, sf_dir, "conversations"))
+    messages = spark.sql(f"{DERIVED} {MESSAGES}".replace("<conversations>", f"parquet.`{sf_dir}/conversations.parquet`"))
+    tools = spark.createDataFrame(TOOLS, "name string, required array<string>, types map<string,string>")
+    return chat_format.link_tool_calls(messages, tools)
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +113,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_url_filter": url_filter.verdict_sql(URL_RULES),
-    # the SQL has the form of plain messages and counts calls; linking is tested against a brute-force version
-    "op3_chat_format": """
-with m as (
-    select conv_id, turn, role, text, role = 'assistant' and json_valid(text) as may_call from conversations)
-select conv_id, turn, role, turn as order_turn, 0::int as order_level,
-       case when may_call then coalesce(json_array_length(text, '$.tool_calls'), 0) else 0 end::bigint as n_calls,
-       0::bigint as n_results, 0::bigint as n_errors, json_object('content', text, 'role', role)::varchar as message
-from m""",
+    "op3_chat_format": "with recursive" + DERIVED.removeprefix("with").replace("<conversations>", "conversations") + """,
+calls as (select j.*, k.id is not null as waits from j left join j k on k.conv_id = j.conv_id and k.id = j.need),
+levels as (select conv_id, id, 0 as level from calls where not waits union all
+    select c.conv_id, c.id, l.level + 1 from levels l join calls c on c.conv_id = l.conv_id and c.need = l.id and c.waits),
+tools(tool, required, types) as (values ('lookup', ['n'], {'n': 'integer', 'of': 'string'}), ('count', ['n'], {'n': 'string', 'of': 'string'}),
+    ('join', ['n', 'of'], {'n': 'integer', 'of': 'string'})),
+judged as (select c.*, level, tool, n % 7 = 0 as odd, n % 3 <> 0 as answered,
+    case when tool is null then ['unknown_tool'] else list_concat(
+        case when n % 7 = 0 then ['missing:n'] else [] end, case when need is null and list_contains(required, 'of') then ['missing:of'] else [] end,
+        case when n % 7 = 0 then ['unknown:m'] else [] end, case when n % 7 <> 0 and types.n = 'string' then ['type:n'] else [] end) end as wrong
+    from calls c left join levels l using (conv_id, id) left join tools on tool = name),
+errors as (select *, list_concat(wrong, case when level is null then ['cycle'] else [] end) as errors from judged)
+select conv_id, turn, role, turn as order_turn, 0::int as order_level, 0::bigint as n_calls, 0::bigint as n_results, 0::bigint as n_errors,
+    json_object('content', text, 'role', role)::varchar as message from a where role is null or role <> 'assistant' union all
+select conv_id, turn, role, turn, 0, 1, answered::bigint, len(errors)::bigint, concat('{"content":', coalesce(to_json(text)::varchar, 'null'), ',"role":"assistant","tool_calls":[{"arguments":', arguments,
+    ',"errors":', to_json(errors)::varchar, ',"id":"', id, '","level":', coalesce(level::varchar, 'null'), ',"name":"', name, '","result":', case when answered then concat('"', n, '"') else 'null' end, '}]}')
+    from errors union all
+select conv_id, turn, 'tool', turn, coalesce(level, 0) + 1, 0, 1, 0, concat('{"content":"', n, '","role":"tool","tool_call_id":"', id, '"}') from errors where answered union all
+select conv_id, turn, 'tool', turn, 1, 0, 0, 1, '{"content":"?","role":"tool","tool_call_id":"gone"}' from j where n % 17 = 0""",
     "op9_mixing": r"""
 with sized as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
