@@ -2,7 +2,7 @@
 
 1. Every text becomes a set of 64-bit shingle hashes. Equal sets are one class and
    are never compared.
-2. Prefix index in one global order. A third of the hash space, the indexed tokens,
+2. Prefix index in one global order. A part of the hash space, the indexed tokens,
    comes first, by exact document frequency, then hash; the rest follows by hash. Two
    sets that link share a token among their first n - ceil(t n) + 1. Tokens of a
    single class cannot bring a candidate, so only their number is kept for each
@@ -42,8 +42,6 @@ from .common import checked_broadcast, connected_components, discard, stored
 
 U = np.uint64
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-#: One of so many hashes is an indexed token.
-INDEXED = 3
 #: Sets in a block of a family, hubs that every block is compared with, and tokens that a block may hold.
 BLOCK, HUBS, TOKENS = 256, 8, 1 << 18
 #: Classes that meet in a list of more entries are of one family; so pairs across families come from shorter lists only.
@@ -97,7 +95,14 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def indexed(num: int, den: int) -> int:
+    """One of so many hashes is an indexed token: about twice as many as a prefix has, so that a prefix can choose rare ones."""
+    return max(2, -(-den // (2 * max(1, den - num))))
+
+
 def _index_rows(size: int, num: int, den: int):
+    one_of = U(indexed(num, den))
+
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for lo in range(0, len(pdf), 512):
@@ -106,7 +111,7 @@ def _index_rows(size: int, num: int, den: int):
                 for text in few["text"]:
                     h = shingle_set(text, size)
                     n = len(h)
-                    first = (h >> U(20)) % U(INDEXED) == 0
+                    first = (h >> U(20)) % one_of == 0
                     own, rest = h[first], h[~first]
                     short = prefix_length(n, num, den) - len(own) if n else 0
                     extra = rest[: max(0, short)]
@@ -250,7 +255,7 @@ def _postings(classes: DataFrame, num: int, den: int) -> DataFrame:
     ranked = shared.withColumns({"r": F.row_number().over(own.orderBy("df", "h")), "v": F.count(F.lit(1)).over(own)})
     found = ranked.join(classes.select("cls", "n", "k", "short"), "cls").withColumn("rank", F.col("k") - F.col("v") + F.col("r"))
     length = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1
-    # short classes hold tokens beyond the indexed third: their places are not in the global order, so position can't skip them
+    # short classes hold tokens beyond the indexed part: their places are not in the global order, so position can't skip them
     place = F.when(F.col("short"), F.lit(0)).otherwise(F.col("rank") - 1).alias("place")
     postings = stored(found.where(F.col("short") | (F.col("rank") <= length)).select("h", "cls", "n", place), "postings")
     discard(common)
