@@ -114,5 +114,6 @@ def l2_normalise(a: Column) -> Column:
 
 
 def hash_uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) from a seed and keys; the same for the same keys wherever they are computed."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    """A number in [0, 1) from a seed and keys: the first 52 bits of an MD5; the same for the same keys wherever they are computed."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)

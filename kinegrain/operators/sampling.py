@@ -62,13 +62,13 @@ def surface_sample(areas: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """sample, fid, u, v, w: faces by area and barycentric places, from (fid, area)."""
     w = Window.orderBy("fid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cdf = areas.withColumn("hi", F.sum("area").over(w)).withColumn("lo", F.col("hi") - F.col("area"))
-    total = areas.agg(F.sum("area").alias("total"))
-    draws = areas.sparkSession.range(n).withColumnRenamed("id", "sample").crossJoin(F.broadcast(total))
+    total = areas.agg(F.sum("area")).scalar()
+    draws = areas.sparkSession.range(n).withColumnRenamed("id", "sample").withColumn("total", total)
     draws = draws.withColumn("at", hash_uniform(seed, F.col("sample"), F.lit(0)) * F.col("total"))
     # both sides are cut into slices of the total, so the range join is an equi-join
     slices = 4096
     step = F.col("total") / slices
-    cdf = cdf.crossJoin(F.broadcast(total)).withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor(F.col("hi") / step))))
+    cdf = cdf.withColumn("total", total).withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor(F.col("hi") / step))))
     draws = draws.withColumn("b", F.floor(F.col("at") / step))
     r1, r2 = F.sqrt(hash_uniform(seed, F.col("sample"), F.lit(1))), hash_uniform(seed, F.col("sample"), F.lit(2))
     return draws.join(cdf.drop("total"), "b").where("at >= lo and at < hi").select(

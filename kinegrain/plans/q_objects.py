@@ -100,7 +100,11 @@ def near_vertex_pairs(spark, sf_dir):
     return e.agg(F.count_distinct("a").alias("heads"), F.count(F.lit(1)).alias("pairs"))
 
 
-@query()
+@query("""with recursive p as (select idx, x, y, z from {points}),
+    f as (select v0 as a, v1 as b from {faces} union select v1, v2 from {faces} union select v0, v2 from {faces} union
+        select p.idx, q.idx from p join p as q on p.idx < q.idx and power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2) <= 0.1 * 0.1),
+    e as (select a as u, b as v from f union select b, a from f), r as (select u as node, u as far from e union select node, v from r join e on far = u)
+    select node, min(far) as component from r group by 1""")
 def vertex_components(spark, sf_dir):
     """Components of vertices joined by faces' edges or by nearness."""
     from ..operators.mesh import edges_of

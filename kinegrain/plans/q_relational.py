@@ -22,6 +22,12 @@ def points(spark, sf_dir):
     return view(spark, sf_dir, "points")
 
 
+def uniform(seed: int, *keys: str) -> str:
+    """SQL of numeric.hash_uniform."""
+    text = ", ".join(f"{k}::varchar" for k in keys)
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {text})), 1, 13))::bigint::double / 4503599627370496)"
+
+
 @query(f"with p as (select * from {{points}}) select a.idx as a, b.idx as b, round({D2}, 6) as d2 from p a join p b on a.idx < b.idx and {D2} <= 0.01e0")
 def radius_self_join(spark, sf_dir):
     return rounded(S.radius_pairs(points(spark, sf_dir), 0.1))
@@ -133,20 +139,26 @@ def crop_boxes(spark, sf_dir):
     return L.crop_boxes(spark, 1, 800, 800, 0.25)
 
 
-@query()
+@query(f"""with t as (select sum(p_retailprice) as total from part),
+    a as (select p_partkey as fid, sum(p_retailprice) over (order by p_partkey rows unbounded preceding) as hi, p_retailprice as area from part),
+    d as (select range as sample, {uniform(42, 'range', '0')} * (select total from t) as pos, sqrt({uniform(42, 'range', '1')}) as r1, {uniform(42, 'range', '2')} as r2 from range(5000))
+    select sample, fid, round(1 - r1, 6) as u, round(r1 * (1 - r2), 6) as v, round(r1 * r2, 6) as w from d join a on pos >= hi - area and pos < hi""")
 def surface_sampling(spark, sf_dir):
     areas = table(spark, sf_dir, "part").select(c("p_partkey").alias("fid"), c("p_retailprice").alias("area"))
-    return L.surface_sample(areas, 5000)
+    return rounded(L.surface_sample(areas, 5000))
 
 
-@query()
+@query(f"""select doc_id, case when {uniform(42, 'doc_id')} < 0.1 then 'val' else 'train' end as split from documents""")
 def train_val_split(spark, sf_dir):
     from ..operators.datasets import split_by_hash
 
     return split_by_hash(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.1)
 
 
-@query()
+@query(f"""with n as (select count(*) as n from customer), m as (select range as id from range((select n // 2 from n))),
+    r as (select c_custkey, row_number() over (order by c_custkey) - 1 as place from customer)
+    select c_custkey from customer union all
+    select c_custkey from (select floor({uniform(43, 'id')} * (select n from n))::bigint as place from m) join r using (place)""")
 def dataset_resample(spark, sf_dir):
     d = table(spark, sf_dir, "customer").select("c_custkey")
     n = d.count()
