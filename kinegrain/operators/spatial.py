@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def _cells(points: DataFrame, size: float) -> DataFrame:
     return points.withColumns({f"_c{a}": F.floor(F.col(a) / size).cast("long") for a in "xyz"})
@@ -31,35 +33,63 @@ def radius_pairs(points: DataFrame, eps: float) -> DataFrame:
     return radius_join(points, points, eps).where("a < b")
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, skip_self: bool = True, blocks: int = 64) -> DataFrame:
-    """query, idx, rank, d2: the k nearest points of each query, exact; ties by index.
+#: Points of a cell up to which a level of the grid of ``knn`` counts as fine enough, and the most levels.
+CROWD, LEVELS = 64, 20
 
-    Points go to ``blocks`` blocks, every query visits every block, and each block keeps
-    k for each query before the blocks' results meet.
-    """
-    q = queries.select(F.col("idx").alias("query"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
-    q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    p = points.select("idx", *[F.col(c).alias(f"b{c}") for c in "xyz"]).withColumn("_b", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
-    d2 = distance2("a", "b")
-    near = q.join(p, "_b").select("query", "idx", "_b", d2.alias("d2"))
-    if skip_self:
-        near = near.where("query <> idx")
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("query", "_b").orderBy("d2", "idx"))).where(F.col("_r") <= k)
-    out = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "idx"))).where(F.col("rank") <= k)
-    return out.select("query", "idx", "rank", "d2")
 
+def knn(queries: DataFrame, points: DataFrame, k: int, skip_self: bool = True, crowd: int = CROWD) -> DataFrame:
+    """query, idx, rank, d2: the k nearest points of each query, exact; ties by index.
 
-def nearest(queries: DataFrame, few: DataFrame) -> DataFrame:
-    """query, idx, d2: the nearest of a bounded set of points, which is broadcast."""
-    q = queries.select(F.col("idx").alias("query"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
-    p = few.agg(F.collect_list(F.struct("idx", *"xyz")).alias("_p"))
-    d2 = lambda p: sum(((F.col(f"a{c}") - p[c]) * (F.col(f"a{c}") - p[c]) for c in "yz"), (F.col("ax") - p["x"]) * (F.col("ax") - p["x"]))
-    best = F.array_min(F.transform("_p", lambda p: F.struct(d2(p).alias("d2"), p["idx"].alias("idx"))))
-    return q.withColumn("_p", p.scalar()).select("query", best.alias("m")).select("query", "m.idx", "m.d2")
+    A query meets the points of its grid cell and the 26 around it. It is answered when its k-th
+    neighbour is nearer than a cell's side, as no other cell has a nearer one; the rest go on with
+    cells twice as wide, up to one as wide as everything. The first cells hold at most ``crowd``
+    places, wherever the points are dense. Of points at one place k + 1 can count at all.
+    Rows without a finite place are left out.
+    """
+    finite = lambda df: df.where(" and ".join(f"abs({c}) < double('Infinity')" for c in "xyz"))
+    q, p = finite(queries.select("idx", *"xyz")), finite(points.select("idx", *"xyz"))
+    p = stored(p.withColumn("_r", F.row_number().over(Window.partitionBy(*"xyz").orderBy("idx"))).where(F.col("_r") <= k + 1).drop("_r"), "knn-points")
+    bounds = q.select(*"xyz").unionByName(p.select(*"xyz")).agg(*[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
+    low = bounds[0::2]
+    side = 1.001 * max([hi - lo for lo, hi in zip(low, bounds[1::2]) if lo is not None], default=0.0) or 1.0
+    at = lambda df, size, pre="": [F.floor((F.col(f"{pre}{c}") - F.lit(lo or 0.0)) / size).cast("long").alias(f"_c{c}") for c, lo in zip("xyz", low)]
+    # all levels are counted in one pass over the places: the first one whose fullest cell is no crowd
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_l")
+    places = p.select(*"xyz").distinct().select("*", level).withColumn("_s", F.lit(side) / F.pow(F.lit(2.0), F.col("_l")))
+    full = places.groupBy("_l", *at(places, F.col("_s"))).count().groupBy("_l").agg(F.max("count").alias("n")).where(F.col("n") <= crowd)
+    first = full.agg(F.min("_l")).first()[0]
+    size = side / 2.0 ** (LEVELS if first is None else first)
+
+    rest = q.select(F.col("idx").alias("query"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
+    b = p.select(F.col("idx"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    d2, answers = distance2("a", "b"), None
+    while True:
+        last = size >= side
+        around = rest.select("*", *at(rest, size, "a"))
+        for c in "xyz":
+            around = around.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn(f"_c{c}", F.col(f"_c{c}") + F.col("_s")).drop("_s")
+        near = around.join(b.select("*", *at(b, size, "b")), ["_cx", "_cy", "_cz"]).select("query", "idx", d2.alias("d2"))
+        if skip_self:
+            near = near.where("query <> idx")
+        w = Window.partitionBy("query")
+        near = near.withColumn("rank", F.row_number().over(w.orderBy("d2", "idx"))).where(F.col("rank") <= k)
+        near = near.withColumns({"_n": F.count(F.lit(1)).over(w), "_d": F.max("d2").over(w)})
+        done = F.lit(last) | ((F.col("_n") == k) & (F.col("_d") < size * size * (1 - 1e-9)))
+        found = stored(near.where(done).select("query", "idx", "rank", "d2"), "knn-found")
+        answers = found if answers is None else answers.unionByName(found)
+        rest = rest.join(found.select("query").distinct(), "query", "left_anti")
+        if last or rest.isEmpty():
+            return answers
+        rest, size = stored(rest, "knn-rest"), size * 2
+
+
+def nearest(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """query, idx, d2: the nearest point of each query; ties by index."""
+    return knn(queries, points, 1, skip_self=False).select("query", "idx", "d2")
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b that are each other's nearest; both sides are bounded sets."""
+    """a, b that are each other's nearest."""
     ab = nearest(left, right).select(F.col("query").alias("a"), F.col("idx").alias("b"))
     ba = nearest(right, left).select(F.col("query").alias("b"), F.col("idx").alias("a"))
     return ab.join(ba, ["a", "b"])

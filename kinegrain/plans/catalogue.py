@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_eval, q_geometry, q_graph, q_objects, q_parts, q_relational, q_state, q_text
+from . import q_clouds, q_eval, q_geometry, q_graph, q_objects, q_parts, q_relational, q_state, q_text
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "eval_kinematic_report"
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "q_eval", "q_geometry", "q_graph", "q_objects", "q_relational", "q_state", "q_text"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "q_clouds", "q_eval", "q_geometry", "q_graph", "q_objects", "q_relational", "q_state", "q_text"]

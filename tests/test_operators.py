@@ -135,7 +135,7 @@ def test_spatial(spark):
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     assert {(r.a, r.b) for r in spatial.radius_pairs(pts, 0.2).collect()} == {(i, j) for i in range(120) for j in range(i + 1, 120) if d[i, j] <= 0.04}
     got = {}
-    for r in spatial.knn(pts, pts, 3, blocks=4).collect():
+    for r in spatial.knn(pts, pts, 3, crowd=2).collect():
         got.setdefault(r.query, {})[r["rank"]] = r.idx
     for i in range(120):
         assert [got[i][k] for k in (1, 2, 3)] == [j for j in np.argsort(d[i], kind="stable") if j != i][:3]
