@@ -76,8 +76,8 @@ def label_colours(labels: DataFrame, palette: list[tuple[int, int, int]]) -> Dat
     ranked = labels.select("label").distinct().withColumn("_r", F.row_number().over(Window.orderBy("label")) - 1)
     n = labels.select("label").distinct().agg(F.count(F.lit(1))).scalar()
     colours = F.array(*[F.array(*map(F.lit, rgb)) for rgb in palette])
-    at = F.least(F.lit(len(palette) - 1), F.floor(F.try_divide(F.col("_r"), n - 1) * len(palette)))
-    picked = ranked.withColumn("_c", F.get(colours, F.coalesce(at, F.lit(0)).cast("int")))
+    at = F.least(F.lit(len(palette) - 1), F.floor(F.coalesce(F.try_divide(F.col("_r"), n - 1), F.lit(0.0)) * len(palette)))
+    picked = ranked.withColumn("_c", F.get(colours, at.cast("int")))
     return picked.select("label", *[F.col("_c")[i].alias(a) for i, a in enumerate("rgb")])
 
 
