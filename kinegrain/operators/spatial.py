@@ -34,7 +34,7 @@ def radius_pairs(points: DataFrame, eps: float) -> DataFrame:
 
 
 #: Points of a cell up to which a level of the grid of ``knn`` counts as fine enough, and the most levels.
-CROWD, LEVELS = 64, 20
+CROWD, LEVELS = 256, 20
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, skip_self: bool = True, crowd: int = CROWD) -> DataFrame:
