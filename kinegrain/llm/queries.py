@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, quality, token_output, toxicity, url_filter
+from . import byte_bpe, chat_format, decontaminate, filter_audit, html_extract, jaccard_join, language_id, lexical_search, mixing, quality, token_output, toxicity, url_filter
 from .common import table
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
+RANKS_FILE = "byte_bpe_50k.tiktoken"
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -98,6 +99,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = byte_bpe.Model(docs, public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN)
+    return byte_bpe.digest(byte_bpe.decode_ids(byte_bpe.encode_texts(docs, model), model))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_url_filter": op2_url_filter,
@@ -109,9 +126,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
+    "op12_lexical_search": lexical_search.SEARCH_SQL,
+    "op13_filter_audit": filter_audit.AUDIT_SQL,
     "op2_url_filter": url_filter.verdict_sql(URL_RULES),
     "op3_chat_format": "with recursive" + DERIVED.removeprefix("with").replace("<conversations>", "conversations") + """,
 calls as (select j.*, k.id is not null as waits from j left join j k on k.conv_id = j.conv_id and k.id = j.need),

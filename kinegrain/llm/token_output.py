@@ -91,11 +91,10 @@ class _Coder:
     split as PIECES does, are encoded by the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, library, by_piece: bool | None = None):
+        """by_piece says that the tokenizer splits as PIECES does; None: its own form tells."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.library = library
         self.library.no_truncation()
         self.library.no_padding()
         form = json.loads(self.library.to_str())
@@ -104,6 +103,8 @@ class _Coder:
             split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
             and form.get("normalizer") is None and form["model"].get("type") == "BPE"
         )
+        if by_piece is not None:
+            self.by_piece = by_piece
         self.special = [t["content"] for t in form.get("added_tokens") or ()]
         self.places, self.held = _Places(), 0
         self.ids, self.size, self.seen = (np.zeros(1 << 14, t) for t in (np.uint32, np.int64, np.int64))
@@ -175,8 +176,8 @@ class _Coder:
         first = np.frombuffer("".join(map(itemgetter(0), pieces)).encode("utf-32-le"), np.uint32) == 32
         return ids, np.bincount(np.cumsum(first) - 1, size, minlength=len(cuts)).astype(np.int64)
 
-    def encode(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
-        """Ids of each text with the end id; texts hold no null."""
+    def encode(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
+        """Ids of each text with the end id, if there is one; texts hold no null."""
         if len(self.places) > MEMO:
             self._forget()
         whole, alone = np.zeros(len(texts), bool) | (not self.by_piece), np.zeros(len(texts), bool)
@@ -204,6 +205,8 @@ class _Coder:
             done = np.concatenate([[0], np.cumsum(size[code])])[ends - np.arange(len(ends))].tolist()
             for i, k in enumerate(even):
                 out[k] = np.concatenate([heads[i], all_ids[done[i] : done[i + 1]]])
+        if end_id is None:
+            return out
         end = np.array([end_id], np.uint32)
         return [np.concatenate([x, end]) for x in out]
 
@@ -211,7 +214,9 @@ class _Coder:
 def token_ids(texts: list[str] | pa.Array, path: str, end_id: int = END_ID) -> list[np.ndarray]:
     """Ids of each text with the end id, as unsigned 32-bit: those that the tokenizers library gives for the whole text."""
     if path not in _CODERS:
-        _CODERS[path] = _Coder(path)
+        from tokenizers import Tokenizer
+
+        _CODERS[path] = _Coder(Tokenizer.from_file(path))
     return _CODERS[path].encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), end_id)
 
 
