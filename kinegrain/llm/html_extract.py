@@ -12,14 +12,18 @@ Each page is then matched against its host's wrapper, which tells for every text
 page the wrapper's slot that made it; where a part of a page is not generated by the
 wrapper, its texts' slots are told by the elements above them. Slots are summed over
 the host's pages: texts, characters, characters in links, and the least and greatest
-hash of a text. A slot is main text unless its elements name page furniture. If the
+hash of a text. A slot is main text unless its elements name page furniture: by their tags,
+or by ids, classes and roles that are furniture words or compounds of such and neutral words
+only (so ``site-footer``, not ``has-sidebar``). Names never make furniture of html, body and
+main, nor of what holds the page's only article or all of its text. If the
 host has slots in an article or main element, only those count; otherwise those that
 aren't mostly links, nor the same text on every page (unless all are: copies of one
 page). A page that none of its host's main slots has text on is judged by itself.
 
 Defined cases: null html and pages without text give an empty text; a null url, or
 one without ``://``, is of the host ''; unclosed and misplaced tags are closed or
-ignored as browsers do; character references without a semicolon are decoded where
+ignored as browsers do; what is nested deeper than DEPTH levels belongs to the element
+at that depth, with its texts in order; character references without a semicolon are decoded where
 HTML does so; a tag cut off at the end is dropped; repeated rows are extracted alike;
 an empty table gives an empty result.
 """
@@ -51,13 +55,21 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
 FURNITURE_TAGS = frozenset("nav footer aside form button dialog menu fieldset head title".split())
+#: Elements that are never furniture by their names, as they hold a page or its article.
+CONTAINERS = frozenset("html body main".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead topbar footer sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay comment comments reply replies respond "
     "disqus share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar byline meta tags "
     "contentinfo complementary form skip dialog".split()
 )
-#: Those of them that name parts of the article itself where they stand in it.
+#: Words that compounds of furniture words may hold besides: place, form and number, but no content.
+NEUTRAL_WORDS = frozenset(
+    "site page main global primary secondary top bottom left right inner outer upper lower sticky fixed mobile desktop "
+    "container wrapper wrap box block area section region bar list item items link links button buttons slot unit content-box "
+    "widgets menus posts articles stories news wall policy icons text title count thread".split()
+)
+#: Those of the furniture words that name parts of the article itself where they stand in it.
 ARTICLE_WORDS = frozenset("meta search tags byline results".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("main article articlebody post-content entry-content article-body story-body".split())
@@ -71,27 +83,71 @@ SCOPES = frozenset("ul ol dl table article section main aside nav header footer
 MANY = 2  # most: 1 once, 2 repeated
 
 
-def _key(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool]:
-    """What an element is aligned by, and whether it is furniture; inside: of an article."""
+def _furniture_name(name: str, inside: bool) -> bool:
+    """Whether an id, a class or a role names page furniture: a furniture word, or a compound of such and neutral words only."""
+    words = FURNITURE_WORDS - ARTICLE_WORDS if inside else FURNITURE_WORDS
+    parts = [w for w in re.split(r"[-_\d]+", name) if w]
+    return name in words or any(w in words for w in parts) and all(w in words or w in NEUTRAL_WORDS for w in parts)
+
+
+def _key(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool, bool]:
+    """What an element is aligned by, whether it is furniture, and whether its names alone say so; inside: of an article."""
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attrs)} if attrs.strip(" /\t\n\r") else {}
     names = f"{found.get('id', '')} {found.get('class', '')} {found.get('role', '')}".lower().split()
-    words = {w for n in names for w in (n, *re.split(r"[-_\d]+", n))}
-    if inside:
-        words -= ARTICLE_WORDS
     hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-    bad = tag in FURNITURE_TAGS or hidden or not words.isdisjoint(FURNITURE_WORDS)
-    if tag in MAIN_TAGS and words.isdisjoint(FURNITURE_WORDS):
-        bad = hidden
-    kind = "!" if bad else "*" if tag in MAIN_TAGS or not words.isdisjoint(MAIN_WORDS) else ""
+    by_tag = hidden or tag in FURNITURE_TAGS or tag == "header" and not inside
+    by_name = tag not in CONTAINERS and any(_furniture_name(n, inside) for n in names)
+    words = {w for n in names for w in (n, *re.split(r"[-_\d]+", n))}
+    kind = "!" if by_tag or by_name else "*" if tag in MAIN_TAGS or not words.isdisjoint(MAIN_WORDS) else ""
     shown = ".".join(sorted({re.sub(r"\d+", "0", n) for n in names}))
-    return kind + tag + ("." + shown if shown else ""), bad
+    return kind + tag + ("." + shown if shown else ""), by_tag or by_name, by_name and not by_tag
 
 
-class Node:
-    __slots__ = ("key", "tag", "kids")
+#: Levels of the tree: what is nested deeper is read as part of the element at that depth, with its texts in order.
+DEPTH = 100
 
-    def __init__(self, key: str, tag: str):
-        self.key, self.tag, self.kids = key, tag, []
+
+class Node:
+    __slots__ = ("key", "tag", "kids", "named", "inside", "depth")
+
+    def __init__(self, key: str, tag: str, named: bool = False, above: Node | None = None):
+        self.key, self.tag, self.kids, self.named = key, tag, [], named
+        self.inside = bool(above and above.inside) or key[:1] == "*"
+        self.depth = above.depth + 1 if above else 0
+        if above is None:
+            return
+        # below DEPTH only furniture, and articles outside of others, are elements of their own
+        if self.depth > DEPTH and not (key[:1] == "!" and above.key[:1] != "!" or key[:1] == "*" and not above.inside):
+            self.kids = above.kids
+            self.key = above.key
+        else:
+            above.kids.append(self)
+
+
+def _relieved(root: Node) -> Node:
+    """Furniture by name is none if it holds the page's only article, or all of the page's text: there the marked element with most of it loses its mark."""
+    for _ in range(DEPTH):
+        free, marked = [0, 0], {}  # characters outside furniture: all, and in articles; marked elements: (in articles, all)
+        walk: list[tuple[Node, Node | None, bool, bool]] = [(root, None, False, False)]
+        while walk:
+            node, mark, hard, main = walk.pop()
+            for kid in node.kids:
+                if isinstance(kid, Node):
+                    bad = kid.key[:1] == "!"
+                    walk.append((kid, kid if bad and kid.named and mark is None else mark, hard or bad and not kid.named, main or kid.key[:1] == "*"))
+                elif not hard:
+                    if mark is None:
+                        free[0] += len(kid[0])
+                        free[1] += len(kid[0]) * main
+                    else:
+                        at = marked.setdefault(id(mark), [0, 0, mark])
+                        at[0] += len(kid[0]) * main
+                        at[1] += len(kid[0])
+        best = max(marked.values(), key=lambda x: x[:2], default=None)
+        if best is None or free[1] or free[0] and not best[0]:
+            break
+        best[2].key, best[2].named = best[2].key[1:], False
+    return root
 
 
 def parse(html: str | None) -> Node:
@@ -154,13 +210,11 @@ def parse(html: str | None) -> Node:
                     flush()
                     stack.pop()
                 continue
-            key, bad = _key(tag, attrs, any(x.key[:1] == "*" for x in stack))
+            key, bad, named = _key(tag, attrs, stack[-1].inside)
             if not bad:
                 continue
             flush()
-            node = Node(key, tag)
-            stack[-1].kids.append(node)
-            stack.append(node)
+            stack.append(Node(key, tag, named, stack[-1]))
             continue
         flush()
         if end:
@@ -178,12 +232,11 @@ def parse(html: str | None) -> Node:
                 continue
             if stack[k].tag in SCOPES and stack[k].tag not in closes:
                 break
-        node = Node(_key(tag, attrs, any(x.key[:1] == "*" for x in stack))[0], tag)
-        stack[-1].kids.append(node)
-        stack.append(node)
+        key, _, named = _key(tag, attrs, stack[-1].inside)
+        stack.append(Node(key, tag, named, stack[-1]))
     put(html[at:])
     flush()
-    return root
+    return _relieved(root)
 
 
 # Items: ["#", least, most], [key, least, most, body], or ["()", least, most, body] for a group.
