@@ -13,11 +13,11 @@ purity of ``reject`` or more are blocked.
 
 All counting is done on (host, template) groups, so a hot host is summed in map
 tasks; urls are joined once with their group's verdict, and a hot group's urls are
-split by the adaptive skew join or not shuffled at all. The tree has as many levels as
-the longest path has segments.
+split by the adaptive skew join or not shuffled at all. Rounds are as many as levels at
+which branches can merge, whatever the longest path; prefixes are told by MD5.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; an
-empty path is the root template; where several rules fit, the longest host and path
+empty path is the root template; paths of any number of segments are judged whole; where several rules fit, the longest host and path
 wins, then the path; repeated rows are judged alike; an empty table gives an empty
 result; the operator's rules are a bounded parameter.
 """
@@ -66,51 +66,66 @@ def _alike(share: str) -> Column:
     return far * far <= F.lit(DEVIATION) * p * (1 - p) * (1 / F.col("n") - 1 / F.col("all"))
 
 
-def templates(urls: DataFrame) -> tuple[DataFrame, int]:
-    """(host, t (segments), n, labelled, blocked, and s0, s1, ... after merging; null past the end) from (host, path, label), and the levels."""
+def _prefixes(segs: Column) -> Column:
+    """Array of identities of every prefix of a host's branch, the host itself first: each the MD5 of the one above and its segment."""
+    start = F.array(F.md5(F.col("host").cast("binary")))
+    step = lambda ids, s: F.concat(ids, F.array(F.md5(F.concat(F.element_at(ids, -1), F.lit("/"), s).cast("binary"))))
+    return F.aggregate(segs, start, step)
+
+
+def _merged_level(tree: DataFrame, k: int) -> DataFrame:
+    """tree with its segments at place k merged under every prefix where MANY siblings are alike."""
+    named = tree.withColumns({"at": F.get("ids", F.lit(k)), "seg": F.get("s", F.lit(k)), "ends": F.when(F.size("t") == k + 1, F.col("n")).otherwise(0)})
+    branch = named.where("seg is not null").groupBy("at", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked", "ends")])
+    parent = branch.groupBy("at").agg(F.sum("n").alias("all"), *[F.sum(c).alias(f"all_{c}") for c in ("labelled", "blocked", "ends")])
+    alike = stored(branch.join(parent, "at").where(_alike("ends") & _alike("labelled") & _alike("blocked")).select("at", "seg"), "alike")
+    wide = alike.groupBy("at").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= MANY).select("at")
+    wild = alike.join(wide, "at").select("at", "seg", F.lit("*").alias("wild"))
+    joined = named.join(wild, ["at", "seg"], "left")
+    segs = F.when(F.col("wild").isNull(), F.col("s")).otherwise(F.concat(F.slice("s", F.lit(1), F.lit(k)), F.array("wild"), F.slice("s", F.lit(k + 2), F.size("s"))))
+    out = stored(joined.select("host", "t", "n", "labelled", "blocked", segs.alias("s")), "templates")
+    discard(alike)
+    return out
+
+
+def templates(urls: DataFrame) -> DataFrame:
+    """host, t (segments), n, labelled, blocked, and s (segments after merging) from (host, path, label).
+
+    Levels are merged from the top, since merged branches share what is below them; a level
+    under none of whose prefixes MANY branches stand can merge nothing and costs no round.
+    """
     base = urls.groupBy("host", segments(F.col("path")).alias("t")).agg(
         F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked")
     )
-    tree = stored(base, "templates")
-    levels = tree.agg(F.max(F.size("t"))).first()[0] or 1
-    for k in range(levels):
-        above = ["host", *[f"s{i}" for i in range(k)]]
-        named = tree.withColumns({"seg": F.get("t", F.lit(k)), "ends": F.when(F.size("t") == k + 1, F.col("n")).otherwise(0)})
-        branch = named.where("seg is not null").groupBy(*above, "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked", "ends")])
-        parent = branch.groupBy(*above).agg(F.sum("n").alias("all"), *[F.sum(c).alias(f"all_{c}") for c in ("labelled", "blocked", "ends")])
-        alike = branch.join(parent, above).where(_alike("ends") & _alike("labelled") & _alike("blocked"))
-        alike = stored(alike.select(*above, "seg"), "alike")
-        wide = alike.groupBy(*above).agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= MANY)
-        wild = alike.join(wide, above).select(*above, "seg", F.lit("*").alias("wild"))
-        on = [F.col(f"x.{c}") == F.col(f"w.{c}") for c in (*above, "seg")]
-        joined = named.alias("x").join(wild.alias("w"), on, "left")
-        new = stored(joined.select("x.host", "x.t", "x.n", "x.labelled", "x.blocked", *[f"x.s{i}" for i in range(k)], F.coalesce("w.wild", "x.seg").alias(f"s{k}")), "templates")
-        discard(tree, alike)
-        tree = new
-    return tree, levels
-
-
-def template_verdicts(
-    tree: DataFrame, levels: int, *, prior: float = PRIOR, strength: float = STRENGTH, reject: float = REJECT, unlabelled: float = UNLABELLED
-) -> DataFrame:
-    """tree's host and t with template, purity and method verdict."""
-    purity, out = F.lit(prior), tree
-    for k in range(levels + 1):
-        keys = ["host", *[f"s{i}" for i in range(k)]]
-        own = tree.groupBy(*keys).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.sum("n").alias("a"))
-        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys]
-        out = out.alias("x").join(own.alias("y"), same).select("x.*", F.col("l").alias(f"l{k}"), F.col("b").alias(f"b{k}"), F.col("a").alias(f"a{k}"))
-    for k in range(levels + 1):
+    tree, done = stored(base.withColumn("s", F.col("t")), "templates"), 0
+    while True:
+        placed = tree.withColumn("ids", _prefixes(F.col("s")))
+        below = placed.select(F.posexplode(F.arrays_zip(F.slice("ids", F.lit(1), F.size("s")).alias("at"), F.col("s").alias("seg"))).alias("k", "x")).where(F.col("k") >= done)
+        kinds = below.groupBy("k", "x.at", "x.seg").agg(F.lit(1).alias("one")).groupBy("k", "at").count().where(F.col("count") >= MANY)
+        k = kinds.agg(F.min("k")).first()[0]
+        if k is None:
+            return tree
+        grown = _merged_level(placed, k)
+        discard(tree)
+        tree, done = grown, k + 1
+
+
+def template_verdicts(tree: DataFrame, *, prior: float = PRIOR, strength: float = STRENGTH, reject: float = REJECT, unlabelled: float = UNLABELLED) -> DataFrame:
+    """tree's host and t with template, purity and method verdict: sums of all prefixes at once, then a fold of each template's from the host down."""
+    each = tree.select("host", "t", "n", "labelled", "blocked", F.posexplode(_prefixes(F.col("s"))).alias("k", "at"))
+    sums = each.groupBy("at").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.sum("n").alias("a"))
+    above = each.join(sums, "at").groupBy("host", "t").agg(F.array_sort(F.collect_list(F.struct("k", "l", "b", "a"))).alias("above"))
+    rows = tree.select("host", "t", "s").join(above, ["host", "t"])
+
+    def smoothed(purity: Column, x: Column) -> Column:
         # a template that ends here has only its labelled urls; above it the others weigh a little
-        others = F.when(F.size("t") <= k, 0.0).otherwise(unlabelled) * (F.col(f"a{k}") - F.col(f"l{k}"))
-        known = (F.col(f"l{k}") > 0) & (F.size("t") >= k)
-        # without labels this is the parent's purity; written so that each level holds the one above only once
-        purity = (F.when(known, F.col(f"b{k}")).otherwise(0) + F.lit(strength) * purity) / (F.when(known, F.col(f"l{k}") + others).otherwise(0.0) + F.lit(strength))
-    out = out.withColumn("purity", purity)
-    names = F.array_compact(F.array(*[f"s{k}" for k in range(levels)]))
-    return out.select(
-        "host", "t", F.concat(F.lit("/"), F.array_join(names, "/")).alias("template"), "purity", F.when(F.col("purity") >= reject, "block").otherwise("allow").alias("method")
-    )
+        others = F.when(F.size("t") <= x["k"], 0.0).otherwise(unlabelled) * (x["a"] - x["l"])
+        known = x["l"] > 0  # without labels it is the parent's purity
+        return (F.when(known, x["b"]).otherwise(0) + F.lit(strength) * purity) / (F.when(known, x["l"] + others).otherwise(0.0) + F.lit(strength))
+
+    out = rows.withColumn("purity", F.aggregate("above", F.lit(prior), smoothed))
+    template = F.concat(F.lit("/"), F.array_join("s", "/"))
+    return out.select("host", "t", template.alias("template"), "purity", F.when(F.col("purity") >= reject, "block").otherwise("allow").alias("method"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], **how) -> DataFrame:
@@ -120,7 +135,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], **how) -> DataFrame:
     rows = pages.select(F.struct(*kept).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_fields(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "label": verdict})
-    judged = stored(template_verdicts(*templates(rows.select("host", "path", "label")), **how), "judged")
+    judged = stored(template_verdicts(templates(rows.select("host", "path", "label")), **how), "judged")
     rows = rows.withColumn("t", segments(F.col("path")))
     found = rows.join(checked_broadcast(judged), ["host", "t"], "left")
     return found.select("row.*", "host", "path", "rule", F.coalesce("label", "method").alias("verdict"), "template", "purity")
