@@ -19,7 +19,7 @@ def validate_objects(annotations: DataFrame, extents: DataFrame, volumes: DataFr
     """entity, issues (of label and rule), rel_err, warning, error: one row for each annotation.
 
     annotations: (entity, text); extents: (entity, dx, dy, dz) of simulated objects; volumes: (entity, label, volume) of
-    simulated parts. A part's real volume is its simulated one times the real box (in cm) over the simulated box. An object
+    simulated parts, as volume.voxel_volumes() makes them, with why a part has none as volume_error, if that is a column. A part's real volume is its simulated one times the real box (in cm) over the simulated box. An object
     whose text, dimensions, mass or extents can't be read has an error and nothing else; a part without a volume has no mass; an object without parts has null issues.
     """
     a = annotations.select("entity", F.from_json("text", ANNOTATION).alias("a")).join(extents, "entity", "left")
@@ -30,6 +30,10 @@ def validate_objects(annotations: DataFrame, extents: DataFrame, volumes: DataFr
         F.when(F.col("a.parts").isNull(), "no parts").when(F.size(d) != 3, "dimension").when(real.isNull(), "dimension").when(F.col("mass").isNull(), "mass")
         .when(F.col("scale").isNull(), "extents")
     )
+    if "volume_error" in volumes.columns:
+        unmeasured = volumes.where("volume_error is not null").groupBy("entity").agg(F.concat(F.lit("volume: "), F.min("volume_error")).alias("unmeasured"))
+        a, error = a.join(unmeasured, "entity", "left"), F.coalesce(error, F.col("unmeasured"))
+        volumes = volumes.drop("volume_error")
     a = a.withColumn("error", error)
     good = a.where("error is null").select("entity", "mass", "scale", F.explode("a.parts").alias("p"))
     p = F.col("p")

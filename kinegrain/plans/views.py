@@ -39,6 +39,9 @@ VIEWS: dict[str, str] = {
         case p_partkey % 7 when 0 then 'D' when 1 then 'B' when 2 then 'C' else 'A' end as kind, p_partkey as seq, cast(p_size as double) as lo, p_retailprice as hi from <part>
         where p_partkey % 11 <> p_size % 11""",
     "faces": """select p_partkey as fid, p_partkey % 500 as v0, (p_partkey + 1) % 500 as v1, (p_partkey + 7) % 500 as v2, p_partkey % 10 as part from <part>""",
+    # boxes (label 0) and tetrahedra (label 1) with their sides and their least corner
+    "solids": """select s_suppkey as id, cast(floor(s_suppkey / 2) as bigint) as entity, s_suppkey % 2 as label, 1.13e0 + s_suppkey % 7 as a, 1.37e0 + s_nationkey % 5 as b,
+        1.71e0 + s_suppkey % 3 as c, 0.0317e0 + s_nationkey * 0.0131e0 as ox, 0.0533e0 + s_suppkey % 11 * 0.0172e0 as oy, 0.0719e0 + s_suppkey % 5 * 0.0191e0 as oz from <supplier>""",
     "messages": "select conv_id, turn, role, text from <conversations>",
     "frames": "select user_id as object, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, event_type, value from <events>",
     "stage_log": """select user_id % 97 as entity, event_type as stage, case when value < 20 then 'failed' when value < 40 then 'running' else 'succeeded' end as status,
