@@ -42,6 +42,11 @@ VIEWS: dict[str, str] = {
     # boxes (label 0) and tetrahedra (label 1) with their sides and their least corner
     "solids": """select s_suppkey as id, cast(floor(s_suppkey / 2) as bigint) as entity, s_suppkey % 2 as label, 1.13e0 + s_suppkey % 7 as a, 1.37e0 + s_nationkey % 5 as b,
         1.71e0 + s_suppkey % 3 as c, 0.0317e0 + s_nationkey * 0.0131e0 as ox, 0.0533e0 + s_suppkey % 11 * 0.0172e0 as oy, 0.0719e0 + s_suppkey % 5 * 0.0191e0 as oz from <supplier>""",
+    # a customer's orders as the bodies of one object: every fourth hangs on the one before, the others on the one at half their number
+    "bodies": """select entity, part, case when part = 0 then null when part % 4 = 3 then part - 1 else cast(floor((part - 1) / 2) as bigint) end as parent, kind,
+        px, py, pz, ax, ay, az, lo, hi, damping from (select o_custkey as entity, row_number() over (partition by o_custkey order by o_orderkey) - 1 as part,
+        case o_orderstatus when 'F' then 'B' when 'O' then 'C' end as kind, (o_orderkey % 400) / 100e0 as px, (o_custkey % 300) / 100e0 as py, (o_orderkey % 7) / 4e0 as pz,
+        o_orderkey % 2 * 1e0 as ax, 1e0 - o_orderkey % 2 as ay, 0e0 as az, -(o_orderkey % 5) / 8e0 as lo, (o_orderkey % 9) / 8e0 as hi, (o_orderkey % 3) / 2e0 as damping from <orders>) o""",
     "messages": "select conv_id, turn, role, text from <conversations>",
     "frames": "select user_id as object, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, event_type, value from <events>",
     "stage_log": """select user_id % 97 as entity, event_type as stage, case when value < 20 then 'failed' when value < 40 then 'running' else 'succeeded' end as status,

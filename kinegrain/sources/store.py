@@ -29,7 +29,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df through a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kinegrain_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_kinegrain_path", None):
+            context = df.sparkSession.sparkContext
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_json_lines(df: DataFrame, path: str, by: list[str] | None = None) -> None:
