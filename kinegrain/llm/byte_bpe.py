@@ -34,6 +34,8 @@ from .token_output import _Coder, _runs
 
 #: The split that token_output.PIECES expresses, as users of such rank files state it; a fixed value.
 USUAL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces that an encoding worker remembers; a task has a decoding worker besides.
+MEMO = 1 << 18
 #: Tokens decoded at a time.
 DECODE_TOGETHER = 1 << 20
 
@@ -113,7 +115,7 @@ class Model:
         if self.key not in _OPEN:
             library = self._library()
             sizes = pc.binary_length(token_bytes(library)).to_numpy()
-            _OPEN[self.key] = _Coder(library, by_piece=self.key[1] == USUAL_PATTERN), sizes.astype(np.int64)
+            _OPEN[self.key] = _Coder(library, self.key[1] == USUAL_PATTERN, MEMO), sizes.astype(np.int64)
         return _OPEN[self.key]
 
     def table(self) -> pa.Array:

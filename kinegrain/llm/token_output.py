@@ -54,7 +54,7 @@ PLAIN_PIECES = re.compile(rf" ?[{_L}]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^{_S}{_L
 #: Texts with a space beside other white space, or at the end, for RE2.
 ODD_SPACE = " (?:[ \\n]|$)|\\n |[\\t\\x0b-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Pieces that a worker remembers, and bytes of text that it encodes at a time.
-MEMO, TOGETHER = 1 << 18, 4 << 20
+MEMO, TOGETHER = 1 << 20, 4 << 20
 
 _CODERS: dict[str, _Coder] = {}
 
@@ -91,10 +91,10 @@ class _Coder:
     split as PIECES does, are encoded by the library whole.
     """
 
-    def __init__(self, library, by_piece: bool | None = None):
+    def __init__(self, library, by_piece: bool | None = None, memo: int | None = None):
         """by_piece says that the tokenizer splits as PIECES does; None: its own form tells."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = library
+        self.library, self.memo = library, memo or MEMO
         self.library.no_truncation()
         self.library.no_padding()
         form = json.loads(self.library.to_str())
@@ -110,10 +110,10 @@ class _Coder:
         self.ids, self.size, self.seen = (np.zeros(1 << 14, t) for t in (np.uint32, np.int64, np.int64))
 
     def _forget(self) -> None:
-        """Keeps the pieces seen most often, half of MEMO at most."""
+        """Keeps the pieces seen most often, half of the memo at most."""
         n = len(self.places)
         seen = self.seen[:n]
-        least = max(2, int(np.partition(seen, n - MEMO // 2)[n - MEMO // 2]) + 1)
+        least = max(2, int(np.partition(seen, n - self.memo // 2)[n - self.memo // 2]) + 1)
         keep = np.flatnonzero(seen >= least)
         ids, size = _gather(self.ids, self.size[:n], keep), self.size[keep]
         names = list(self.places)
@@ -178,7 +178,7 @@ class _Coder:
 
     def encode(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
         """Ids of each text with the end id, if there is one; texts hold no null."""
-        if len(self.places) > MEMO:
+        if len(self.places) > self.memo:
             self._forget()
         whole, alone = np.zeros(len(texts), bool) | (not self.by_piece), np.zeros(len(texts), bool)
         if self.by_piece:
