@@ -60,16 +60,33 @@ def npz_points(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(read, "cloud string, idx long, x float, y float, z float, r short, g short, b short, nx float, ny float, nz float")
 
 
-def obj_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(points: idx, x, y, z; faces: fid, v0, v1, v2) of one OBJ file, numbered in file order."""
+def obj_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(points: file, idx, x, y, z; faces: file, fid, v0, v1, v2) of OBJ files, numbered in each file's order.
+
+    Rows are numbered within a file's blocks, and blocks by the sums of those before them, so that a large file is not ordered by one task.
+    """
     from pyspark.sql import Window
 
     from ..operators.mesh import parse_obj
 
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    v, f = parse_obj(lines)
-    number = lambda df, n: df.withColumn("_m", F.monotonically_increasing_id()).withColumn(n, F.row_number().over(Window.orderBy("_m")) - 1).drop("_m")
-    return number(v, "idx"), number(f, "fid")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        sums = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        base = sums.select("file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        inner = rows.withColumn("_r", F.row_number().over(Window.partitionBy("file", "_block").orderBy("_at")) - 1)
+        return inner.join(base, ["file", "_block"]).select("file", (F.col("_base") + F.col("_r")).alias(name), *[c for c in rows.columns if c not in ("file", "_block", "_at")])
+
+    v, f = parse_obj(lines, keep=["file", "_block", "_at"])
+    return numbered(v, "idx"), numbered(f, "fid")
+
+
+def obj_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(points: idx, x, y, z; faces: fid, v0, v1, v2) of one OBJ file, numbered in file order."""
+    points, faces = obj_meshes(spark, path)
+    return points.drop("file"), faces.drop("file")
 
 
 #: Extensions of dataset files and the reader of each.
