@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..streaming import propagation
 from ..streaming import state as T
 from .registry import query
 from .views import table, view
@@ -62,3 +63,17 @@ def stage_gate(spark, sf_dir):
 def stale_locks(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return T.stale(e.withColumn("now", e.agg(F.max("ts").alias("m")).scalar()), c("now")).select("event_id", "user_id")
+
+
+@query("""with g as (select *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over (partition by object order by frame) > 86400000000, false) as gap from {shots}),
+l as (select *, count(*) filter (gap) over (partition by object order by frame) + count(*) filter (kind = 'remove') over (partition by object order by frame rows between unbounded preceding and 1 preceding) as life,
+    count(*) filter (kind = 'reset') over (partition by object order by frame) as resets from g),
+f as (select *, row_number() over (partition by object, life order by frame) as pos, max(case when kind = 'prompt' then frame end) over (partition by object, life, resets order by frame) as cond,
+    min(case when kind = 'prompt' then frame end) over (partition by object, life, resets order by frame) as start from l where kind in ('frame', 'prompt'))
+select object, frame, 'forward' as direction, case kind when 'prompt' then 'prompt' else 'tracked' end as source, cond,
+    coalesce((select list(c.frame order by c.frame) from (select c.frame from f c where c.object = f.object and c.life = f.life and c.resets = f.resets and c.frame < f.frame and c.start is not null order by c.frame desc limit 6) c), []) as memory
+    from f where start is not null union all
+select a.object, a.frame, 'back', 'tracked', b.frame, (select list(c.frame order by c.frame desc) from f c where c.object = a.object and c.life = a.life and c.pos > a.pos and c.pos <= a.pos + 6 and c.frame <= b.frame)
+    from f a join f b on a.object = b.object and a.life = b.life and b.frame = b.start and a.pos < b.pos and a.pos >= b.pos - 16""")
+def frame_propagation(spark, sf_dir):
+    return propagation.propagate(view(spark, sf_dir, "shots"))

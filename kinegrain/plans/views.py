@@ -49,6 +49,9 @@ VIEWS: dict[str, str] = {
         o_orderkey % 2 * 1e0 as ax, 1e0 - o_orderkey % 2 as ay, 0e0 as az, -(o_orderkey % 5) / 8e0 as lo, (o_orderkey % 9) / 8e0 as hi, (o_orderkey % 3) / 2e0 as damping from <orders>) o""",
     "messages": "select conv_id, turn, role, text from <conversations>",
     "frames": "select user_id as object, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, event_type, value from <events>",
+    # clicks are prompts; every third error removes the object and every third resets it
+    "shots": """select user_id as object, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, ts,
+        case when event_type = 'click' then 'prompt' when event_type = 'error' and event_id % 3 = 0 then 'remove' when event_type = 'error' and event_id % 3 = 1 then 'reset' else 'frame' end as kind from <events>""",
     "stage_log": """select user_id % 97 as entity, event_type as stage, case when value < 20 then 'failed' when value < 40 then 'running' else 'succeeded' end as status,
         ts, event_id from <events>""",
     "annotations": """select o_custkey as entity, o_orderkey as part, o_orderstatus as status, o_totalprice as price, o_orderpriority as priority, c_mktsegment as category,
