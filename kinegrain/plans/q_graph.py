@@ -68,7 +68,8 @@ def graph_export(spark, sf_dir):
     return e.groupBy("entity").agg(F.array_join(text, ",").alias("graph"), F.count(F.lit(1)).alias("edges"))
 
 
-@query("select c_custkey as name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+# every third number is asked for, so most that are asked for are not there
+@query("select c_custkey * 3 as name from customer where not exists (select 1 from orders where o_custkey = c_custkey * 3)")
 def missing_entities(spark, sf_dir):
     have = table(spark, sf_dir, "orders").select(c("o_custkey").alias("name"))
-    return table(spark, sf_dir, "customer").select(c("c_custkey").alias("name")).join(have, "name", "left_anti")
+    return table(spark, sf_dir, "customer").select((c("c_custkey") * 3).alias("name")).join(have, "name", "left_anti")

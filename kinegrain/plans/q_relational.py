@@ -72,13 +72,14 @@ def threshold_relaxation(spark, sf_dir):
     return o.where("k = 7").select("part", S.relax_steps(c("d"), 0.01).alias("steps"))
 
 
-@query("""with f as (select object, frame from {frames} where frame % 4 = 0), t as (select object, frame as target from {frames} where frame % 10 = 5),
-    j as (select t.object, target, frame, case when frame < target then 0 else 1 end as side, abs(frame - target) as gap from t join f on t.object = f.object and abs(frame - target) <= 16),
+# clicks are the conditioning frames, and every frame asks for its nearest
+@query("""with f as (select object, frame from {frames} where event_type = 'click'), t as (select object, frame as target from {frames}),
+    j as (select t.object, target, frame, case when frame < target then 0 else 1 end as side, abs(frame - target) as gap from t join f on t.object = f.object),
     r as (select *, row_number() over (partition by object, target, side order by gap) as f1 from j), k as (select *, row_number() over (partition by object, target order by case when f1 = 1 then side else 2 end, gap, frame) as rank from r)
 select object, target, frame, rank::int as rank from k where rank <= 3""")
 def closest_frames(spark, sf_dir):
     f = view(spark, sf_dir, "frames")
-    return S.closest_frames(f.where("frame % 4 = 0"), f.where("frame % 10 = 5").select("object", c("frame").alias("target")), 3, 16)
+    return S.closest_frames(f.where("event_type = 'click'"), f.select("object", c("frame").alias("target")), 3)
 
 
 @query("""with f as (select object, frame from {frames}), w as (select object, frame, unnest(range(1, 7))::int as slot from f),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..streaming import propagation
+from ..sources.store import shared_dir
+from ..streaming import propagation, results
 from ..streaming import state as T
+from . import runs
 from .registry import query
 from .views import table, view
 
@@ -77,3 +81,27 @@ select a.object, a.frame, 'back', 'tracked', b.frame, (select list(c.frame order
     from f a join f b on a.object = b.object and a.life = b.life and b.frame = b.start and a.pos < b.pos and a.pos >= b.pos - 16""")
 def frame_propagation(spark, sf_dir):
     return propagation.propagate(view(spark, sf_dir, "shots"))
+
+
+@query("""with r as (select case when event_id % 13 = 0 then null when event_id % 17 = 0 then '' else event_type end as stage,
+    case event_id % 5 when 0 then 'succeeded' when 1 then 'failed' when 2 then 'timed_out' when 3 then 'done?' else 'blocked' end as status, case when event_id % 19 <> 0 then ts end as time, value - 5 as seconds from events)
+select case when stage is null or stage = '' then 'no stage' when status = 'done?' then 'unknown status' when time is null then 'no time' when seconds < 0 then 'negative seconds' end as why, count(*) as n from r group by 1""")
+def state_validation(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    stage = F.when(c("event_id") % 13 == 0, None).when(c("event_id") % 17 == 0, "").otherwise(c("event_type"))
+    status = F.get(F.array(*map(F.lit, ("succeeded", "failed", "timed_out", "done?", "blocked"))), (c("event_id") % 5).cast("int"))
+    rows = e.select(stage.alias("stage"), status.alias("status"), F.when(c("event_id") % 19 != 0, c("ts")).alias("at"), (c("value") - 5).alias("seconds"))
+    good, bad = runs.load_state(rows)
+    return good.withColumn("why", F.lit(None).cast("string")).unionByName(bad).groupBy("why").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")
+def incremental_results(spark, sf_dir):
+    """The events as a stream whose batches are written once each, then summed from the batches' own sums."""
+    schema = table(spark, sf_dir, "events").schema
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    sums = lambda df, batch: df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).withColumn("batch", F.lit(batch).cast("long"))
+    results.once(stream, f"{base}/out", f"{base}/checkpoint", sums).trigger(availableNow=True).start().awaitTermination()
+    back = results.read_results(spark, f"{base}/out", "event_type string, n long, total double, batch long")
+    return back.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))

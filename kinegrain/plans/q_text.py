@@ -210,14 +210,20 @@ def chat_encode(spark, sf_dir):
     return D.conversation(m, "piece").select("conv_id", "chat", "n")
 
 
-@query(r"""with l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r|\x0B|\f|\x{85}|\x{2028}|\x{2029}')) as line from documents),
+#: A line behind each document's text, by its number: two kinds of keys, a placeholder, an assignment that is too short, or nothing.
+LEAK = """concat(coalesce(text, ''), chr(10), case doc_id % 6 when 0 then concat('use sk-', repeat('Ab1_', 5), cast(doc_id as varchar(20)))
+    when 1 then concat('api_key = "0123456789ab', cast(doc_id as varchar(20)), '"') when 2 then 'your_api_key is sk-abcdefghijklmnopqrst' when 3 then 'Access-Token: "short"' else '' end)"""
+
+
+@query("with d as (select doc_id, " + LEAK + r""" as text from documents),
+    l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r|\x0B|\f|\x{85}|\x{2028}|\x{2029}')) as line from d),
     x as (select * from l where not contains(line, 'your_api_key') and not contains(line, 'sk-xxx'))
 select distinct doc_id, 'key' as rule from x where regexp_matches(line, '\bsk-[A-Za-z0-9_-]{16,}\b')
 union all select distinct doc_id, 'assignment' from x where regexp_matches(line, '(?i)(?:api[_-]?key|access[_-]?token)\s*[=:]\s*["''][^"'']{12,}["'']')""")
 def secret_scan(spark, sf_dir):
     from ..operators.rules import secret_hits
 
-    return secret_hits(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return secret_hits(table(spark, sf_dir, "documents").select("doc_id", F.expr(LEAK).alias("text")), "doc_id", "text")
 
 
 RELEASE = "concat(case p_partkey % 6 when 0 then 'outputs/' when 1 then '.idea/' else 'src/' end, if(p_partkey % 9 = 2, '.DS_Store', replace(p_name, ' ', '_')), case p_partkey % 5 when 0 then '.pyc' when 1 then '.PT' when 2 then '.py' when 3 then '' else '.tar.so' end)"

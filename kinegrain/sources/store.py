@@ -34,13 +34,58 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of any kind."""
+    context = spark.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(context._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and renamed into it; one that is there gives way."""
+    fs, p = _hadoop(spark, path)
+    _, staged = _hadoop(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(staged, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    fs.rename(staged, p)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if it isn't there."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    with_all = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+    stream = fs.open(p)
+    try:
+        return with_all.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def list_files(spark: SparkSession, path: str, ending: str, folders: bool = False) -> list[str]:
+    """Paths in a folder, sorted, without hidden ones; none if it isn't there."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [s for s in fs.listStatus(p) if bool(s.isDirectory()) == folders]
+    names = [s.getPath().getName() for s in found]
+    return sorted(f"{path.rstrip('/')}/{n}" for n in names if n.endswith(ending) and not n.startswith((".", "_")))
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables of stored() that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_kinegrain_path", None):
-            context = df.sparkSession.sparkContext
-            p = context._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
 
 
 def write_json_lines(df: DataFrame, path: str, by: list[str] | None = None) -> None:
