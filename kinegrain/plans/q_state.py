@@ -100,7 +100,8 @@ def incremental_results(spark, sf_dir):
     """The events as a stream whose batches are written once each, then summed from the batches' own sums."""
     schema = table(spark, sf_dir, "events").schema
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    # as a pattern, so that one file is taken as well as a folder
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     sums = lambda df, batch: df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).withColumn("batch", F.lit(batch).cast("long"))
     results.once(stream, f"{base}/out", f"{base}/checkpoint", sums).trigger(availableNow=True).start().awaitTermination()
     back = results.read_results(spark, f"{base}/out", "event_type string, n long, total double, batch long")
