@@ -3,8 +3,9 @@
 Each text becomes five counts and a vector of transformed statistics. For every
 language and source, the minimum-covariance-determinant estimate of centre and
 scatter is found by concentration steps over all rows: start from medians and
-median deviations, keep the ``support`` share with the least Mahalanobis
-distances, re-estimate from those, repeat. A text is rejected if its distance
+median deviations, and once more from all rows' mean and scatter, keep the ``support`` share with the least Mahalanobis
+distances, re-estimate from those, repeat until the kept rows stay the same; of both ends that with the least determinant
+counts. A text is rejected if its distance
 from its group's estimate is beyond ``cutoff``. Every step is a grouped sum or
 quantile with partial aggregation, so a hot group only costs more map work.
 
@@ -109,10 +110,16 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 _X = [f"x{k}" for k in range(N_STATS)]
 _PAIRS = [(i, j) for i in range(N_STATS) for j in range(i, N_STATS)]
+_SUMS = [f"s{k}" for k in range(N_STATS)] + [f"p{i}{j}" for i, j in _PAIRS]
+_MODEL = "model string, start int, mean array<double>, inv array<double>, det double"
+
+
+def _sums() -> list[Column]:
+    return [F.sum(x).alias(f"s{k}") for k, x in enumerate(_X)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
 
 
 def _scatter(floor: tuple[float, ...], rescale: bool):
-    """Pandas step over group rows: from sums to centre and inverse scatter."""
+    """Pandas step over group rows: from sums to centre, inverse scatter and the logarithm of the scatter's determinant."""
 
     def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -126,8 +133,9 @@ def _scatter(floor: tuple[float, ...], rescale: bool):
                 if rescale:  # the kept share's scatter is short by about this factor
                     cov *= 1.6
                 cov += np.diag(np.square(floor))
-                out.append({"model": row["model"], "mean": mean.tolist(), "inv": np.linalg.inv(cov).ravel().tolist()})
-            yield pd.DataFrame(out, columns=["model", "mean", "inv"])
+                det = float(np.linalg.slogdet(cov)[1])
+                out.append({"model": row["model"], "start": row["start"], "mean": mean.tolist(), "inv": np.linalg.inv(cov).ravel().tolist(), "det": det})
+            yield pd.DataFrame(out, columns=["model", "start", "mean", "inv", "det"])
 
     return step
 
@@ -140,45 +148,53 @@ def _distance(mean: str = "mean", inv: str = "inv"):
     return total
 
 
-def mcd_models(
-    stats: DataFrame, *, support: float = 0.75, steps: int = 3, floor: tuple[float, ...] = FLOOR
-) -> DataFrame:
-    """(model, mean, inv) for each model key of stats (model, x0..x4), by concentration steps over all rows."""
+def _starts(stats: DataFrame, floor: tuple[float, ...]) -> DataFrame:
+    """(model, start, mean, inv) of the starts of each model: 0 from medians and median deviations, 1 from all rows' mean and scatter."""
     med = [F.percentile_approx(x, 0.5, 2000).alias(f"m{k}") for k, x in enumerate(_X)]
-    centre = stored(stats.groupBy("model").agg(*med), "mcd")
+    centre = stored(stats.groupBy("model").agg(*med, F.count(F.lit(1)).alias("n"), *_sums()), "mcd")
     dev = (
         stats.join(checked_broadcast(centre), "model")
         .groupBy("model")
         .agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{k}")), 0.5, 2000).alias(f"d{k}") for k, x in enumerate(_X)])
     )
-    zero = [F.lit(0.0)] * (N_STATS * N_STATS)
+    inv = [F.lit(0.0)] * (N_STATS * N_STATS)
     for k in range(N_STATS):
-        zero[k * N_STATS + k] = 1.0 / (F.pow(1.4826 * F.col(f"d{k}"), 2.0) + floor[k] ** 2)
-    model = stored(
-        centre.join(dev, "model").select(
-            "model", F.array(*[F.col(f"m{k}") for k in range(N_STATS)]).alias("mean"), F.array(*zero).alias("inv")
-        ),
-        "mcd",
-    )
-    discard(centre)
+        inv[k * N_STATS + k] = 1.0 / (F.pow(1.4826 * F.col(f"d{k}"), 2.0) + floor[k] ** 2)
+    robust = centre.join(dev, "model").select("model", F.lit(0).alias("start"), F.array(*[F.col(f"m{k}") for k in range(N_STATS)]).alias("mean"), F.array(*inv).alias("inv"))
+    plain = centre.select("model", F.lit(1).alias("start"), "n", *_SUMS).mapInPandas(_scatter(floor, False), _MODEL)
+    return stored(robust.unionByName(plain.drop("det")), "mcd")
+
+
+def mcd_models(stats: DataFrame, *, support: float = 0.75, steps: int = 12, floor: tuple[float, ...] = FLOOR) -> DataFrame:
+    """(model, mean, inv) for each model key of stats (model, x0..x4), by concentration steps over all rows.
+
+    Each model has two starts, which go through their steps together until the rows that they keep (told by their number and
+    two hashes of them all) stay the same, or at most ``steps`` times. The start whose scatter has the least determinant stays.
+    """
+    model = _starts(stats, floor)
+    last = None
     for _ in range(steps):
-        near = stats.join(checked_broadcast(model), "model").select("model", *_X, _distance().alias("d2"))
-        cut = stored(near.groupBy("model").agg(F.percentile_approx("d2", support, 2000).alias("cut")), "mcd")
-        sums = [F.count(F.lit(1)).alias("n")]
-        sums += [F.sum(x).alias(f"s{k}") for k, x in enumerate(_X)]
-        sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
-        kept = near.join(checked_broadcast(cut), "model").where("d2 <= cut").groupBy("model").agg(*sums)
-        new = stored(kept.mapInPandas(_scatter(floor, True), "model string, mean array<double>, inv array<double>"), "mcd")
-        discard(model, cut)
+        near = stats.join(checked_broadcast(model), "model").select("model", "start", *_X, _distance().alias("d2"))
+        cut = stored(near.groupBy("model", "start").agg(F.percentile_approx("d2", support, 2000).alias("cut")), "mcd")
+        kept = near.join(checked_broadcast(cut), ["model", "start"]).where("d2 <= cut").groupBy("model", "start")
+        marks = [F.bit_xor(F.xxhash64(*_X)).alias("mark"), F.sum(F.xxhash64(F.lit(7), *_X).cast("decimal(38,0)")).alias("mark2")]
+        sums = stored(kept.agg(F.count(F.lit(1)).alias("n"), *_sums(), *marks), "mcd")
+        new = stored(sums.select("model", "start", "n", *_SUMS).mapInPandas(_scatter(floor, True), _MODEL), "mcd")
+        # one row stands for all models, so that only it comes to the driver
+        now = sums.agg(F.bit_xor(F.xxhash64("model", "start", "n", "mark", "mark2"))).first()[0]
+        discard(model, cut, sums)
         model = new
-    return model
+        if now == last:
+            break
+        last = now
+    return model.groupBy("model").agg(F.min_by(F.struct("mean", "inv"), F.struct("det", "start")).alias("m")).select("model", "m.*")
 
 
 def quality_verdicts(
     docs: DataFrame,
     *,
     support: float = 0.75,
-    steps: int = 3,
+    steps: int = 12,
     cutoff: float = CUTOFF,
     min_group: int = 50,
     floor: tuple[float, ...] = FLOOR,

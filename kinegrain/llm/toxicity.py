@@ -5,8 +5,8 @@ neighbourhood (word before, word after) in toxic texts is credited to one text t
 has it, and a term's support is the number of texts credited, so a text that was
 copied a thousand times supports a term no more than once; a stem also needs FORMS
 different words, none of which gives over half of its support. Against it stands the number of clean texts that hold it. A term stays if its
-likelihood ratio is beyond what chance gives among all terms tested; at most
-``max_terms`` are kept.
+likelihood ratio is beyond what chance gives among all terms tested; all that pass are
+kept, words of any length.
 
 Matching. States of the product of the trie and the automaton for up to k edits are
 sets of (trie node, edits), made when they are first met and then remembered, so a
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, stored
+from .common import checked_broadcast, discard, stored
 
 LETTERS = re.compile(r"[^\W_]+(?:['’*@$][^\W_]+)*")
 QUOTED = 0.3
@@ -46,7 +46,6 @@ FORMS = 4
 WINDOW = 3
 #: Fixed words: verbs of speech that make a following term a quotation.
 SPEECH = frozenset("said says called calls wrote writes quoted quotes quote word term sagte nannte schrieb wort dit disait mot dijo dice llamó palabra".split())
-MAX_TERMS = 4000
 #: Feature sums count in halves up to this.
 TOP = 6.0
 MEMO = 1 << 20
@@ -180,13 +179,13 @@ def feature(found: list[tuple[int, int, str, int, bool]]) -> float:
 
 
 def _terms(words: list[str]) -> set[str]:
-    out = {w for w in words if 3 <= len(w) <= 24}
+    out = set(words)
     for k in STEMS:
         out.update(w[:k] + "*" for w in words if len(w) > k)
     return out
 
 
-def learn_lexicon(labelled: DataFrame, *, max_terms: int = MAX_TERMS) -> list[str]:
+def learn_lexicon(labelled: DataFrame) -> list[str]:
     """Terms and stems of toxic texts from (doc_id, text, toxic)."""
 
     def toxic(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,7 +232,7 @@ def learn_lexicon(labelled: DataFrame, *, max_terms: int = MAX_TERMS) -> list[st
     share = F.col("pos") / (F.col("pos") + F.col("neg"))
     ratio = 2 * (F.col("pos") * F.log(share / rate) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - rate))).otherwise(0.0))
     least = 10 + 2 * float(np.log(max(tested, 1)))
-    kept = both.where((share > max(0.8, (1 + rate) / 2)) & (ratio >= least)).orderBy(F.desc(ratio), "term").limit(max_terms)
+    kept = both.where((share > max(0.8, (1 + rate) / 2)) & (ratio >= least))
     found = [r["term"] for r in kept.select("term").collect()]
     # a word that a kept stem covers needs no entry of its own, and of nested stems the longer adds nothing
     stems = {t[:-1] for t in found if t.endswith("*")}
@@ -290,9 +289,10 @@ def fit_curve(bins: list[tuple[float, int, int]]) -> list[float]:
 Model = tuple[list[str], dict[str, int], list[float]]
 
 
-def fit(labelled: DataFrame, *, max_terms: int = MAX_TERMS) -> Model:
-    """Lexicon, edits allowed for its words, and curve from (doc_id, text, toxic)."""
-    terms = learn_lexicon(labelled, max_terms=max_terms)
+def fit(labelled: DataFrame) -> Model:
+    """Lexicon, edits allowed for its words, and curve from (doc_id, text, toxic), which is stored for its passes."""
+    labelled = stored(labelled, "labelled")
+    terms = learn_lexicon(labelled)
     near = (
         labelled.select("text", "toxic").mapInPandas(_near_words(terms), "term string, edits int, toxic int, n long")
         .groupBy("term", "edits").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum("n").alias("all")).collect()
@@ -305,6 +305,7 @@ def fit(labelled: DataFrame, *, max_terms: int = MAX_TERMS) -> Model:
         labelled.select("text", "toxic").mapInPandas(_counts(terms, allowed), "x double, toxic int, n long")
         .groupBy("x", "toxic").agg(F.sum("n").alias("n")).collect()
     )
+    discard(labelled)
     return terms, allowed, fit_curve([tuple(r) for r in bins])
 
 
