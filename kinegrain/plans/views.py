@@ -40,7 +40,7 @@ VIEWS: dict[str, str] = {
         where p_partkey % 11 <> p_size % 11""",
     "faces": """select p_partkey as fid, p_partkey % 500 as v0, (p_partkey + 1) % 500 as v1, (p_partkey + 7) % 500 as v2, p_partkey % 10 as part from <part>""",
     # boxes (label 0) and tetrahedra (label 1) with their sides and their least corner
-    "solids": """select s_suppkey as id, cast(floor(s_suppkey / 2) as bigint) as entity, s_suppkey % 2 as label, 1.13e0 + s_suppkey % 7 as a, 1.37e0 + s_nationkey % 5 as b,
+    "solids": """select s_suppkey as id, s_nationkey as nation, cast(floor(s_suppkey / 2) as bigint) as entity, s_suppkey % 2 as label, 1.13e0 + s_suppkey % 7 as a, 1.37e0 + s_nationkey % 5 as b,
         1.71e0 + s_suppkey % 3 as c, 0.0317e0 + s_nationkey * 0.0131e0 as ox, 0.0533e0 + s_suppkey % 11 * 0.0172e0 as oy, 0.0719e0 + s_suppkey % 5 * 0.0191e0 as oz from <supplier>""",
     # a customer's orders as the bodies of one object: every fourth hangs on the one before, the others on the one at half their number
     "bodies": """select entity, part, case when part = 0 then null when part % 4 = 3 then part - 1 else cast(floor((part - 1) / 2) as bigint) end as parent, kind,
