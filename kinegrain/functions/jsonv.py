@@ -39,3 +39,22 @@ def member_set(v: Column) -> Column:
 
     ids = F.transform(F.try_variant_get(v, "$", "array<variant>"), part_id)
     return F.when(F.forall(ids, lambda x: x.isNotNull()), F.array_distinct(ids))
+
+
+def object_level(v: Column) -> Column:
+    """The ``object_level`` object of an annotation that wraps one, else the annotation itself."""
+    inner = F.try_variant_get(v, "$.object_level", "variant")
+    return F.when(F.coalesce(F.schema_of_variant(inner).startswith("OBJECT"), F.lit(False)), inner).otherwise(v)
+
+
+def media_list(v: Column) -> Column:
+    """Paths of a media field that is one path, a list, or a list of lists; null elements and empty paths are left out."""
+    one = F.when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
+    listed = F.try_variant_get(v, "$", "array<variant>")
+
+    def inner(x: Column) -> Column:
+        few = F.when(F.schema_of_variant(x) == "STRING", F.array(F.try_variant_get(x, "$", "string")))
+        return F.coalesce(few, F.try_variant_get(x, "$", "array<string>"), F.array().cast("array<string>"))
+
+    flat = F.coalesce(one, F.flatten(F.transform(listed, inner)), F.array().cast("array<string>"))
+    return F.filter(flat, lambda p: p.isNotNull() & (p != ""))

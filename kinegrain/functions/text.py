@@ -149,3 +149,9 @@ def edge_fields(label: Column) -> Column:
 
 def rounded_text(x: Column, places: int = 4) -> Column:
     return F.call_function("format_number", x, F.lit("0." + "0" * places))
+
+
+def utc_text(at: Column) -> Column:
+    """ISO-8601 text of a timestamp in UTC with microseconds, whatever the session's time zone."""
+    utc = F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone())
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import gray
@@ -95,3 +95,14 @@ def instances(points: DataFrame, label: str, ignore: list[int]) -> DataFrame:
     kept = points.where(~F.col(label).isin(ignore))
     g = kept.groupBy(label).agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"], *[(F.max(a) - F.min(a)).alias(f"s{a}") for a in "xyz"], F.count(F.lit(1)).alias("n"))
     return g.withColumn("instance", F.row_number().over(Window.orderBy(label)) - 1)
+
+
+def sampled_transform(seed: int, *keys: Column, any_axis: bool = True, scale: tuple[float, float] = (0.75, 1.25)) -> Column:
+    """(axis, angle, scaling, matrix): one seeded rotation about an axis, and a scaling, for all rows of the same keys."""
+    draw = lambda what: hash_uniform(seed, *keys, F.lit(what))
+    angle = draw("angle") * (2 * math.pi)
+    axis = F.get(F.array(*map(F.lit, "xyz")), F.floor(draw("axis") * 3).cast("int")) if any_axis else F.lit("z")
+    co, si, zero, one = F.cos(angle), F.sin(angle), F.lit(0.0), F.lit(1.0)
+    about = {"x": (one, zero, zero, zero, co, -si, zero, si, co), "y": (co, zero, si, zero, one, zero, -si, zero, co), "z": (co, -si, zero, si, co, zero, zero, zero, one)}
+    matrix = F.when(axis == "x", F.array(*about["x"])).when(axis == "y", F.array(*about["y"])).otherwise(F.array(*about["z"]))
+    return F.struct(axis.alias("axis"), angle.alias("angle"), (scale[0] + draw("scale") * (scale[1] - scale[0])).alias("scaling"), matrix.alias("matrix"))

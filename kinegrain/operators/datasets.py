@@ -102,3 +102,40 @@ def split_by_hash(rows: DataFrame, key: str, share: float, seed: int = 42) -> Da
     from ..functions.numeric import hash_uniform
 
     return rows.withColumn("split", F.when(hash_uniform(seed, F.col(key)) < share, "val").otherwise("train"))
+
+
+#: Folders of an object's part meshes, the best first; where the second is there, the object isn't finished and has none.
+OBJ_FOLDERS, UNFINISHED = ("parts", "merge_objs", "objs"), "glbs"
+
+
+def useful_objs(files: DataFrame) -> DataFrame:
+    """entity, folder, name of the OBJ files that stand for an object, from a listing (entity, folder, name) of all its folders' files.
+
+    ``parts`` counts whatever else is there; without it an object with a folder of unfinished meshes has no files, and any other one
+    those of its best folder, even if none of that folder's files is an OBJ.
+    """
+    rank = F.array_position(F.array(*map(F.lit, OBJ_FOLDERS)), F.col("folder"))
+    seen = files.groupBy("entity").agg(F.min(F.when(rank > 0, rank)).alias("best"), F.bool_or(F.col("folder") == UNFINISHED).alias("unfinished"))
+    good = seen.where((F.col("best") == 1) | ~F.col("unfinished")).select("entity", F.get(F.array(*map(F.lit, OBJ_FOLDERS)), (F.col("best") - 1).cast("int")).alias("folder"))
+    return files.join(good, ["entity", "folder"]).where(F.col("name").endswith(".obj")).select("entity", "folder", "name")
+
+
+def frame_listing(files: DataFrame) -> DataFrame:
+    """entity, frame (from 0), name of image files (entity, name) in the order of their numbers; names that aren't numbers are left out."""
+    number = F.regexp_extract("name", r"^(\d+)\.(?i:jpe?g)$", 1).try_cast("long")
+    rows = files.withColumn("_n", number).where("_n is not null")
+    return rows.select("entity", (F.row_number().over(Window.partitionBy("entity").orderBy("_n", "name")) - 1).alias("frame"), "name")
+
+
+def without_valid(planned: DataFrame, existing: DataFrame, categories: DataFrame, key: str, category: str) -> DataFrame:
+    """Planned rows whose existing annotation (key, text) is absent, no JSON object, or of a category that the taxonomy lacks."""
+    found = existing.select(key, F.try_variant_get(F.try_parse_json("text"), f"$.{category}", "string").alias("_c"))
+    known = categories.select(F.col(category).alias("_c")).where("_c is not null").distinct()
+    return planned.join(found.join(known, "_c", "left_semi").select(key).distinct(), key, "left_anti")
+
+
+def base_record(schema_version: str, task: Column, sample: Column, index: Column, source: Column, **inputs: Column) -> Column:
+    """The part of an inference record that every answer has: where a sample comes from, and its inputs; nulls are written."""
+    given = F.struct(*[x.alias(n) for n, x in inputs.items()])
+    whole = F.struct(F.lit(schema_version).alias("schema_version"), sample.alias("sample_id"), task.alias("task"), index.alias("source_index"), source.alias("source_json"), given.alias("inputs"))
+    return F.to_json(whole, {"ignoreNullFields": "false"})

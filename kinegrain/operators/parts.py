@@ -135,3 +135,25 @@ def by_number(rows: DataFrame, key: str, ident: str) -> DataFrame:
     """rows with their place in the order of numeric ids within a key; ids that aren't numbers come last, by text."""
     order = Window.partitionBy(key).orderBy(F.expr(f"try_cast(`{ident}` as bigint)").asc_nulls_last(), ident)
     return rows.withColumn("place", F.row_number().over(order) - 1)
+
+
+def assemble(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """entity, fid, cls of parts' faces: classes 0, 1, ... of groups (entity, group, part) in order, then of the parts in no group.
+
+    parts: (entity, part, fid). A face of several classes keeps the first.
+    """
+    # a row for each class of an object
+    kinds = groups.select("entity", F.lit(0).alias("_late"), F.col("group").alias("_at")).distinct()
+    alone = parts.select("entity", "part").distinct().join(groups.select("entity", "part").distinct(), ["entity", "part"], "left_anti")
+    kinds = kinds.unionByName(alone.select("entity", F.lit(1).alias("_late"), F.col("part").alias("_at")))
+    kinds = kinds.withColumn("cls", F.row_number().over(Window.partitionBy("entity").orderBy("_late", "_at")) - 1)
+    held = groups.select("entity", "part", F.lit(0).alias("_late"), F.col("group").alias("_at")).unionByName(alone.select("entity", "part", F.lit(1).alias("_late"), F.col("part").alias("_at")))
+    faces = held.join(kinds, ["entity", "_late", "_at"]).join(parts, ["entity", "part"])
+    return faces.groupBy("entity", "fid").agg(F.min("cls").alias("cls"))
+
+
+def best_match_loss(iou: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, loss, matches of iou (keys, mask, part, iou): 1 - the mean of each mask's best IoU, and the part that each mask takes; ties to the first."""
+    best = iou.groupBy(*keys, "mask").agg(F.max_by(F.struct("part", "iou"), F.struct("iou", -F.col("part"))).alias("b"))
+    pairs = F.array_sort(F.collect_list(F.struct("mask", F.col("b.part").alias("part"))))
+    return best.groupBy(*keys).agg((1 - F.avg("b.iou")).alias("loss"), pairs.alias("matches"))
