@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chain
 from ..operators import graph as G
 from .registry import query
 from .views import table, view
@@ -73,3 +74,35 @@ def graph_export(spark, sf_dir):
 def missing_entities(spark, sf_dir):
     have = table(spark, sf_dir, "orders").select(c("o_custkey").alias("name"))
     return table(spark, sf_dir, "customer").select((c("c_custkey") * 3).alias("name")).join(have, "name", "left_anti")
+
+
+#: Faces of seven objects: eleven refined parts of the first four, 150 of the others; and masks that hold two of three kinds of parts.
+CHAIN = """with p as (select distinct view as entity, face as fid, case when view <= 4 then face % 11 else face % 150 end as part, mask from {pixels}),
+    k as (select distinct entity, part, fid from p), m as (select distinct entity, mask, fid, part from p where (part + mask) % 3 <> 0),
+    z as (select entity, count(distinct part) as refined from k group by 1), s as (select entity, part, count(*) as n from k group by 1, 2),
+    h as (select entity, mask, part from m join s using (entity, part) group by entity, mask, part, n having count(*) >= 0.5 * n),
+    c as (select entity, part, min(mask) as grp from h join z using (entity) where refined > 100 group by 1, 2),
+    b as (select entity, mask, sum(1 << least(part, 10))::bigint as bits from h join z using (entity) where refined <= 100 group by 1, 2),
+    f as (select entity, x as bits, count(*) as n from b, range(1, 2048) r(x) where (b.bits & x) = x group by 1, 2 having count(*) >= 3),
+    u as (select * from f where not exists (select 1 from f g where g.entity = f.entity and g.bits <> f.bits and (g.bits & f.bits) = f.bits)),
+    i as (select entity, part, arg_min(bits, (-n, -bit_count(bits), [y for y in range(11) if (bits >> y) & 1 = 1])) as bits from u, range(11) r(part) where (bits >> part) & 1 = 1 group by 1, 2),
+    g as (select entity, part, 0 as late, grp as place from c union all select entity, part, 0, min(part) over (partition by entity, bits) from i),
+    a as (select * from g union all select entity, part, 1, part from s where not exists (select 1 from g where g.entity = s.entity and g.part = s.part)),
+    o as (select entity, part, dense_rank() over (partition by entity order by late, place) - 1 as cls from a),
+    r as (select entity, count(distinct cls) as merged from o group by 1)"""
+
+
+@query(f"""{CHAIN} select entity, (select count(distinct mask) from m where m.entity = z.entity) as masks, refined as refined_parts, merged as merged_parts,
+    case when refined > 100 then 'containment' else 'item sets' end as strategy, case when merged > 100 then 'too many merged parts: ' || merged end as error from z join r using (entity)""")
+def merge_record(spark, sf_dir):
+    return _chain(spark, sf_dir)[1]
+
+
+@query(f"{CHAIN} select entity, fid, cls::int as cls from o join k using (entity, part) join r using (entity) where merged <= 100")
+def merge_chain(spark, sf_dir):
+    return _chain(spark, sf_dir)[0]
+
+
+def _chain(spark, sf_dir):
+    p = view(spark, sf_dir, "pixels").select(c("view").alias("entity"), c("face").alias("fid"), F.when(c("view") <= 4, c("face") % 11).otherwise(c("face") % 150).alias("part"), "mask")
+    return chain.refine_and_merge(p, p.where("(part + mask) % 3 <> 0"))
