@@ -41,12 +41,13 @@ def solid_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOWN = "a * b * c / case label when 0 then 1 else 6 end"
 
 
-@query(f"""select entity, label, round({KNOWN}, 6) as volume, round({KNOWN}, 6) as hull, round(a * b * c, 6) as box from {{solids}}""")
+# nine places, as sixths of six places would be ties at six
+@query(f"""select entity, label, round({KNOWN}, 9) as volume, round({KNOWN}, 9) as hull, round(a * b * c, 9) as box from {{solids}}""")
 def part_volumes(spark, sf_dir):
     t = solid_triangles(spark, sf_dir)
     box = V.box_volumes(V.part_boxes(t, KEYS), KEYS).withColumnRenamed("volume", "box")
     hull = V.hull_volumes(solid_points(spark, sf_dir), KEYS).withColumnRenamed("volume", "hull")
-    return rounded(V.mesh_volumes(t, KEYS).join(hull, KEYS).join(box, KEYS))
+    return rounded(V.mesh_volumes(t, KEYS).join(hull, KEYS).join(box, KEYS), 9)
 
 
 #: Cells of the solids by brute force: lattices point by point, and every centre by the solid's own inequalities.
