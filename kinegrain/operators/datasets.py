@@ -83,7 +83,7 @@ def conversation(messages: DataFrame, piece: str) -> DataFrame:
 
 def in_taxonomy(rows: DataFrame, taxonomy: DataFrame, key: str) -> DataFrame:
     """rows with known: whether key is in the taxonomy, a bounded table."""
-    return rows.join(F.broadcast(taxonomy.select(key, F.lit(True).alias("known")).distinct()), key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return rows.join(taxonomy.select(key, F.lit(True).alias("known")).distinct(), key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def with_default(value: Column, default) -> Column:

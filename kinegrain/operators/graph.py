@@ -7,7 +7,7 @@ from itertools import combinations, count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import discard, stored
 
 
 def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -25,6 +25,7 @@ def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
         jump = new.select(*keys, F.col("u").alias("l"), F.col("l").alias("j"))
         new = stored(new.join(jump, [*keys, "l"], "left").select(*keys, "u", F.least(F.col("l"), F.coalesce("j", "l")).alias("l")), "labels")
         changed = new.join(labels, [*keys, "u", "l"], "left_anti").take(1)
+        discard(labels)
         labels = new
         if not changed:
             break
@@ -75,10 +76,12 @@ def closure(edges: DataFrame) -> DataFrame:
     front = seen
     while True:
         step = front.join(edges.select(F.col("name").alias("needs"), F.col("needs").alias("far")), "needs").select("name", F.col("far").alias("needs")).distinct()
-        front = stored(step.join(seen, ["name", "needs"], "left_anti"), "closure")
+        last, front = front, stored(step.join(seen, ["name", "needs"], "left_anti"), "closure")
         if not front.take(1):
             break
-        seen = stored(seen.unionByName(front), "closure")
+        grown = stored(seen.unionByName(front), "closure")
+        discard(seen, last)
+        seen = grown
     return seen
 
 

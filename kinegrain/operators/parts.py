@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import discard, stored
 
 
 def union_datasets(named: dict[str, DataFrame], column: str = "dataset") -> DataFrame:
@@ -103,10 +103,22 @@ def whole_or_split(components: DataFrame, part: str, component: str, most: int =
 
 
 def names_in_cycles(needs: DataFrame) -> DataFrame:
-    """name: what depends on itself, over however many steps, from (name, needs)."""
+    """name: what depends on itself, over however many steps, from (name, needs).
+
+    Names that need nothing left, or that nothing left needs, are peeled off in rounds, so that only cycles, and what stands between them, are closed.
+    """
     from .graph import closure
 
-    return closure(needs).where("name = needs").select("name").distinct()
+    core = stored(needs.select("name", "needs").where("name is not null and needs is not null").distinct(), "core")
+    size = core.count()
+    while size:
+        inner = core.join(core.select(F.col("name").alias("needs")).distinct(), "needs", "left_semi").join(core.select(F.col("needs").alias("name")).distinct(), "name", "left_semi")
+        inner = stored(inner.select("name", "needs"), "core")
+        discard(core)
+        core, before, size = inner, size, inner.count()
+        if size == before:
+            break
+    return closure(core).where("name = needs").select("name").distinct()
 
 
 def check_cycles(needs: DataFrame) -> None:

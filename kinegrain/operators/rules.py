@@ -64,8 +64,8 @@ def interaction_friction() -> Column:
 
 
 def check_parts(parts: DataFrame, prior: DataFrame) -> DataFrame:
-    """parts with the issues of all four rules; the prior has a row for each material and is broadcast."""
-    joined = parts.join(F.broadcast(prior), "material", "left")
+    """parts with the issues of all four rules; the prior has a row for each material."""
+    joined = parts.join(prior, "material", "left")
     return joined.withColumns(
         {"value_issues": value_ranges(), "prior_issues": prior_ranges(), "hardness_issues": hardness_young(), "friction_issues": interaction_friction()}
     ).drop(*[c for c in prior.columns if c != "material"])

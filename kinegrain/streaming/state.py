@@ -40,7 +40,7 @@ def gate(status: Column, same: Column, outputs: Column, force: Column) -> Column
 def blocked(grid: DataFrame, needs: DataFrame) -> DataFrame:
     """entity, stage, missing: needed stages that are not done."""
     waiting = grid.where(~F.col("status").isin(*DONE)).select("entity", F.col("stage").alias("needs"))
-    return grid.select("entity", "stage").join(F.broadcast(needs), "stage").join(waiting, ["entity", "needs"]).groupBy("entity", "stage").agg(F.array_sort(F.collect_set("needs")).alias("missing"))
+    return grid.select("entity", "stage").join(needs, "stage").join(waiting, ["entity", "needs"]).groupBy("entity", "stage").agg(F.array_sort(F.collect_set("needs")).alias("missing"))
 
 
 def stale(locks: DataFrame, now: Column, seconds: int = 86400) -> DataFrame:
