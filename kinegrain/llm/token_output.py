@@ -54,7 +54,7 @@ PLAIN_PIECES = re.compile(rf" ?[{_L}]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^{_S}{_L
 #: Texts with a space beside other white space, or at the end, for RE2.
 ODD_SPACE = " (?:[ \\n]|$)|\\n |[\\t\\x0b-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Pieces that a worker remembers, and bytes of text that it encodes at a time.
-MEMO, TOGETHER = 1 << 20, 4 << 20
+MEMO, TOGETHER = 3 << 18, 4 << 20
 
 _CODERS: dict[str, _Coder] = {}
 
