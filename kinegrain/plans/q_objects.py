@@ -45,7 +45,20 @@ def connectivity_repair(spark, sf_dir):
     return P.repair(view(spark, sf_dir, "points"), "part")
 
 
-@query()
+def _farthest_sql(k: int) -> str:
+    """Each step's point is the farthest from those before; ties go to the least index."""
+    steps = ["with p as (select part, idx, x, y, z, count(*) over (partition by part) as n from {points})", "c0 as (select * from p qualify row_number() over (partition by part order by idx) = 1)"]
+    d2 = "power(p.x - c.x, 2) + power(p.y - c.y, 2) + power(p.z - c.z, 2)"
+    for i in range(1, k):
+        last = "" if i == 1 else f", d{i - 1} as e"
+        near = d2 if i == 1 else f"least(e.d, {d2})"
+        on = "" if i == 1 else " and e.part = p.part and e.idx = p.idx"
+        steps.append(f"d{i} as (select p.*, {near} as d from p, c{i - 1} c{last} where p.part = c.part{on})")
+        steps.append(f"c{i} as (select * exclude (d) from d{i} where n > {i} qualify row_number() over (partition by part order by d desc, idx) = 1)")
+    return ",\n".join(steps) + "\n" + " union all ".join(f"select part, idx, {i} as rank from c{i}" for i in range(k))
+
+
+@query(_farthest_sql(8))
 def farthest_sampling(spark, sf_dir):
     return P.farthest(view(spark, sf_dir, "points"), "part", 8)
 
