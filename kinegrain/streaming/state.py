@@ -44,8 +44,8 @@ def blocked(grid: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def stale(locks: DataFrame, now: Column, seconds: int = 86400) -> DataFrame:
-    """Locks that are older than ``seconds``."""
-    return locks.where(F.unix_timestamp(now) - F.unix_timestamp("ts") > seconds)
+    """Locks that are older than ``seconds``, to the microsecond."""
+    return locks.where(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > seconds * 1_000_000)
 
 
 def stream_latest(events: DataFrame, keys: list[str], watermark: str = "1 day") -> DataFrame:
