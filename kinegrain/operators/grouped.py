@@ -44,21 +44,18 @@ def with_uncovered(groups: DataFrame, parts: DataFrame, keys: list[str]) -> Data
 
 
 def repair(points: DataFrame, group: str, k: int = 3) -> DataFrame:
-    """group, a, b: edges of a least spanning tree over each group's nearest neighbours, bridged where they don't connect it. Groups are one mesh's faces."""
+    """group, a, b: edges of a least spanning tree over each group's nearest neighbours, bridged where they don't connect it. Groups are one mesh's faces;
+    their distances are looked at by blocks and never held together."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         x, ids = pdf[["x", "y", "z"]].to_numpy(float), pdf["idx"].to_numpy()
-        d = ((x[:, None] - x[None]) ** 2).sum(2)
-        near = np.argsort(d + np.diag(np.full(len(x), np.inf)), axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-        edges = [(float(d[i, j]), i, int(j)) for i in range(len(x)) for j in near[i]]
-        tree = K.spanning_tree(edges, len(x))
-        if len(tree) < len(x) - 1:
-            tree = K.spanning_tree(edges + [(float(d[i, j]) + 1e9, i, j) for i in range(len(x)) for j in range(i)], len(x))
+        tree = K.spanning_tree(K.nearest_edges(x, k), len(x))
+        tree += K.bridges(x, tree)
         rows = [(pdf[group].iloc[0], min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in tree]
         return pd.DataFrame(rows, columns=[group, "a", "b"])
 
-    return points.groupBy(group).applyInPandas(run, f"{group} long, a long, b long")
+    return K.dealt(points.select(group, "idx", "x", "y", "z"), group).groupBy(group).applyInPandas(run, f"{group} long, a long, b long")
 
 
 def farthest(points: DataFrame, group: str, k: int) -> DataFrame:
