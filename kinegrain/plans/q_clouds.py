@@ -48,11 +48,8 @@ def cloud_cleanup(spark, sf_dir):
 select grp, id from n where o and (c or (not cs and rank <= 3)) and (u or (not us and rank <= 3)) and (d or (not ds and rank <= 3))""")
 def mask_nms_inner(spark, sf_dir):
     b = view(spark, sf_dir, "boxes").where("score > 80000").groupBy("grp", "id").agg((F.max("score") / 1e5).alias("score"), *[f(n).alias(n) for f, n in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
-    b = b.withColumn("area", (c("x1") - c("x0")) * (c("y1") - c("y0")))
-    named = lambda n: b.select("grp", c("id").alias(n), *[c(k).alias(n + k) for k in ("x0", "y0", "x1", "y1")])
-    over = lambda k: F.greatest(F.lit(0.0), F.least(c(f"a{k}1"), c(f"b{k}1")) - F.greatest(c(f"a{k}0"), c(f"b{k}0")))
-    pairs = named("a").join(named("b"), "grp").where("a < b").select("grp", "a", "b", (over("x") * over("y")).alias("inter"))
-    return C.mask_nms(pairs, b.select("grp", "id", "score", "area"), least_score=0.95)
+    masks, pairs = C.deciding_pairs(b)
+    return C.mask_nms(pairs, masks, least_score=0.95)
 
 
 @query("""with s as (select fid as sample, v0 / 500e0 as u0, v1 / 500e0 as t0, v1 / 400e0 as u1, v2 / 500e0 as t1, v2 / 500e0 as u2, v0 / 450e0 as t2 from {faces}),
