@@ -9,6 +9,7 @@ from ..functions import jsonv as J
 from ..functions import numeric as N
 from ..functions import text as T
 from ..functions import vec3 as V
+from ..operators import clouds as C
 from ..operators import datasets as D
 from ..operators import graph as G
 from ..operators import grouped as P
@@ -88,10 +89,8 @@ def seeded_cosegmentation(spark, sf_dir):
     a as (select *, max(ok::int) over (partition by grp) as any_ok from k) select grp, id from a where ok or (any_ok = 0 and rank <= 3)""")
 def mask_nms(spark, sf_dir):
     b = view(spark, sf_dir, "boxes").where("score > 90000").groupBy("grp", "id").agg(F.max("score").alias("score"), *[F.min(n).alias(n) for n in ("x0", "y0", "x1", "y1")])
-    x = b.select("grp", c("id").alias("a"), *[c(n).alias(f"a_{n}") for n in ("x0", "y0", "x1", "y1")])
-    y = b.select("grp", c("id").alias("b"), *[c(n).alias(f"b_{n}") for n in ("x0", "y0", "x1", "y1")])
-    iou = R.box_iou({n: c(f"a_{n}") for n in ("x0", "y0", "x1", "y1")}, {n: c(f"b_{n}") for n in ("x0", "y0", "x1", "y1")})
-    return P.mask_nms(x.join(y, "grp").where("a < b").select("grp", "a", "b", iou.alias("iou")), b, 0.3)
+    masks, pairs = C.deciding_pairs(b)
+    return P.mask_nms(pairs, masks, 0.3)
 
 
 @query("""with r as (select part, idx, row_number() over (partition by part order by idx) - 1 as place, count(*) over (partition by part) as n from {points})

@@ -91,3 +91,61 @@ def test_repair_by_blocks():
             edges = [(float(d[i, j]), i, int(j)) for i in range(n) for j in near[i]] + [(float(d[i, j]) + 1e9, i, j) for i in range(n) for j in range(i)]
             assert tree(x, block=200) == {(max(e), min(e)) for e in kernels.spanning_tree(edges, n)}
     assert peak_mb(tree, rng.standard_normal((2500, 3))) < 80  # all differences are 150 MB
+
+
+def test_deciding_pairs_are_those_of_all_masks(spark):
+    from kinegrain.operators import clouds, grouped
+
+    rng = np.random.default_rng(9)
+    for scores in ([0.97, 0.5, 0.3], [0.5, 0.3]):
+        rows = []
+        for i in range(160):
+            x, y, w, h = [float(v) for v in (*rng.integers(0, 9, 2), *rng.choice([1, 2, 3, 9], 2))]
+            rows.append((i % 3, i, float(rng.choice(scores)), x, y, x + w, y + h))
+        rows += [(7, 500 + i, 0.2, 1.0, 1.0, 1.0, 2.0) for i in range(3)] + [(7, 510, 0.1, 0.0, 0.0, 9.0, 9.0)]
+        b = spark.createDataFrame(rows, "grp int, id int, score double, x0 double, y0 double, x1 double, y1 double")
+        area = {r[1]: (r[5] - r[3]) * (r[6] - r[4]) for r in rows}
+        every = []
+        for p in rows:
+            for q in rows:
+                w, h = min(p[5], q[5]) - max(p[3], q[3]), min(p[6], q[6]) - max(p[4], q[4])
+                if p[0] == q[0] and p[1] < q[1] and w > 0 and h > 0:
+                    every.append((p[0], p[1], q[1], w * h, w * h / (area[p[1]] + area[q[1]] - w * h)))
+        every = spark.createDataFrame(every, "grp int, a int, b int, inter double, iou double")
+        masks, pairs = clouds.deciding_pairs(b)
+        whole = b.selectExpr("grp", "id", "score", "(x1 - x0) * (y1 - y0) as area")
+        answer = lambda df: sorted(map(tuple, df.collect()))
+        for most in (0.2, 0.7):
+            assert answer(clouds.mask_nms(pairs, masks, most, 0.95)) == answer(clouds.mask_nms(every, whole, most, 0.95))
+            assert answer(grouped.mask_nms(pairs, masks, most)) == answer(grouped.mask_nms(every, whole, most))
+        # a row for few masks, whatever the number of pairs
+        assert pairs.count() < 5 * len(rows) < every.count()
+
+
+def test_pairs_of_faces_are_rows_once(spark):
+    from kinegrain.operators import mesh
+
+    faces = [(i, *map(int, np.random.default_rng(i % 40).choice(9, 3))) for i in range(120)] + [(None, 1, 2, 3), (900, None, 2, 3), (901, None, 2, 3), (3, 1, 2, 8)]
+    edges = {}
+    for f, *v in faces:
+        for a, b in ((0, 1), (1, 2), (0, 2)):
+            e = sorted(x for x in (v[a], v[b]) if x is not None)
+            edges.setdefault((e[0], e[-1]), set()).add(f)
+    want = {(x, y) for fs in edges.values() for x in fs for y in fs if x is not None and y is not None and x < y}
+    df = mesh.adjacent_faces(spark.createDataFrame(faces, "fid long, v0 long, v1 long, v2 long"))
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # its pairs are not shuffled: nothing but faces and edges goes through an exchange
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and plan.index("Join") < plan.index("Aggregate") and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_pixels_reach_masks_once(spark):
+    from kinegrain.operators import grouped
+
+    rows = [(1, 2, r, c) for r in range(4) for c in range(4)] * 50
+    df = spark.createDataFrame(rows, "view long, mask long, prow long, pcol long")
+    for out in (grouped.clean_masks(df, ["view", "mask"], 8, 8, 3), kernels.mask_components(df, ["view", "mask"], 8, 8)):
+        assert [r.area for r in out.collect()] == [16]
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" in plan[plan.index("FlatMapGroupsInPandas") :]
