@@ -80,7 +80,9 @@ def clean_masks(pixels: DataFrame, keys: list[str], height: int, width: int, lea
         return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], int(m.sum()), filled or dropped]], columns=[*keys, "area", "changed"])
 
     kinds = dict(pixels.dtypes)
-    return pixels.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", area long, changed boolean")
+    # a pixel counts once however many rows it has, so a group is no larger than its raster
+    once = pixels.select(*keys, "prow", "pcol").distinct()
+    return once.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", area long, changed boolean")
 
 
 def small_parts(parts: DataFrame, contacts: DataFrame, entity: str, least: float) -> DataFrame:
