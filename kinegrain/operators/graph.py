@@ -86,21 +86,29 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def itemsets(baskets: DataFrame, min_count: int) -> DataFrame:
-    """items (sorted array), n: item sets of any size in at least min_count baskets, level by level from the frequent ones below."""
-    basket = stored(baskets.select("basket", "item").distinct(), "baskets")
+    """items (sorted array), n: item sets of any size in at least min_count baskets, level by level from the frequent ones below.
+
+    Baskets with the same frequent items are one row with their number. A set's row holds what its baskets have beyond its last item, and rows
+    that are alike in both are one again, so levels grow with the kinds of baskets and not with the baskets.
+    """
+    basket = stored(baskets.select("basket", "item").where("item is not null").distinct(), "baskets")
     single = basket.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    level = stored(basket.join(single.select("item"), "item").select("basket", F.array("item").alias("items")), "level")
-    frequent = [level.groupBy("items").agg(F.count(F.lit(1)).alias("n"))]
-    keep = single.select("item")
+    # items without a basket are in none with another
+    alone = F.when(F.col("basket").isNull(), F.col("item"))
+    kinds = basket.join(single.select("item"), "item").groupBy("basket", alone.alias("alone")).agg(F.array_sort(F.collect_set("item")).alias("rest"))
+    level = stored(kinds.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).select(F.slice("rest", 1, 0).alias("items"), "rest", "n"), "level")
+    frequent = []
     while True:
-        one = basket.join(keep, "item")
-        bigger = level.join(one, "basket").where(F.col("item") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("item")).alias("items"))
-        counts = bigger.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-        counts = stored(counts, "counts")
+        one = level.select("items", "rest", "n", F.posexplode("rest").alias("p", "item"))
+        one = one.select(F.concat("items", F.array("item")).alias("items"), F.slice("rest", F.col("p") + 2, F.size("rest")).alias("rest"), "n")
+        bigger = stored(one.groupBy("items", "rest").agg(F.sum("n").alias("n")), "level")
+        counts = stored(bigger.groupBy("items").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "counts")
+        discard(level)
+        frequent.append(counts)
         if not counts.take(1):
             break
-        level = stored(bigger.join(counts.select("items"), "items"), "level")
-        frequent.append(counts)
+        level = stored(bigger.join(counts.select("items"), "items", "left_semi"), "level")
+        discard(bigger)
     out = frequent[0]
     for f in frequent[1:]:
         out = out.unionByName(f)
@@ -108,11 +116,11 @@ def itemsets(baskets: DataFrame, min_count: int) -> DataFrame:
 
 
 def maximal(sets: DataFrame) -> DataFrame:
-    """Item sets that no longer one holds; longer sets meet shorter ones at an item, so only sets that share one are compared."""
-    a = sets.select("items", "n", F.element_at("items", 1).alias("_i"))
-    b = sets.select(F.col("items").alias("more"), F.explode("items").alias("_i"))
-    on = (a["_i"] == b["_i"]) & (F.size("more") > F.size("items")) & (F.size(F.array_except("items", "more")) == 0)
-    return a.join(b, on, "left_anti").drop("_i")
+    """Item sets that no longer one holds, of sets that come with all their subsets, as those of itemsets() do: a set that is held is one item short of another."""
+    size = F.size("items")
+    short = F.transform(F.sequence(F.lit(1), size), lambda k: F.concat(F.slice("items", 1, k - 1), F.slice("items", k + 1, size)))
+    held = sets.where(size > 1).select(F.explode(short).alias("items")).distinct()
+    return sets.join(held, "items", "left_anti")
 
 
 def subsets(items: list[int], size: int) -> list[tuple[int, ...]]:

@@ -149,3 +149,22 @@ def test_pixels_reach_masks_once(spark):
         assert [r.area for r in out.collect()] == [16]
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" in plan[plan.index("FlatMapGroupsInPandas") :]
+
+
+def test_levels_grow_with_kinds_of_baskets(spark, monkeypatch):
+    from kinegrain.operators import graph
+
+    kept, rows = graph.stored, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "stored", counted)
+    sets = [(1, 2, 3, 4), (2, 3, 5), (4, 9)]
+    b = spark.createDataFrame([(100 * k + i, x) for k, s in enumerate(sets) for i in range(50) for x in s] + [(None, 1), (None, 2), (7, None)], "basket int, item int")
+    got = graph.itemsets(b, 50)
+    assert {(tuple(r["items"]), r.n) for r in got.collect() if len(r["items"]) > 3} == {((1, 2, 3, 4), 50)} and got.where("items = array(1)").first().n == 51
+    assert all(n <= 16 for name, n in rows if name == "level")
+    assert sorted(r["items"] for r in graph.maximal(got).collect()) == [[1, 2, 3, 4], [2, 3, 5], [4, 9]]
