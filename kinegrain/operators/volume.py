@@ -99,6 +99,8 @@ def voxel_volumes(tri: DataFrame, keys: list[str], resolution: int = RESOLUTION,
     A part whose extents are all 0 is ``flat``, and one whose lattices have more than ``most_points`` points is ``too fine``; both have no counts.
     """
     extent = F.greatest(*[F.col(a + "1") - F.col(a + "0") for a in AXES])
+    # to 13 digits: differences of corners are noise beyond, and points midway between two cells would follow it
+    extent = F.when(extent >= 0, F.format_string("%.12e", extent).cast("double"))
     boxes = part_boxes(tri, keys).select(*keys, (extent / resolution).alias("pitch"))
     sized = tri.join(boxes, keys).withColumn("n", F.when(F.col("pitch") > 0, _halvings(F.col("pitch"))))
     n = F.col("n").cast("double")

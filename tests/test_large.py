@@ -168,3 +168,9 @@ def test_levels_grow_with_kinds_of_baskets(spark, monkeypatch):
     assert {(tuple(r["items"]), r.n) for r in got.collect() if len(r["items"]) > 3} == {((1, 2, 3, 4), 50)} and got.where("items = array(1)").first().n == 51
     assert all(n <= 16 for name, n in rows if name == "level")
     assert sorted(r["items"] for r in graph.maximal(got).collect()) == [[1, 2, 3, 4], [2, 3, 5], [4, 9]]
+
+
+def test_points_midway_between_cells(spark, tables):
+    # this tetrahedron's sides come back from its corners with other last digits, which moved a point midway between two cells
+    sf = tables("supplier", spark.createDataFrame([(5021, "", 18, 0.0), (5020, "", 18, 0.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"))
+    assert sorted(map(tuple, catalogue.QUERIES["voxel_volumes"](spark, sf).collect())) == by_sql(sf, "voxel_volumes")
