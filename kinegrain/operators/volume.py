@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_uniform
+from .kernels import dealt as spread
 from .mesh import corners
 
 AXES = "xyz"
@@ -278,5 +279,5 @@ def hull_volumes(points: DataFrame, keys: list[str], chunk: int = CHUNK) -> Data
     def volume_of(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*pdf[keys].iloc[0], hull_volume(pdf[list(AXES)].to_numpy())]], columns=[*keys, "volume"])
 
-    few = dealt.groupBy(*keys, "_chunk").applyInPandas(corners_of, f"{kinds}, x double, y double, z double")
-    return few.groupBy(*keys).applyInPandas(volume_of, f"{kinds}, volume double")
+    few = spread(dealt, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(corners_of, f"{kinds}, x double, y double, z double")
+    return spread(few, *keys).groupBy(*keys).applyInPandas(volume_of, f"{kinds}, volume double")
