@@ -33,6 +33,43 @@ def radius_pairs(points: DataFrame, eps: float) -> DataFrame:
     return radius_join(points, points, eps).where("a < b")
 
 
+def near_components(points: DataFrame, eps: float) -> DataFrame:
+    """a, b: edges that connect points (idx, x, y, z) as all pairs within eps do, without these pairs.
+
+    Cells are a quarter of eps wide, so a cell's points and those of the 26 cells around it are all within eps of each other: cells that touch are one
+    group, and each of its points has an edge to its least one. Points of different groups meet only in cells whose boxes may be within eps.
+    """
+    from .graph import components
+
+    finite = points.where(" and ".join(f"abs({c}) < double('Infinity')" for c in "xyz"))
+    cell, wide = [f"_c{a}" for a in "xyz"], [f"_w{a}" for a in "xyz"]
+    p = stored(finite.select("idx", *"xyz", *[F.floor(F.col(a) / (eps / 4)).cast("long").alias(n) for a, n in zip("xyz", cell)]), "near-points")
+    boxes = [f(a).alias(f"{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"]
+    each = stored(p.groupBy(*cell).agg(F.min("idx").alias("least"), *boxes), "near-cells")
+    half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
+    step = F.explode(F.array(*[F.array(*map(F.lit, s)) for s in half])).alias("_s")
+    beside = each.select(F.col("least").alias("a"), *cell, step).select("a", *[(F.col(n) + F.col("_s")[k]).alias(n) for k, n in enumerate(cell)])
+    groups = components(beside.join(each.select(F.col("least").alias("b"), *cell), cell).select("a", "b"))
+    grouped = each.join(groups.withColumnRenamed("node", "least"), "least", "left").withColumn("g", F.coalesce("component", "least")).drop("least", "component")
+    cells = stored(grouped.withColumns({w: F.floor(F.col(n) / 4).cast("long") for n, w in zip(cell, wide)}), "near-groups")
+    own = p.join(cells.select("g", *cell), cell).where("idx > g").select(F.col("g").alias("a"), F.col("idx").alias("b"))
+
+    def around(df: DataFrame) -> DataFrame:
+        for w in wide:
+            df = df.withColumn("_s", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))).withColumn(w, F.col(w) + F.col("_s")).drop("_s")
+        return df
+
+    mixed = around(cells.select("g", *wide).distinct()).groupBy(*wide).agg(F.min("g").alias("l"), F.max("g").alias("m")).where("l < m").select(*wide)
+    some = stored(cells.join(mixed, wide, "left_semi"), "near-some")
+    other = some.select(*wide, *[F.col(n).alias(f"{n}2") for n in some.columns if n not in wide])
+    gaps = [F.greatest(F.lit(0.0), F.col(f"lo{a}") - F.col(f"hi{a}2"), F.col(f"lo{a}2") - F.col(f"hi{a}")) for a in "xyz"]
+    pairs = around(some).join(other, wide).where((F.col("g") < F.col("g2")) & (sum((d * d for d in gaps[1:]), gaps[0] * gaps[0]) <= eps * eps * 1.000001))
+    at = lambda n, pre: p.select(*[F.col(c).alias(c + n) for c in cell], *[F.col(a).alias(pre + a) for a in "xyz"])
+    both = pairs.select("g", "g2", *cell, *[f"{c}2" for c in cell]).join(at("", "a"), cell).join(at("2", "b"), [f"{c}2" for c in cell])
+    links = both.where(distance2("a", "b") <= eps * eps).select(F.col("g").alias("a"), F.col("g2").alias("b")).distinct()
+    return own.union(links)
+
+
 #: Points of a cell up to which a level of the grid of ``knn`` counts as fine enough, and the most levels.
 CROWD, LEVELS = 256, 20
 

@@ -121,7 +121,7 @@ def vertex_components(spark, sf_dir):
     """Components of vertices joined by faces' edges or by nearness."""
     from ..operators.mesh import edges_of
 
-    e = edges_of(view(spark, sf_dir, "faces")).select("a", "b").union(S.radius_pairs(view(spark, sf_dir, "points"), 0.1).select("a", "b"))
+    e = edges_of(view(spark, sf_dir, "faces")).select("a", "b").union(S.near_components(view(spark, sf_dir, "points"), 0.1))
     return G.components(e)
 
 

@@ -174,3 +174,19 @@ def test_points_midway_between_cells(spark, tables):
     # this tetrahedron's sides come back from its corners with other last digits, which moved a point midway between two cells
     sf = tables("supplier", spark.createDataFrame([(5021, "", 18, 0.0), (5020, "", 18, 0.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"))
     assert sorted(map(tuple, catalogue.QUERIES["voxel_volumes"](spark, sf).collect())) == by_sql(sf, "voxel_volumes")
+
+
+def test_near_points_are_connected_without_their_pairs(spark):
+    from kinegrain.operators import graph, spatial
+
+    rng = np.random.default_rng(11)
+    dense = [(i, *map(float, v)) for i, v in enumerate(rng.normal(0, 0.1, (900, 3)))]
+    sparse = [(2000 + i, *map(float, v)) for i, v in enumerate(rng.uniform(-3, 3, (700, 3)))]
+    rows = dense + sparse + [(5000, 9.0, 9.0, 9.0), (5001, 9.0, 9.0, 9.099), (5002, 9.0, 9.0, 9.2), (5003, 8.95, 9.0, 9.0), (5000, 8.0, 8.0, 8.0), (6000, float("nan"), 0.0, 0.0), (6001, None, 0.0, 0.0), (6002, float("inf"), 0.0, 0.0), (6003, float("inf"), 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "idx long, x double, y double, z double")
+    for eps in (0.1, 0.35):
+        edges = spatial.near_components(p, eps)
+        want = graph.components(spatial.radius_pairs(p.where("abs(x) < 100"), eps).select("a", "b"))
+        assert sorted(map(tuple, graph.components(edges).collect())) == sorted(map(tuple, want.collect()))
+        assert edges.count() < 2 * len(rows)
+    assert spatial.near_components(p.limit(0), 0.1).count() == 0
