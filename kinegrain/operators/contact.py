@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import discard, stored
-from .volume import CORNERS, part_boxes
+from .kernels import dealt
+from .volume import COORDINATES, CORNERS, part_boxes
 
-SLOTS = 24
+#: Cells along an object's longest extent, and shares of a cell's surfaces.
+SLOTS, DEALS = 24, 16
 
 
 def _dot(u: list[Column], v: list[Column]) -> Column:
@@ -45,31 +47,83 @@ def squared_distance(point: list[Column], corners: list[list[Column]]) -> Column
     return F.when((den > 0) & (s >= 0) & (t >= 0) & (s + t <= 1), F.least(edges, _dot(foot, foot))).otherwise(edges)
 
 
-def near_surfaces(points: DataFrame, tri: DataFrame, reach: float) -> DataFrame:
-    """entity, part, idx, other, distance: of each point to the surface of each other part of its object that is at most ``reach`` away."""
+def _met(points: DataFrame, ids: list[str], tri: DataFrame, reach: float, where: str = "true") -> DataFrame:
+    """entity, ids, other, distance of points (entity, ids, x, y, z) to the surfaces of their object that are at most ``reach`` away.
+
+    Triangles go to cells with points only. A cell's surfaces are dealt into DEALS shares that all its points meet, so that no task has a full cell alone,
+    and a point's triangles of one surface meet in the task of the join.
+    """
     extent = F.greatest(*[F.col(a + "1") - F.col(a + "0") for a in "xyz"])
     cell = F.greatest(F.lit(float(reach)), extent / SLOTS, F.lit(1e-12))
     grid = part_boxes(tri, ["entity"]).select("entity", *[a + "0" for a in "xyz"], cell.alias("cell"))
     slot = lambda v, a: F.floor((v - F.col(a + "0")) / F.col("cell"))
-    keys = [f"i{a}" for a in "xyz"]
-    dealt = tri.withColumnRenamed("part", "other").join(grid, "entity")
+    keys = ["entity", *[f"i{a}" for a in "xyz"]]
+    placed = stored(points.join(grid, "entity").withColumns({f"i{a}": slot(F.col(a), a) for a in "xyz"}).select(*ids, *"xyz", *keys), "placed")
+    taken = stored(placed.select(*keys).distinct(), "cells")
+    cells = tri.withColumnRenamed("part", "other").join(grid, "entity")
     for a in "xyz":
         own = [F.col(n + a) for n in CORNERS]
-        dealt = dealt.withColumn(f"i{a}", F.explode(F.sequence(slot(F.least(*own) - reach, a), slot(F.greatest(*own) + reach, a))))
-    placed = points.join(grid, "entity").withColumns({f"i{a}": slot(F.col(a), a) for a in "xyz"}).select("entity", "part", "idx", *"xyz", *keys)
-    met = placed.join(dealt.drop("cell", *[a + "0" for a in "xyz"]), ["entity", *keys]).where("part <> other")
+        cells = cells.withColumn(f"i{a}", F.explode(F.sequence(slot(F.least(*own) - reach, a), slot(F.greatest(*own) + reach, a))))
+    cells = cells.drop("cell", *[a + "0" for a in "xyz"]).join(taken, keys, "left_semi").withColumn("_deal", F.pmod(F.hash("other"), F.lit(DEALS)))
+    every = placed.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    met = dealt(every, *keys, "_deal").join(dealt(cells, *keys, "_deal"), [*keys, "_deal"]).where(where)
     d2 = squared_distance([F.col(a) for a in "xyz"], [[F.col(n + a) for a in "xyz"] for n in CORNERS])
-    near = met.groupBy("entity", "part", "idx", "other").agg(F.sqrt(F.greatest(F.lit(0.0), F.min(d2))).alias("distance"))
-    return near.where(F.col("distance") <= reach).select("entity", "part", "idx", "other", "distance")
+    near = met.groupBy(*keys, "_deal", *ids, "other").agg(F.sqrt(F.greatest(F.lit(0.0), F.min(d2))).alias("distance"))
+    return near.where(F.col("distance") <= reach).select("entity", *ids, "other", "distance")
+
+
+def near_surfaces(points: DataFrame, tri: DataFrame, reach: float) -> DataFrame:
+    """entity, part, idx, other, distance: of each point to the surface of each other part of its object that is at most ``reach`` away."""
+    return _met(points, ["part", "idx"], tri, reach, "part <> other")
+
+
+def _kinds(points: DataFrame, tri: DataFrame) -> DataFrame:
+    """entity, part, kind, n, second: parts with the same points and the same triangles are one kind, named by its least part; it has n parts, the next least of them second.
+
+    Points and triangles are told apart by two 64-bit hashes of each and their number.
+    """
+
+    def signature(rows: DataFrame, name: str) -> DataFrame:
+        at = [x for n in rows.columns[2:] for x in (F.col(n).isNull(), F.col(n))]
+        hashes = [F.bit_xor(F.xxhash64(F.lit(k), *at)).alias(f"{name}{k}") for k in (0, 1)]
+        return rows.groupBy("entity", "part").agg(*hashes, F.count(F.lit(1)).alias(f"{name}2"))
+
+    own = signature(points.groupBy("entity", "part", *"xyz").agg(F.count(F.lit(1)).alias("m")), "p")
+    both = own.join(signature(tri.select("entity", "part", *COORDINATES).distinct(), "t"), ["entity", "part"], "full")
+    marks = [f"{n}{k}" for n in "pt" for k in range(3)]
+    each = stored(both.select("entity", "part", *[F.coalesce(m, F.lit(0).cast("long")).alias(m) for m in marks]), "parts")
+    named = each.join(each.groupBy("entity", *marks).agg(F.min("part").alias("kind"), F.count(F.lit(1)).alias("n")), ["entity", *marks]).select("entity", "part", "kind", "n")
+    second = named.where("part <> kind").groupBy("entity", "kind").agg(F.min("part").alias("second"))
+    return stored(named.join(second, ["entity", "kind"], "left").select("entity", "part", "kind", "n", "second"), "kinds")
+
+
+def _places(points: DataFrame) -> DataFrame:
+    """entity, x, y, z, place, weight: places that have points, numbered, with the number of points."""
+    return stored(points.groupBy("entity", *"xyz").agg(F.count(F.lit(1)).alias("weight")).withColumn("place", F.monotonically_increasing_id()), "places")
 
 
 def best_neighbours(points: DataFrame, tri: DataFrame, eps: float = 1e-3) -> DataFrame:
-    """entity, part, other, touching, share: for each part the neighbour whose surface most of its points touch (nearer than eps); ties by number."""
-    touch = near_surfaces(points, tri, eps).where(F.col("distance") < eps)
-    counts = touch.groupBy("entity", "part", "other").agg(F.count(F.lit(1)).alias("touching"))
-    best = counts.groupBy("entity", "part").agg(F.max_by(F.struct("other", "touching"), F.struct("touching", -F.col("other"))).alias("b"))
-    size = points.groupBy("entity", "part").agg(F.count(F.lit(1)).alias("n"))
-    return best.join(size, ["entity", "part"]).select("entity", "part", "b.other", "b.touching", (F.col("b.touching") / F.col("n")).alias("share"))
+    """entity, part, other, touching, share: for each part the neighbour whose surface most of its points touch (nearer than eps); ties by number.
+
+    Kinds of equal parts are compared instead of parts; a part of a kind of several is its own kind's neighbour too.
+    """
+    points, tri = stored(points.select("entity", "part", *"xyz"), "points"), stored(tri.select("entity", "part", *COORDINATES), "triangles")
+    kinds = _kinds(points, tri)
+    firsts = kinds.where("part = kind").select("entity", "part")
+    members = stored(points.join(firsts, ["entity", "part"], "left_semi").groupBy("entity", F.col("part").alias("kind"), *"xyz").agg(F.count(F.lit(1)).alias("m")), "members")
+    places = _places(members)
+    touch = _met(places, ["place"], tri.join(firsts, ["entity", "part"], "left_semi"), eps).where(F.col("distance") < eps).select("place", "other")
+    held = members.join(places, ["entity", *"xyz"]).select("place", "entity", "kind", "m")
+    counts = stored(touch.join(held, "place").groupBy("entity", "kind", "other").agg(F.sum("m").alias("touching")), "touching")
+    most = F.max_by(F.struct("other", "touching"), F.struct("touching", -F.col("other")))
+    foreign = counts.where("kind <> other").groupBy("entity", "kind").agg(most.alias("f"))
+    inner = counts.where("kind = other").select("entity", "kind", F.col("touching").alias("inner"))
+    size = points.groupBy("entity", "part").agg(F.count(F.lit(1)).alias("size"))
+    each = kinds.join(foreign, ["entity", "kind"], "left").join(inner, ["entity", "kind"], "left").join(size, ["entity", "part"])
+    twin = F.when((F.col("n") > 1) & F.col("inner").isNotNull(), F.struct(F.when(F.col("part") == F.col("kind"), F.col("second")).otherwise(F.col("kind")).alias("other"), F.col("inner").alias("touching")))
+    more = (twin["touching"] > F.col("f.touching")) | ((twin["touching"] == F.col("f.touching")) & (twin["other"] < F.col("f.other")))
+    best = each.select("entity", "part", "size", F.when(F.col("f").isNull() | more, twin).otherwise(F.col("f")).alias("b")).where("b is not null")
+    return best.select("entity", "part", "b.other", "b.touching", (F.col("b.touching") / F.col("size")).alias("share"))
 
 
 def contact_regions(points: DataFrame, tri: DataFrame, threshold: float = 0.01, step: float = 0.01, least: int = 7, most_steps: int = 1000) -> DataFrame:
@@ -77,26 +131,35 @@ def contact_regions(points: DataFrame, tri: DataFrame, threshold: float = 0.01,
     there are fewer) are nearer to its surface, and how many are then; it grows ``most_steps`` times at most.
 
     All thresholds are answered by one order of distances: the number of steps follows from the least-th. The reach grows eightfold for the parts
-    that have too few points in it, until it spans their object.
+    that have too few points in it, until it spans their object. Equal parts have equal answers, and points at one place equal distances, so
+    kinds of parts meet places, which count as often as the other parts have points there.
     """
-    parts = points.select("entity", "part").distinct()
+    points, tri = stored(points.select("entity", "part", *"xyz"), "points"), stored(tri.select("entity", "part", *COORDINATES), "triangles")
+    kinds = _kinds(points, tri)
+    firsts = kinds.where("part = kind").select("entity", "part")
     others = points.groupBy("entity").agg(F.count(F.lit(1)).alias("all")).join(points.groupBy("entity", "part").agg(F.count(F.lit(1)).alias("own")), "entity")
+    others = others.join(firsts, ["entity", "part"], "left_semi")
     want = stored(others.select("entity", "part", F.least(F.lit(least), F.col("all") - F.col("own")).alias("want")).where("want > 0"), "want")
+    places = _places(points)
+    own = points.join(firsts, ["entity", "part"], "left_semi").groupBy("entity", "part", *"xyz").agg(F.count(F.lit(1)).alias("m"))
+    own = stored(own.join(places, ["entity", *"xyz"]).select("place", "part", "m"), "own")
     spans = [F.max(a) - F.min(a) for a in "xyz"]
     extent = F.greatest(*[F.col(a + "1") - F.col(a + "0") for a in "xyz"])
     top = sum(x or 0.0 for x in (part_boxes(tri, ["entity"]).agg(F.max(extent)).first()[0], *points.agg(*spans).first()))
     reach, todo, done = threshold + 20 * step, want, None
     while not todo.isEmpty():
         surfaces = tri.join(todo.select("entity", "part"), ["entity", "part"], "left_semi")
-        near = stored(near_surfaces(points, surfaces, reach).select("entity", F.col("other").alias("part"), "distance"), "near")
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("entity", "part").orderBy("distance")))
-        kth = ranked.join(todo, ["entity", "part"]).where("rank = want").select("entity", "part", F.col("distance").alias("kth"))
+        met = _met(places, ["place", "weight"], surfaces, reach).withColumnRenamed("other", "part").join(own, ["place", "part"], "left")
+        count = F.col("weight") - F.coalesce("m", F.lit(0))
+        near = stored(met.where(count > 0).groupBy("entity", "part", "distance").agg(F.sum(count).alias("count")), "near")
+        upto = near.withColumn("upto", F.sum("count").over(Window.partitionBy("entity", "part").orderBy("distance")))
+        kth = upto.join(todo, ["entity", "part"]).where("upto >= want").groupBy("entity", "part").agg(F.min("distance").alias("kth"))
         steps = F.least(F.lit(most_steps), F.when(F.col("kth") < threshold, 0).otherwise(F.floor(F.round((F.col("kth") - threshold) / step, 9)) + 1)).cast("int")
         found = kth.withColumn("relaxations", steps)
         # the last threshold has to be in reach, so that the points nearer than it are counted whole
         found = stored(found.where(threshold + F.col("relaxations") * step <= reach if reach < 2 * top else F.lit(True)), "found")
-        size = near.join(found, ["entity", "part"]).where(F.col("distance") < threshold + F.col("relaxations") * step).groupBy("entity", "part").agg(F.count(F.lit(1)).alias("size"))
-        got = stored(found.select("entity", "part", "relaxations").join(size, ["entity", "part"], "left").withColumn("size", F.coalesce("size", F.lit(0))), "found")
+        size = near.join(found, ["entity", "part"]).where(F.col("distance") < threshold + F.col("relaxations") * step).groupBy("entity", "part").agg(F.sum("count").alias("size"))
+        got = stored(found.select("entity", "part", "relaxations").join(size, ["entity", "part"], "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long"))), "found")
         done = got if done is None else done.unionByName(got)
         left = stored(todo.join(got.select("entity", "part"), ["entity", "part"], "left_anti"), "want")
         discard(todo, near, found)
@@ -104,7 +167,10 @@ def contact_regions(points: DataFrame, tri: DataFrame, threshold: float = 0.01,
         if reach >= 2 * top:
             break
         reach = 8 * reach
-    return parts.join(done, ["entity", "part"]) if done is not None else parts.select("*", F.lit(0).alias("relaxations"), F.lit(0).cast("long").alias("size")).limit(0)
+    each = kinds.join(points.select("entity", "part").distinct(), ["entity", "part"], "left_semi")
+    if done is None:
+        return each.select("entity", "part", F.lit(0).alias("relaxations"), F.lit(0).cast("long").alias("size")).limit(0)
+    return each.select("entity", "part", "kind").join(done.withColumnRenamed("part", "kind"), ["entity", "kind"]).select("entity", "part", "relaxations", "size")
 
 
 def error_points(pixels: DataFrame, n: int, seed: int = 42) -> DataFrame:

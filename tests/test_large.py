@@ -190,3 +190,39 @@ def test_near_points_are_connected_without_their_pairs(spark):
         assert sorted(map(tuple, graph.components(edges).collect())) == sorted(map(tuple, want.collect()))
         assert edges.count() < 2 * len(rows)
     assert spatial.near_components(p.limit(0), 0.1).count() == 0
+
+
+def test_copies_of_parts_meet_as_kinds(spark, monkeypatch):
+    from kinegrain.operators import contact, volume
+
+    shapes = [(0.0, 1.0), (0.02, 0.7), (0.5, 1.0), (4.0, 0.5)]
+    tri, points = [], []
+    for part in range(40):
+        at, a = shapes[part % 4 if part != 39 else 3]
+        corners = [(at + a * (k & 1), at + a * (k >> 1 & 1), at + a * (k >> 2)) for k in range(8)]
+        points += [(1, part, part * 8 + k, *c) for k, c in enumerate(corners)]
+        tri += [(1, part, *[x for v in t for x in corners[v]]) for t in ((0, 4, 6), (0, 6, 2), (1, 3, 7), (1, 7, 5), (0, 1, 5), (0, 5, 4), (2, 6, 7), (2, 7, 3), (0, 2, 3), (0, 3, 1), (4, 5, 7), (4, 7, 6))]
+    points += [(1, 50, 900, 0.0, 0.0, 0.5), (1, 50, 901, 0.0, 0.0, 0.5)]  # without a surface
+    points = spark.createDataFrame(points, "entity long, part long, idx long, x double, y double, z double")
+    tri = spark.createDataFrame(tri, "entity long, part long, " + ", ".join(f"{n} double" for n in volume.COORDINATES))
+    near = [tuple(r) for r in contact.near_surfaces(points, tri, 30.0).select("part", "idx", "other", "distance").collect()]
+    sizes = {r.part: r["count"] for r in points.groupBy("part").count().collect()}
+    kept, met = contact._met, []
+    monkeypatch.setattr(contact, "_met", lambda p, ids, t, reach, *x: met.append((p.count(), t.count())) or kept(p, ids, t, reach, *x))
+    for eps in (0.6,):
+        counts = {}
+        for p, _, o, d in near:
+            if d < eps:
+                counts[p, o] = counts.get((p, o), 0) + 1
+        want = {p: min((-n, o) for (q, o), n in counts.items() if q == p) for p in {p for p, _ in counts}}
+        got = {r.part: (-r.touching, r.other) for r in contact.best_neighbours(points, tri, eps).collect()}
+        assert got == want
+    for least in (7, 90):
+        want = {}
+        for part in range(40):
+            ds = sorted(d for _, _, o, d in near if o == part)
+            kth = ds[min(least, len(ds)) - 1]
+            steps = min(1000, 0 if kth < 0.01 else int(np.floor(round((kth - 0.01) / 0.01, 9))) + 1)
+            want[part] = (steps, sum(d < 0.01 + steps * 0.01 for d in ds))
+        assert {r.part: (r.relaxations, r.size) for r in contact.contact_regions(points, tri, least=least).collect()} == want
+    assert max(p for p, _ in met) <= 4 * 8 + 1 and max(t for _, t in met) <= 4 * 12  # of 322 points and 480 triangles
