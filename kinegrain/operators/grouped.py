@@ -88,15 +88,24 @@ def clean_masks(pixels: DataFrame, keys: list[str], height: int, width: int, lea
 def small_parts(parts: DataFrame, contacts: DataFrame, entity: str, least: float) -> DataFrame:
     """entity, part, into: parts under a size joined to the one they touch most."""
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sizes = dict(zip(left["part"], left["size"]))
-        touching = [t for t in zip(right["a"], right["b"], right["w"]) if t[0] in sizes and t[1] in sizes]
-        out = K.merge_small_parts(sizes, touching, {p for p, s in sizes.items() if s < least})
-        return pd.DataFrame({entity: key[0], "part": list(out), "into": list(out.values())})
-
-    # both sides may come from one table: another name keeps their keys apart
-    contacts = contacts.select(F.col(entity).alias("_entity"), "a", "b", "w")
-    return parts.groupBy(entity).cogroup(contacts.groupBy("_entity")).applyInPandas(run, f"{entity} long, part long, into long")
+    @F.pandas_udf("part array<long>, into array<long>")
+    def merged(parts: pd.Series, size: pd.Series, a: pd.Series, b: pd.Series, w: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, s, *ends in zip(parts, size, a, b, w):
+            sizes = dict(zip(p.tolist(), s.tolist()))
+            touching = [t for t in zip(*[x.tolist() for x in ends]) if t[0] in sizes and t[1] in sizes]
+            out = K.merge_small_parts(sizes, touching, {p for p, s in sizes.items() if s < least})
+            rows.append((list(out), list(out.values())))
+        return pd.DataFrame(rows, columns=["part", "into"])
+
+    # an entity's parts and contacts are lists of one row, and a batch has many entities: a group of pandas for each took most of the time
+    nan = F.lit(float("nan"))
+    own = parts.where("part is not null").select(F.col(entity).cast("long").alias(entity), F.col("part").cast("long").alias("part"), F.coalesce(F.col("size").cast("double"), nan).alias("size"))
+    met = contacts.where("a is not null and b is not null").select(F.col(entity).cast("long").alias(entity), *[F.col(n).cast("long").alias(n) for n in "ab"], F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w"))
+    rows = own.unionByName(met, allowMissingColumns=True)
+    lists = K.dealt(rows, entity).groupBy(entity).agg(*[F.collect_list(n).alias(n) for n in ("part", "size", "a", "b", "w")])
+    out = lists.where(F.size("part") > 0).select(entity, merged("part", "size", "a", "b", "w").alias("m"))
+    return out.select(entity, F.inline(F.arrays_zip("m.part", "m.into")))
 
 
 def coseg(points: DataFrame, group: str, source: int) -> DataFrame:

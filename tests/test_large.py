@@ -226,3 +226,40 @@ def test_copies_of_parts_meet_as_kinds(spark, monkeypatch):
             want[part] = (steps, sum(d < 0.01 + steps * 0.01 for d in ds))
         assert {r.part: (r.relaxations, r.size) for r in contact.contact_regions(points, tri, least=least).collect()} == want
     assert max(p for p, _ in met) <= 4 * 8 + 1 and max(t for _, t in met) <= 4 * 12  # of 322 points and 480 triangles
+
+
+def test_small_parts_hand_on_their_contacts(spark):
+    from kinegrain.operators import grouped
+
+    def plain(sizes, touching, small):
+        into = {p: p for p in sizes}
+
+        def root(p):
+            return p if into[p] == p else root(into[p])
+
+        for p in sorted(small, key=lambda p: (sizes[p], p)):
+            weight = {}
+            for a, b, w in touching:
+                a, b = root(a), root(b)
+                if a != b and root(p) in (a, b):
+                    weight[a + b - root(p)] = weight.get(a + b - root(p), 0) + w
+            if weight:
+                into[root(p)] = min(weight, key=lambda t: (-weight[t], t))
+        return {p: root(p) for p in sizes}
+
+    rng = np.random.default_rng(12)
+    parts, contacts, want = [], [], []
+    for e in range(60):
+        n = int(rng.integers(1, 9))
+        sizes = {p: float(rng.integers(1, 20)) for p in range(n)}
+        touching = [(int(rng.integers(n)), int(rng.integers(n)), float(rng.integers(1, 5))) for _ in range(int(rng.integers(0, 15)))]
+        parts += [(e, p, s) for p, s in sizes.items()]
+        contacts += [(e, *t) for t in touching] + [(e, 0, 99, 50.0)]
+        want += [(e, p, q) for p, q in plain(sizes, touching, {p for p, s in sizes.items() if s < 12}).items()]
+    contacts += [(1000, 1, 2, 3.0)]
+    out = grouped.small_parts(spark.createDataFrame(parts, "entity long, part long, size double"), spark.createDataFrame(contacts, "entity long, a long, b long, w double"), "entity", 12.0)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    # many entities in a batch, not a group of pandas each
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    n = 3000
+    assert set(kernels.merge_small_parts({p: 1.0 for p in range(n)}, [(p, p + 1, 1.0) for p in range(n - 1)], set(range(n))).values()) == {n - 1}
