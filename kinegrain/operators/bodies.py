@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import discard, stored
+from .kernels import dealt
 
 # Fixed values of a model: joint types by kind of motion, and the world's numbers.
 JOINTS = {"B": "slide", "C": "hinge"}
@@ -56,6 +57,8 @@ def body_paths(parts: DataFrame) -> DataFrame:
 
 def body_tree(parts: DataFrame) -> DataFrame:
     """parts (entity, part, parent, kind, px..pz, ...) with path, level, and x, y, z: the pivot relative to the parent's. Bodies with errors are left out."""
+    # dealt before equal bodies are told apart: a task's whole share of the input would be held by it else
+    parts = dealt(parts, "entity", "part")
     paths = body_paths(parts).where("error is null").select("entity", "part", "path", "level")
     first = parts.groupBy("entity", "part").agg(F.min_by(F.struct(*[F.col(n) for n in parts.columns if n not in ("entity", "part")]), F.struct("parent", *PIVOT)).alias("s")).select("entity", "part", "s.*")
     at = [F.coalesce(n, F.lit(0.0)).alias(n) for n in PIVOT]
@@ -117,7 +120,7 @@ def model_lines(tree: DataFrame) -> DataFrame:
 def body_models(tree: DataFrame) -> DataFrame:
     """entity, xml: one model for each object. An object's bodies meet in one row, as they do in its file."""
     by = F.array_sort(F.collect_list(F.struct("at", "line")))
-    return model_lines(tree).groupBy("entity").agg(F.array_join(F.transform(by, lambda x: x["line"]), "").alias("xml"))
+    return dealt(model_lines(tree), "entity").groupBy("entity").agg(F.array_join(F.transform(by, lambda x: x["line"]), "").alias("xml"))
 
 
 def write_models(models: DataFrame, path: str) -> None:
