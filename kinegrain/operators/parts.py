@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import discard, stored
+from .kernels import dealt
 
 
 def union_datasets(named: dict[str, DataFrame], column: str = "dataset") -> DataFrame:
@@ -154,14 +155,17 @@ def assemble(groups: DataFrame, parts: DataFrame) -> DataFrame:
 
     parts: (entity, part, fid). A face of several classes keeps the first.
     """
+    # dealt before they are made distinct: a task's whole share of the input would be held by it else
+    groups, parts = dealt(groups.select("entity", "part", "group"), "entity", "part"), dealt(parts.select("entity", "part", "fid"), "entity", "part")
     # a row for each class of an object
     kinds = groups.select("entity", F.lit(0).alias("_late"), F.col("group").alias("_at")).distinct()
     alone = parts.select("entity", "part").distinct().join(groups.select("entity", "part").distinct(), ["entity", "part"], "left_anti")
     kinds = kinds.unionByName(alone.select("entity", F.lit(1).alias("_late"), F.col("part").alias("_at")))
     kinds = kinds.withColumn("cls", F.row_number().over(Window.partitionBy("entity").orderBy("_late", "_at")) - 1)
     held = groups.select("entity", "part", F.lit(0).alias("_late"), F.col("group").alias("_at")).unionByName(alone.select("entity", "part", F.lit(1).alias("_late"), F.col("part").alias("_at")))
-    faces = held.join(kinds, ["entity", "_late", "_at"]).join(parts, ["entity", "part"])
-    return faces.groupBy("entity", "fid").agg(F.min("cls").alias("cls"))
+    at = held.join(kinds, ["entity", "_late", "_at"]).select("entity", "part", "cls")
+    faces = dealt(at, "entity", "part").join(parts, ["entity", "part"]).select("entity", "fid", "cls")
+    return dealt(faces, "entity", "fid").groupBy("entity", "fid").agg(F.min("cls").alias("cls"))
 
 
 def best_match_loss(iou: DataFrame, keys: list[str]) -> DataFrame:
