@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, f) -> Column:
+    """f of a value, which is evaluated once for a row, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def parse_json(text: Column) -> Column:
     """The variant of a text that is one JSON value, else null.
 
     The parser stops at the end of the first value; inside a list it has to meet the list's end.
     """
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return F.when((F.size(items) == 1) & (F.trim(text) != ""), F.get(items, 0))
+    return once(items, lambda x: F.when((F.size(x) == 1) & (F.trim(text) != ""), F.get(x, 0)))
 
 
 def path(v: Column, where: str, kind: str = "variant") -> Column:
@@ -23,10 +28,12 @@ def path(v: Column, where: str, kind: str = "variant") -> Column:
 
 def non_empty(v: Column) -> Column:
     """False for null, empty text, empty list and empty object; true for any other value."""
-    kind = F.schema_of_variant(v)
-    text = F.try_variant_get(v, "$", "string")
-    none = v.isNull() | (kind == "VOID") | ((kind == "STRING") & (text == "")) | (text.isin("[]", "{}"))
-    return ~F.coalesce(none, F.lit(True))
+
+    def none(x: Column) -> Column:
+        text = F.try_variant_get(x, "$", "string")
+        return once(text, lambda t: t.isNull() | t.isin("", "[]", "{}"))
+
+    return ~F.coalesce(once(v, lambda x: x.isNull() | none(x)), F.lit(True))
 
 
 def strict_true(v: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .jsonv import once
+
 #: What counts as a number in a JSON string.
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
@@ -20,16 +22,16 @@ def finite(x: Column) -> Column:
 
 def as_float(v: Column) -> Column:
     """A variant's number, or the number in its string; null for booleans, other kinds and non-finite values."""
-    kind = F.schema_of_variant(v)
     text = F.trim(F.try_variant_get(v, "$", "string"))
-    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") | ((kind == "STRING") & text.rlike(NUMBER))
-    return finite(F.when(number, text.try_cast("double")))
+    number = lambda k, t: k.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") | ((k == "STRING") & t.rlike(NUMBER))
+    value = once(F.struct(F.schema_of_variant(v).alias("k"), text.alias("t")), lambda x: F.when(number(x["k"], x["t"]), x["t"].try_cast("double")))
+    return once(value, finite)
 
 
 def numeric_vector(v: Column, n: int) -> Column:
     """An array of exactly n usable numbers, else null."""
     items = F.transform(F.try_variant_get(v, "$", "array<variant>"), as_float)
-    return F.when((F.size(items) == n) & F.forall(items, lambda x: x.isNotNull()), items)
+    return once(items, lambda a: F.when((F.size(a) == n) & F.forall(a, lambda x: x.isNotNull()), a))
 
 
 def positive_alde(p: Column, g: Column) -> Column:

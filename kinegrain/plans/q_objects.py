@@ -134,10 +134,11 @@ def motion_json(spark, sf_dir):
 
 @query("select id, gtype = 'B' or coalesce(ptype = 'C', false) as valid, case when gtype = 'B' then 'B' when ptype = 'C' then 'C' end as kind, case when gtype = 'B' or ptype = 'C' then px end as ax from {motion}")
 def valid_motion_filter(spark, sf_dir):
-    b, cc = J.path(c("v"), "motion_info.B"), J.path(c("v"), "motion_info.C")
-    kind = F.when(J.non_empty(b), "B").when(J.non_empty(cc), "C")
-    axis = N.numeric_vector(F.when(kind == "B", J.path(c("v"), "motion_info.B.axis")).otherwise(J.path(c("v"), "motion_info.C.axis")), 3)
-    return motion_json(spark, sf_dir).select("id", (J.non_empty(b) | J.non_empty(cc)).alias("valid"), kind.alias("kind"), axis[0].alias("ax"))
+    # in steps, so that each value is looked up once for a row
+    both = motion_json(spark, sf_dir).select("id", *[J.path(c("v"), f"motion_info.{k}").alias(k) for k in "BC"])
+    kind = both.withColumn("kind", F.when(J.non_empty(c("B")), "B").when(J.non_empty(c("C")), "C"))
+    axis = N.numeric_vector(J.path(F.when(c("kind") == "B", c("B")).otherwise(c("C")), "axis"), 3)
+    return kind.select("id", c("kind").isNotNull().alias("valid"), "kind", axis[0].alias("ax"))
 
 
 @query("""select id, case when ptype in ('B', 'C') then ptype end as first_kind, case when gtype = 'B' then 'bad_length' when ptype is null then 'bad_kind' end as error from {motion}""")

@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF
 from kinegrain.operators import kernels
@@ -263,3 +264,23 @@ def test_small_parts_hand_on_their_contacts(spark):
     assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
     n = 3000
     assert set(kernels.merge_small_parts({p: 1.0 for p in range(n)}, [(p, p + 1, 1.0) for p in range(n - 1)], set(range(n))).values()) == {n - 1}
+
+
+def test_values_of_variants_are_evaluated_once(spark):
+    from kinegrain.functions import jsonv, numeric
+
+    v = F.try_parse_json("t")
+    for made in (jsonv.parse_json(F.col("t")), jsonv.non_empty(v), numeric.as_float(v), numeric.numeric_vector(v, 3)):
+        plan = spark.createDataFrame([("[1, 2, 3]",)], "t string").select(made.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("parse_json(") <= 2  # as_float names it for its kind and its text
+
+
+def test_entities_are_dealt_into_tasks(spark):
+    from kinegrain.operators import bodies, parts
+
+    tree = bodies.body_tree(spark.createDataFrame([(1, 0, None, None, *[0.0] * 9)], "entity int, part int, parent int, kind string, px double, py double, pz double, ax double, ay double, az double, lo double, hi double, damping double"))
+    rows = spark.createDataFrame([(1, 2, 3)], "entity int, part int, fid int")
+    made = parts.assemble(rows.select("entity", "part", F.col("fid").alias("group")), rows)
+    for df in (bodies.body_models(tree), made):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan[: plan.index("Union") if "Union" in plan else None].split("Join")[0]
