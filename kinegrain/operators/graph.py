@@ -86,29 +86,31 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def itemsets(baskets: DataFrame, min_count: int) -> DataFrame:
-    """items (sorted array), n: item sets of any size in at least min_count baskets, level by level from the frequent ones below.
+    """items (sorted array), n: item sets of any size in at least min_count baskets, level by level from the frequent ones below. Rows (basket, item) may repeat.
 
-    Baskets with the same frequent items are one row with their number. A set's row holds what its baskets have beyond its last item, and rows
+    Baskets are shuffled once; those with the same items, and then with the same frequent items, are one row with their number. A set's row holds what its baskets have beyond its last item, and rows
     that are alike in both are one again, so levels grow with the kinds of baskets and not with the baskets.
     """
-    basket = stored(baskets.select("basket", "item").where("item is not null").distinct(), "baskets")
-    single = basket.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     # items without a basket are in none with another
     alone = F.when(F.col("basket").isNull(), F.col("item"))
-    kinds = basket.join(single.select("item"), "item").groupBy("basket", alone.alias("alone")).agg(F.array_sort(F.collect_set("item")).alias("rest"))
-    level = stored(kinds.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).select(F.slice("rest", 1, 0).alias("items"), "rest", "n"), "level")
-    frequent = []
+    whole = baskets.where("item is not null").groupBy("basket", alone.alias("alone")).agg(F.array_sort(F.collect_set("item")).alias("rest"))
+    whole = stored(whole.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    each = whole.select("kind", "n", F.explode("rest").alias("item"))
+    single = each.groupBy("item").agg(F.sum("n").alias("all")).where(F.col("all") >= min_count)
+    kinds = each.join(single, "item").groupBy("kind", "n").agg(F.array_sort(F.collect_set("item")).alias("rest"))
+    level = kinds.groupBy("rest").agg(F.sum("n").alias("n")).select(F.slice("rest", 1, 0).alias("items"), "rest", "n")
+    frequent, last = [], whole
     while True:
         one = level.select("items", "rest", "n", F.posexplode("rest").alias("p", "item"))
         one = one.select(F.concat("items", F.array("item")).alias("items"), F.slice("rest", F.col("p") + 2, F.size("rest")).alias("rest"), "n")
         bigger = stored(one.groupBy("items", "rest").agg(F.sum("n").alias("n")), "level")
+        discard(last)
         counts = stored(bigger.groupBy("items").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "counts")
-        discard(level)
         frequent.append(counts)
+        level, last = bigger.where(F.size("rest") > 0).join(counts.select("items"), "items", "left_semi"), bigger
         if not counts.take(1):
             break
-        level = stored(bigger.join(counts.select("items"), "items", "left_semi"), "level")
-        discard(bigger)
+    discard(last)
     out = frequent[0]
     for f in frequent[1:]:
         out = out.unionByName(f)

@@ -171,6 +171,34 @@ def test_levels_grow_with_kinds_of_baskets(spark, monkeypatch):
     assert sorted(r["items"] for r in graph.maximal(got).collect()) == [[1, 2, 3, 4], [2, 3, 5], [4, 9]]
 
 
+def test_nothing_is_kept_for_each_basket(spark, monkeypatch):
+    from itertools import combinations
+
+    from kinegrain.operators import graph
+
+    kept, rows = graph.stored, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", counted)
+    sets = [(1, 2, 3), (2, 3, 5), (), (2,)]
+    # every 97th basket has an item of its own, and every row is there twice
+    b = {k: (*sets[k % 4], *([1000 + k] if k % 97 == 0 else [])) for k in range(900)}
+    frame = spark.createDataFrame([(k, x) for k, s in b.items() for x in s] * 2 + [(None, 2)] * 3, "basket int, item int")
+    want = {}
+    for s in [*b.values(), (2,)]:
+        for x in (x for size in range(1, len(s) + 1) for x in combinations(sorted(s), size)):
+            want[x] = want.get(x, 0) + 1
+    want = {x: n for x, n in want.items() if n >= 100}
+    got = graph.itemsets(frame, 100)
+    assert {tuple(r["items"]): r.n for r in got.collect()} == want and got.count() == len(want)
+    assert max(rows) <= 4 + 10  # 3 kinds and those of the 10 items of their own, of 900 baskets
+    assert sorted(r["items"] for r in graph.maximal(got).collect()) == [[1, 2, 3], [2, 3, 5]]
+
+
 def test_points_midway_between_cells(spark, tables):
     # this tetrahedron's sides come back from its corners with other last digits, which moved a point midway between two cells
     sf = tables("supplier", spark.createDataFrame([(5021, "", 18, 0.0), (5020, "", 18, 0.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"))
