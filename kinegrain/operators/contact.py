@@ -51,7 +51,8 @@ def _met(points: DataFrame, ids: list[str], tri: DataFrame, reach: float, where:
     """entity, ids, other, distance of points (entity, ids, x, y, z) to the surfaces of their object that are at most ``reach`` away.
 
     Triangles go to cells with points only. A cell's surfaces are dealt into DEALS shares that all its points meet, so that no task has a full cell alone,
-    and a point's triangles of one surface meet in the task of the join.
+    and a point's triangles of one surface meet in the task of the join. Triangles whose widened box a point is outside of are left out before
+    distances; the widening has room for last digits.
     """
     extent = F.greatest(*[F.col(a + "1") - F.col(a + "0") for a in "xyz"])
     cell = F.greatest(F.lit(float(reach)), extent / SLOTS, F.lit(1e-12))
@@ -67,6 +68,9 @@ def _met(points: DataFrame, ids: list[str], tri: DataFrame, reach: float, where:
     cells = cells.drop("cell", *[a + "0" for a in "xyz"]).join(taken, keys, "left_semi").withColumn("_deal", F.pmod(F.hash("other"), F.lit(DEALS)))
     every = placed.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
     met = dealt(every, *keys, "_deal").join(dealt(cells, *keys, "_deal"), [*keys, "_deal"]).where(where)
+    for a in "xyz":
+        own, far = [F.col(n + a) for n in CORNERS], reach * (1 + 1e-9) + 1e-9 * F.abs(F.col(a))
+        met = met.where((F.col(a) >= F.least(*own) - far) & (F.col(a) <= F.greatest(*own) + far))
     d2 = squared_distance([F.col(a) for a in "xyz"], [[F.col(n + a) for a in "xyz"] for n in CORNERS])
     near = met.groupBy(*keys, "_deal", *ids, "other").agg(F.sqrt(F.greatest(F.lit(0.0), F.min(d2))).alias("distance"))
     return near.where(F.col("distance") <= reach).select("entity", *ids, "other", "distance")
