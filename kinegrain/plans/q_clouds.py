@@ -48,7 +48,7 @@ def cloud_cleanup(spark, sf_dir):
 select grp, id from n where o and (c or (not cs and rank <= 3)) and (u or (not us and rank <= 3)) and (d or (not ds and rank <= 3))""")
 def mask_nms_inner(spark, sf_dir):
     b = view(spark, sf_dir, "boxes").where("score > 80000").groupBy("grp", "id").agg((F.max("score") / 1e5).alias("score"), *[f(n).alias(n) for f, n in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
-    masks, pairs = C.deciding_pairs(b)
+    masks, pairs = C.deciding_pairs(b, most=0.7, least_score=0.95)
     return C.mask_nms(pairs, masks, least_score=0.95)
 
 

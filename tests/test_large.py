@@ -123,6 +123,27 @@ def test_deciding_pairs_are_those_of_all_masks(spark):
         assert pairs.count() < 5 * len(rows) < every.count()
 
 
+def test_masks_meet_those_alike_only(spark):
+    from kinegrain.operators import clouds, grouped
+
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(900):
+        x, y = [float(v) for v in rng.uniform(-20, 20, 2)]
+        w, h = [float(v) for v in rng.choice([1, 1.4, 2, 8, 30], 2) * rng.uniform(0.9, 1.1, 2)]
+        rows.append((i % 3, i, float(rng.choice([0.97, 0.96, 0.5] if i % 3 else [0.5, 0.3])), x, y, x + w, y + h))
+    rows += [(0, 1000 + i, 0.5, *r[3:]) for i, r in enumerate(rows[:60])] + [(5, 2000, 0.97, 1.0, 1.0, 1.0, 2.0), (5, 2001, None, 0.0, 0.0, 9.0, 9.0), (6, 2002, 0.1, 1e9, 1e9, 1e9 + 1, 1e9 + 1), (6, 2003, 0.1, 1e9, 1e9, 1e9 + 1, 1e9 + 1.2)]
+    b = spark.createDataFrame(rows, "grp int, id int, score double, x0 double, y0 double, x1 double, y1 double")
+    answer = lambda df: sorted(map(tuple, df.collect()))
+    masks, every = clouds.deciding_pairs(b)
+    for most in (0.2, 0.7):
+        few = clouds.deciding_pairs(b, most=most, least_score=0.95)[1]
+        assert answer(clouds.mask_nms(few, masks, most, 0.95)) == answer(clouds.mask_nms(every, masks, most, 0.95))
+        few = clouds.deciding_pairs(b, most=most, inside_too=False)[1]
+        assert answer(grouped.mask_nms(few, masks, most)) == answer(grouped.mask_nms(every, masks, most))
+        assert few.count() < every.count()
+
+
 def test_pairs_of_faces_are_rows_once(spark):
     from kinegrain.operators import mesh
 
