@@ -82,14 +82,14 @@ def seeded_cosegmentation(spark, sf_dir):
     return P.coseg(p, "shape", 0)
 
 
-@query("""with b as (select *, row_number() over (partition by grp order by score desc, id) as rank from (select grp, id, max(score) as score, min(x0) as x0, min(y0) as y0, min(x1) as x1, min(y1) as y1 from {boxes} where score > 90000 group by 1, 2)),
+@query("""with b as (select *, row_number() over (partition by grp order by score desc, id) as rank from (select grp, id, max(score) as score, min(x0) as x0, min(y0) as y0, min(x1) as x1, min(y1) as y1 from {boxes} group by 1, 2)),
     i as (select x.grp, x.id as a, y.id as b, greatest(0e0, least(x.x1, y.x1) - greatest(x.x0, y.x0)) * greatest(0e0, least(x.y1, y.y1) - greatest(x.y0, y.y0)) as inter,
         (x.x1-x.x0)*(x.y1-x.y0) + (y.x1-y.x0)*(y.y1-y.y0) as total, case when x.rank > y.rank then x.id else y.id end as loser from b x join b y on x.grp = y.grp and x.id < y.id),
     w as (select grp, loser as id, max(inter / (total - inter)) as iou from i group by 1, 2), k as (select b.grp, b.id, b.rank, coalesce(iou <= 0.3, true) as ok from b left join w using (grp, id)),
     a as (select *, max(ok::int) over (partition by grp) as any_ok from k) select grp, id from a where ok or (any_ok = 0 and rank <= 3)""")
 def mask_nms(spark, sf_dir):
-    b = view(spark, sf_dir, "boxes").where("score > 90000").groupBy("grp", "id").agg(F.max("score").alias("score"), *[F.min(n).alias(n) for n in ("x0", "y0", "x1", "y1")])
-    masks, pairs = C.deciding_pairs(b)
+    b = view(spark, sf_dir, "boxes").groupBy("grp", "id").agg(F.max("score").alias("score"), *[F.min(n).alias(n) for n in ("x0", "y0", "x1", "y1")])
+    masks, pairs = C.deciding_pairs(b, most=0.3, inside_too=False)
     return P.mask_nms(pairs, masks, 0.3)
 
 

@@ -123,6 +123,12 @@ def test_deciding_pairs_are_those_of_all_masks(spark):
         assert pairs.count() < 5 * len(rows) < every.count()
 
 
+def test_masks_of_any_score_are_read(spark, tables):
+    sf = tables("lineitem", spark.read.parquet(f"{SF}/lineitem.parquet").limit(900).withColumn("l_extendedprice", F.col("l_extendedprice") / 2))
+    got = sorted(map(tuple, catalogue.QUERIES["mask_nms"](spark, sf).collect()))
+    assert len({g for g, _ in got}) == 50 and got == by_sql(sf, "mask_nms")
+
+
 def test_masks_meet_those_alike_only(spark):
     from kinegrain.operators import clouds, grouped
 
